@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import chat, decontaminate, jaccard, quality, secrets
+from tessera.llm import bpe, chat, counts, decontaminate, jaccard, quality, secrets, sstable
+from tessera.runtime import new_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -108,3 +109,21 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
 """
+
+
+@query
+def op4_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written to a folder of its own in the shared folder, and read back from there."""
+    folder = new_dir(spark, "sstable")
+    sstable.write_shards(read(spark, sf_dir, "documents"), folder)
+    return sstable.read_shards(spark, folder, sstable.checksum, "n_tokens long, ids_crc32 long")
+
+
+@query
+def op7_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.map_ids(read(spark, sf_dir, "documents"), bpe.digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_tokens(read(spark, sf_dir, "documents"))
