@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, chat, counts, decontaminate, jaccard, quality, secrets, shards, sstable
+from tessera.llm import bpe, chat, counts, decontaminate, jaccard, lm, quality, secrets, shards, sstable
 from tessera.runtime import new_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(read(spark, sf_dir, "documents"))
+
+
+@query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))

@@ -15,13 +15,13 @@ from tessera.llm import scan
 SLICE = 1 << 15
 
 
-def add_up(df: DataFrame, size: int, fill: Callable[[pa.RecordBatch, np.ndarray], None], tasks: int = 16) -> np.ndarray:
-    """fill(batch, counters) adds a batch of df to the task's int64 counters, `size` of them. Returns their sum over all tasks.
+def add_up(df: DataFrame, size: int, fill: Callable[[pa.RecordBatch, np.ndarray], None] | None = None, tasks: int = 16, whole: Callable[[Iterator[pa.RecordBatch]], np.ndarray] | None = None) -> np.ndarray:
+    """fill(batch, counters) adds a batch of df to the task's int64 counters, `size` of them; or whole(batches) makes them. Returns their sum over all tasks.
 
     A task sends its counters as compressed slices; a slice meets its like in one task as a stream, of which only the sum is held."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(size, np.int64)
+        counters = whole(batches) if whole else np.zeros(size, np.int64)
         for batch in batches:
             fill(batch, counters)
         slices = [(k, counters[k * SLICE : (k + 1) * SLICE]) for k in range(-(-size // SLICE))]
