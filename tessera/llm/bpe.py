@@ -127,6 +127,10 @@ def digests(ids: list[bytes], pieces: list[bytes]) -> list[pa.Array]:
     ]
 
 
+def digests_and_lists(ids: list[bytes], pieces: list[bytes]) -> list[pa.Array]:
+    return digests(ids, pieces) + lists(ids, pieces)
+
+
 def lists(ids: list[bytes], pieces: list[bytes]) -> list[pa.Array]:
     """The ids themselves."""
     return [pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))]

@@ -230,3 +230,9 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     of_class = classes.select("set_key", "c").join(found.withColumnRenamed("node", "c"), "c", "left").select("set_key", F.coalesce("component", "c").alias("component"))
     out = signed.select("doc_id", "n", "set_key").join(of_class, "set_key", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs whose doc_id is the least of its component; rows without words or without a doc_id stay."""
+    of = jaccard_components(docs, size, percent)
+    return docs.join(of.filter("n_shingles > 0 AND component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)

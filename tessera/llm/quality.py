@@ -150,3 +150,14 @@ def quality(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "t
             yield pa.RecordBatch.from_arrays(own + figures(batch.column(len(keep)), min_repeat, max_covered, max_repeat), [*keep, *names])
 
     return scan.map_batches(docs.select(*keep, docs[text].alias("__text")), run, f"{schema}, {FIGURES}")
+
+
+def keep_good(docs: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """The rows of docs that are kept, with all their columns."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(figures(batch.column(at), min_repeat, max_covered, max_repeat)[-1])
+
+    return scan.map_batches(docs, run, docs.schema)

@@ -35,7 +35,8 @@ import xxhash
 import zstandard
 from pyarrow import fs
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.llm import bpe, scan, vocab
 
@@ -250,7 +251,7 @@ def read_shards(spark: SparkSession, folder: str, f=None, schema: str = "ids arr
     """doc_id, start, and f(ids) as a tuple of values of schema, for each document of the shards, one task for a shard or several."""
     shards = manifest(folder)
     f = f or (lambda ids: (ids.astype("<i4").tolist(),))
-    names = ["doc_id", "start", *(x.split()[0] for x in schema.split(", "))]
+    kinds = to_arrow_schema(T._parse_datatype_string(f"doc_id long, start long, {schema}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, root = fs.FileSystem.from_uri(folder)
@@ -266,10 +267,13 @@ def read_shards(spark: SparkSession, folder: str, f=None, schema: str = "ids arr
         for row in rows():
             part.append(row)
             if len(part) == 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part, strict=True)], names)
+                yield batch_of(part)
                 part = []
         if part:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) if k < 2 else pa.array(c) for k, c in enumerate(zip(*part, strict=True))], names)
+            yield batch_of(part)
+
+    def batch_of(part: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), kinds, strict=True)], kinds.names)
 
     listed = spark.createDataFrame([(s["path"], s["start"]) for s in shards], "path string, start long").repartition(max(1, len(shards)))
     return scan.map_batches(listed, run, f"doc_id long, start long, {schema}")

@@ -1,0 +1,364 @@
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import brute
+from tessera.llm import bpe, chat, counts, decontaminate, jaccard, lm, quality, secrets, shards, sstable, vocab
+from tessera.runtime import new_dir
+
+DOC = "doc_id long, text string, n_words string, shard string, ids string"
+TEXTS = brute.hard_texts()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Hard texts, one row twice, a null id, and columns named as the operators' own."""
+    rows = [(i, t, "x", "y", "z") for i, t in enumerate(TEXTS)] + [(4, TEXTS[4], "x", "y", "z"), (None, "nobody owns this text at all", "x", "y", "z")]
+    return spark.createDataFrame(rows, DOC).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOC)
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+# chat
+
+
+def test_escapes_come_back(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice("<|\\ims_\n x") for _ in range(r.randint(0, 14))) for _ in range(400)] + ["", "<|im_end|>", "<\\|im_end|>", "\\n", "\\\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", chat.unescape(chat.escape(F.col("t"))).alias("u"), chat.escape(F.col("t")).alias("e"), chat.unescape_role(chat.escape_role(F.col("t"))).alias("v"), chat.escape_role(F.col("t")).alias("w")).collect():
+        assert r.t == r.u == r.v
+        assert "<|" not in r.e and "<|" not in r.w and "\n" not in r.w
+
+
+def test_layouts_give_the_same_turns(spark):
+    said = [
+        '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"yo"}]}', '{"conversations":[{"from":"human","value":"hi"},{"from":"gpt","value":"yo"}]}',
+        '{"instruction":"hi","output":"yo"}', '{"prompt":"hi","completion":"yo"}', '{"qa":{"question":"hi","answer":"yo"}}',
+    ]
+    odd = ['{"messages":[]}', '{"messages":[{"role":"user"}]}', '{"prompt":"hi"}', "broken", None, '{"prompt":"hi","completion":"yo","score":1}']
+    df = chat.from_json_records(spark.createDataFrame(list(enumerate(said + odd)), "id int, json string"), "json")
+    out = {r["id"]: r for r in rows(chat.render(chat.to_turns(df, unknown="unknown")))}
+    for k in range(len(said)):
+        assert [tuple(t) for t in out[k]["turns"]] == [("user", "hi"), ("assistant", "yo")], said[k]
+        assert out[k]["formatted"] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n"
+    n = len(said)
+    assert len({out[k]["fingerprint"] for k in range(n)}) == n
+    assert out[n]["turns"] == [] and out[n]["formatted"] == ""
+    assert [tuple(t) for t in out[n + 1]["turns"]] == [("user", "")]
+    assert all(out[n + k]["layout"] is None and out[n + k]["formatted"] is None for k in (2, 3, 4, 5))
+
+
+def test_chat_reads_back_and_refuses_clashes(spark):
+    turns = [("system", "be <|im_end|> good"), ("user", None), ("assistant", "<\\|x|>"), ("assistant", "two\nlines")]
+    df = spark.createDataFrame([(7, k, *t) for k, t in enumerate(turns)], "c long, k int, role string, text string")
+    rec = chat.gather_turns(df, "c", "k", "role", "text").select("key", F.struct("messages").alias("record"))
+    out = chat.render(chat.to_turns(rec))
+    got = out.select(chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("l")).first()
+    assert [tuple(t) for t in got.t] == [(r, t or "") for r, t in turns]
+    assert got.l == "<\\|x|>two\nlines"
+    with pytest.raises(ValueError):
+        chat.to_turns(rec.withColumn("layout", F.lit(1)))
+    assert chat.gather_turns(df.limit(0), "c", "k", "role", "text").count() == 0
+
+
+# secrets
+
+
+def test_secrets_hold_the_base_spans(docs, empty):
+    for r in rows(secrets.find_secrets(docs)):
+        base = brute.secrets_base(TEXTS[r["doc_id"]]) if r["doc_id"] is not None else []
+        assert [r[k] for k in ("n_assign", "n_access", "n_hex")] == [sum(x[1] == k for x in base) for k in range(3)]
+        assert r["base_sha256"] == hashlib.sha256(secrets.written(base).encode()).hexdigest()
+        assert {*filter(None, secrets.written(base).split(","))} <= {*r["spans"].split(",")}
+    assert secrets.find_secrets(empty).count() == 0
+
+
+def test_random_strings_stand_out_and_words_do_not():
+    enc = vocab.tiktoken_encoding(secrets.VOCABULARY)
+    for run in ("q8Zr2Xv7Lk0pTn4WbY6s", "b7db7aa4a5fcc78305", "ghp_x7Kq9ZpL2vRt8WmN4sYb"):
+        assert secrets.is_random(run, enc, secrets.MAX_RATIO), run
+    for run in ("antionthentionlythe", "readConfigurationFile", "some-long-identifier-2024", "550e8400-e29b-41d4-a716-446655440000", "d41d8cd98f00b204e9800998ecf8427e", "4532015112830366", "INTERNATIONALISATION"):
+        assert not secrets.is_random(run, enc, secrets.MAX_RATIO), run
+
+
+def test_masking_takes_secrets_out(spark):
+    df = spark.createDataFrame([(1, "x password=abcdefghijkl12 y", 5), (2, "plain text", 5), (3, None, 5)], "doc_id long, text string, other int")
+    assert [(r.doc_id, r.text, r.other) for r in secrets.mask_secrets(df).orderBy("doc_id").collect()] == [(1, "x [secret] y", 5), (2, "plain text", 5), (3, None, 5)]
+
+
+# quality
+
+
+def test_quality_is_as_by_counting(docs, empty):
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    for r in rows(quality.quality(docs)):
+        if r["doc_id"] is not None and len(TEXTS[r["doc_id"]] or "") < 9000:
+            assert tuple(r[n] for n in names) == brute.quality(TEXTS[r["doc_id"]]), r["doc_id"]
+    assert quality.quality(empty).count() == 0
+    with pytest.raises(ValueError):
+        quality.quality(docs, keep=("doc_id", "n_words"))
+
+
+def test_suffix_arrays_are_sorted():
+    r = random.Random(3)
+    for _ in range(60):
+        ids = np.array([r.randint(0, 3) for _ in range(r.randint(1, 60))])
+        order, lcp = quality.suffix_array(ids)
+        tails = sorted(range(len(ids)), key=lambda i: ids[i:].tolist())
+        assert order.tolist() == tails
+        for k in range(1, len(tails)):
+            a, b = ids[tails[k - 1] :].tolist(), ids[tails[k] :].tolist()
+            n = next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
+            assert lcp[k] == n
+
+
+def test_quality_rejects_long_repeats(spark):
+    fresh, part = brute.prose(11, 900), brute.prose(12, 70)
+    df = spark.createDataFrame([(1, fresh), (2, f"{fresh} {part} x {part}")], "doc_id long, text string")
+    assert {r.doc_id: (r.base_failed, r.kept) for r in quality.quality(df).collect()} == {1: (False, True), 2: (False, False)}
+    assert [r.doc_id for r in quality.keep_good(df).collect()] == [1]
+
+
+# jaccard
+
+
+def _check_components(df, texts):
+    want = brute.components(texts)
+    for r in jaccard.jaccard_components(df).collect():
+        assert (r.n_shingles, r.component_id) == (want[r.doc_id] if r.doc_id is not None else (r.n_shingles, None)), r.doc_id
+
+
+def test_jaccard_links_all_that_link(docs, empty):
+    _check_components(docs, list(enumerate(TEXTS)))
+    assert jaccard.jaccard_components(docs).count() == docs.count()
+    assert jaccard.jaccard_components(empty).count() == 0
+
+
+def test_jaccard_chains_and_near_copies(spark):
+    r = random.Random(9)
+    texts = []
+    for g in range(6):
+        base = brute.prose(100 + g, r.randint(40, 90)).split()
+        for _ in range(25):
+            w = list(base)
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = f"new{r.randint(0, 5)}"
+            texts.append(" ".join(w))
+    passage = brute.prose(55, 60)
+    texts += [f"{brute.prose(200 + k, 30)} {passage} {brute.prose(300 + k, 30)}" for k in range(30)]
+    rows_ = [(i * 3 % 1009, t) for i, t in enumerate(texts)]
+    _check_components(spark.createDataFrame(rows_, "doc_id long, text string").repartition(5), rows_)
+
+
+# decontamination
+
+ITEMS = [(1, TEXTS[4][:400]), (2, "one two three"), (3, None), (4, "..."), (5, "Line one HERE"), (None, brute.prose(3, 4000)[500:700]), (5, "nul and next"), (6, TEXTS[4][:400])]
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_decontamination_is_as_by_windows(spark, docs, empty, limit):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = decontaminate.decontaminate(docs, items, broadcast_rows=limit).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        if r.doc_id is not None:
+            want = brute.contaminated(TEXTS[r.doc_id], ITEMS)
+            assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == want, r.doc_id
+            assert r.contaminated == (want[1] > 0)
+    assert decontaminate.decontaminate(empty, items, broadcast_rows=limit).count() == 0
+    assert not any(r.contaminated for r in decontaminate.decontaminate(docs, items.limit(0), broadcast_rows=limit).collect())
+
+
+# tokens
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_units_encode_as_the_library(name):
+    r = random.Random(4)
+    alphabet = ["a", "E", "é", "1", " ", "  ", "\n", "'s", "'LL", ".", "ß", "\t", " ", "<|endoftext|>", "日", "́", "🙂", "the", "Ing", "\r\n", "²", "İ", "Σ"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 25))) for _ in range(3000)] + [t or "" for t in TEXTS]
+    encode, whole = bpe.encoder(name), vocab.tokenizer(name)
+    count = counts.counter(name) if name.startswith("byte") else None
+    for text in texts:
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode(text), "<u4").tolist() == ids, text
+        if count:
+            assert count(text) == len(ids), text
+            assert bpe.decode(np.array(ids, "<u4").tobytes(), vocab.once("pieces", name, bpe._pieces)) == whole.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_query_form(docs, empty):
+    whole = vocab.tokenizer(bpe.VOCABULARY)
+    for r in bpe.map_ids(docs, bpe.digests, "n long, ids_sha256 string, decoded_sha256 string", head=50).collect():
+        text = TEXTS[r.doc_id] or "" if r.doc_id is not None else "nobody owns this text at all"
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert (r.n, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    back = bpe.decode_ids(bpe.encode_texts(docs.drop("ids")))
+    assert {r.doc_id: r.decoded for r in back.collect() if r.doc_id is not None} == {i: t or "" for i, t in enumerate(TEXTS)}
+    assert bpe.encode_texts(empty.drop("ids")).count() == 0
+
+
+def test_counts_query_form(docs, empty):
+    got = {r.doc_id: r for r in counts.count_tokens(docs).collect()}
+    for i, t in enumerate(TEXTS):
+        n = len(vocab.tokenizer(counts.VOCABULARY).encode(t or "", add_special_tokens=False).ids)
+        assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 512)
+    assert counts.count_tokens(empty).count() == 0
+
+
+def test_memo_is_bounded():
+    from tessera.llm.units import Memo
+
+    memo = Memo(len, {"kept": 4}, most=10)
+    for k in range(1000):
+        assert memo[str(k)] == len(str(k))
+        memo.trim()
+        assert len(memo) <= 11
+    assert "kept" in memo
+
+
+# sorted-string tables
+
+
+def test_shards_hold_all_and_find_each(spark, docs, empty):
+    folder = new_dir(spark, "test-sst")
+    sstable.write_shards(docs, folder)
+    whole = vocab.tokenizer(sstable.VOCABULARY)
+    ids = {i: [*whole.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(TEXTS)}
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.start, r.ids) for r in sstable.read_shards(spark, folder).collect()), key=lambda r: r[2])
+    assert [r[:2] for r in got] == sorted(r[:2] for r in got) and len(got) == docs.count()
+    start = 0
+    for known, i, at, found in got:
+        assert at == start and (not known or found == ids[i])
+        start += len(found)
+    for i, want in ids.items():
+        assert sstable.lookup(folder, i).tolist() == want
+    assert sstable.lookup(folder, None) is not None and sstable.lookup(folder, 10**6) is None and sstable.lookup(folder, -3) is None
+    none = new_dir(spark, "test-sst")
+    assert sstable.write_shards(empty, none) == [] and sstable.read_shards(spark, none).count() == 0 and sstable.lookup(none, 1) is None
+
+
+def test_reader_finds_every_key_in_many_blocks(tmp_path):
+    import pyarrow as pa
+
+    keys, r = list(range(-500, 5000, 7)), random.Random(1)
+    path = str(tmp_path / "x.sst")
+    with pa.OSFile(path, "wb") as f:
+        w = sstable.Writer(f, 4)
+        for k in keys:
+            w.add(sstable.key_of(k), np.array([r.randint(0, 1 << 30) for _ in range(300)] + [k & 0xFFFF], "<u4"))
+        w.finish()
+    reader = sstable.Reader(pa.OSFile(path))
+    assert len(reader.index) > 5 and reader.n_docs == len(keys)
+    for k in range(-510, 5010):
+        found = reader.get(k)
+        assert (found is not None) == (k in set(keys)) and (found is None or found[-1] == k & 0xFFFF)
+
+
+# sharding
+
+
+def test_sharding_law_and_slots(spark, docs, empty):
+    many = spark.createDataFrame([(i, brute.prose(i % 40, 20) if i % 3 else "the same text") for i in range(3000)] + [(None, None), (5, "the same text")], "doc_id long, text string").repartition(4)
+    for df, n in ((many, 16), (docs, 4)):
+        got = rows(shards.shard(df, n))
+        assert len(got) == df.count()
+        total, most = sum(r["size"] for r in got), max(r["size"] for r in got)
+        for s in range(n):
+            own = [r for r in got if r["shard"] == s]
+            assert sorted(r["slot"] for r in own) == list(range(len(own)))
+            assert abs(sum(r["size"] for r in own) - total / n) <= most
+    by = {r["doc_id"]: r for r in rows(shards.shard(docs))}
+    for i, t in enumerate(TEXTS):
+        assert (by[i]["size"], by[i]["text_crc32"]) == (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    assert shards.shard(empty).count() == 0
+
+
+def test_shards_follow_the_whole_order(spark):
+    texts = {i: brute.prose(i % 50, 1 + i % 30) for i in range(400)}
+    got = {r.doc_id: (r.shard, r.slot) for r in shards.shard(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    order = sorted(texts, key=lambda i: (int(np.uint64(xxhash.xxh64_intdigest(texts[i].encode(), 42)).astype(np.int64)), i))
+    total, upto, slots = sum(len(t.encode()) + 1 for t in texts.values()), 0, [0] * 16
+    for i in order:
+        size = len(texts[i].encode()) + 1
+        upto += size
+        s = min(15, int((2 * upto - size) / (2 * total / 16)))
+        assert got[i] == (s, slots[s])
+        slots[s] += 1
+
+
+# language model
+
+
+def test_lm_tells_order_from_disorder(spark, docs, empty):
+    r = random.Random(2)
+    words = [f"w{k}" for k in range(200)]
+    follow = {w: r.sample(words, 3) for w in words}
+
+    def chain(n):
+        w, out = r.choice(words), []
+        for _ in range(n):
+            out.append(w)
+            w = r.choice(follow[w])
+        return out
+
+    train = [(i, " ".join(chain(200))) for i in range(400)]
+    held = [chain(100) for _ in range(50)]
+    mixed = [r.sample(h, len(h)) for h in held]
+    df = spark.createDataFrame(train, "doc_id long, text string").repartition(2)
+    texts = df.select("text")
+    n = lm.count_words(texts)
+    assert n.sum() == 400 * 200
+    net = lm.train(texts, n, rounds=6)
+    import pyarrow as pa
+
+    good, bad = (lm.score_texts(pa.array([" ".join(x) for x in part]), net, n)[1] for part in (held, mixed))
+    assert (good > bad).mean() > 0.9
+    uniform = -100 * np.log(200)
+    assert good.mean() > uniform
+    out = {x.doc_id: x for x in lm.score(docs).collect()}
+    assert out[5].n_words == 0 and out[5].log_likelihood == 0 and out[5].mean_log_likelihood is None
+    assert len(out) == len(TEXTS) + 1 and lm.score(docs).count() == docs.count()
+    assert lm.score(empty).count() == 0
+
+
+# pipeline
+
+
+def test_pipeline_is_as_by_hand(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = [brute.prose(k, 80) for k in range(12)]
+    near = texts[0].split()
+    near[40] = "other"
+    texts += [texts[1], " ".join(near), "short", "a b c d e " * 20, f"{texts[2]} password=abcdef123456", f"{brute.prose(90, 30)} {texts[3]}"]
+    items = [(1, " ".join(texts[3].split()[10:30]))]
+    data = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = {i: t for i, t in enumerate(texts) if brute.quality(t)[-1]}
+    of = brute.components(list(left.items()))
+    left = {i: t for i, t in left.items() if of[i][1] == i}
+    left = {i: t for i, t in left.items() if not brute.contaminated(t, items)[1]}
+    whole = vocab.tokenizer(bpe.VOCABULARY)
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == set(left) and {12, 13, 14, 15, 3, 17}.isdisjoint(got)
+    for i, t in left.items():
+        t = t.replace("password=abcdef123456", "[secret]")
+        ids = whole.encode(t, add_special_tokens=False).ids
+        assert got[i].ids == ids and got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "ngram_jaccard_join", "benchmark_decontamination", "secret_scans", "bpe_encoding_and_decoding"]
