@@ -97,8 +97,8 @@ def robust(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def z_score(med: Column, ref: Column, mad: Column, sd: Column) -> Column:
-    """Distance of a group's median from a reference in mads, or in sds where the mad is 0; 0 where they are equal."""
-    return F.when(med == ref, F.lit(0.0)).otherwise((med - ref) / F.when(mad == 0, sd).otherwise(mad))
+    """Distance of a group's median from a reference in mads, or in sds where the mad is 0; 0 where they are equal, null without spread."""
+    return F.when(med == ref, F.lit(0.0)).otherwise(F.try_divide(med - ref, F.when(mad == 0, sd).otherwise(mad)))
 
 
 def trimmed_mean(df: DataFrame, by: Sequence[str], value: str, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
