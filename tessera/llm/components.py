@@ -16,15 +16,35 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of each node of edges (a, b), component being the least node that links reach. Nodes without edges aren't listed.
+def directed(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) as distinct (u, v), u > v."""
+    return edges.toDF("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
+def contract(edges: DataFrame, rounds: int) -> DataFrame:
+    """Edges (u, v) with the same components after some rounds; each is written to the shared folder."""
+    for _ in range(rounds):
+        edges = cut(_star(_star(edges, True), False))
+    return edges
 
-    Each round is written to the shared folder; the rounds grow with the logarithm of the number of nodes."""
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+
+def settle(edges: DataFrame) -> DataFrame:
+    """Rounds until nothing changes: every node is then linked to the least of its component, and to nothing else. The rounds grow with the logarithm of the
+    number of nodes."""
     before = None
     while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first()
+        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first()
         if mark == before or mark[0] == 0:
-            break
-        before, now = mark, cut(_star(_star(now, True), False))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            return edges
+        before, edges = mark, contract(edges, 1)
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """(node, component) of each node that has a lesser neighbour: the least of these. After settle() that is the component's least node; before, nodes of one
+    label are connected, but a component may have several labels."""
+    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of each node of edges (a, b) but the least of each component, component being that least node."""
+    return labels(settle(cut(directed(edges))))

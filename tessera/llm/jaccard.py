@@ -12,8 +12,8 @@ partner for each class, and then every candidate pair that still joins two compo
 as many pairs as they have members, and no link between different components is passed over.
 
 Defined results: null and empty texts, and texts without words, have no set and link with nothing; a text with fewer than `size` words has its
-whole sequence as its one shingle; doc_id names a document, so rows that share one and its text repeat its result, and rows that share one but
-differ in text are linked wherever either text is; rows with a null doc_id have their size and a null component; further columns are ignored. Shingles are compared by 64-bit hashes.
+whole sequence as its one shingle; doc_id names a document, so rows that share one and its text repeat its result; of rows that share one but differ in
+text, one stands for the others' links; rows with a null doc_id have their size and a null component; further columns are ignored. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm import scan, sums
-from tessera.llm.components import components
-from tessera.runtime import cut
+from tessera.llm.components import contract, directed, labels, settle
+from tessera.runtime import Kept
 
 SHINGLE, PERCENT = 4, 85
 #: log2 of the number of hashed counts; one byte each is sent to the executors.
 COUNT_BITS = 21
+ODD = 512
+#: Rounds of contraction after each step of verifying.
+ROUNDS = 2
 
 
 def sets(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +83,8 @@ def frequency_classes(docs: DataFrame, size: int, bits: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, classes: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, n (the set's size), set_key and prefix_key (hashes of the set and of the ordered prefix), prefix (32 bits of each shingle)."""
+    """doc_id, n (the set's size), set_key and prefix_key (hashes of the set and of the ordered prefix), prefix (32 bits of each shingle), and odd: for
+    each of ODD values of a hash, whether an odd number of the set's shingles has it. Two sets differ in as many shingles as their odds do in bits, at least."""
     sent = docs.sparkSession.sparkContext.broadcast(classes.tobytes())
     mask = np.uint64(len(classes) - 1)
 
@@ -104,11 +108,18 @@ def signatures(docs: DataFrame, classes: np.ndarray, size: int, percent: int) ->
                         _digest(key, np.concatenate([[0], np.cumsum(n)])),
                         _digest(scan.mix(token + _places(cuts) * scan._ODD), cuts),
                         pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array((token >> np.uint64(32)).astype(np.uint32).view(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * (ODD // 64), pa.int32()), pa.array(_odd(row, key, j - i))),
                     ],
-                    ["doc_id", "n", "set_key", "prefix_key", "prefix"],
+                    ["doc_id", "n", "set_key", "prefix_key", "prefix", "odd"],
                 )
 
-    return scan.map_batches(docs.select("doc_id", "text"), run, "doc_id long, n int, set_key binary, prefix_key binary, prefix array<int>")
+    return scan.map_batches(docs.select("doc_id", "text"), run, "doc_id long, n int, set_key binary, prefix_key binary, prefix array<int>, odd array<long>")
+
+
+def _odd(row: np.ndarray, key: np.ndarray, rows: int) -> np.ndarray:
+    """ODD bits for each row, as 64-bit numbers."""
+    bit = row * ODD + ((key >> np.uint64(20)) % np.uint64(ODD)).astype(np.int64)
+    return np.packbits(np.bincount(bit, minlength=rows * ODD).astype(np.uint8) & 1).view(np.int64)
 
 
 def _places(cuts: np.ndarray) -> np.ndarray:
@@ -147,10 +158,10 @@ def _some_texts(docs: DataFrame, ids: DataFrame, bits: int = 23) -> DataFrame:
     return scan.map_batches(docs.select("doc_id", "text"), thin, "doc_id long, text string").join(ids, "doc_id")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def verify(docs: DataFrame, kept: Kept, name: str, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) that link, by their whole sets."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = cut(_some_texts(docs, ids))
+    texts = kept.put(f"{name}-texts", _some_texts(docs, ids))
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,68 +181,99 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
                     ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok))], ["a", "b"])
 
-    return scan.map_batches(both, run, "a long, b long")
+    links = kept.put(f"{name}-links", scan.map_batches(both, run, "a long, b long"))
+    kept.drop(f"{name}-texts")
+    return links
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bits: int = COUNT_BITS) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = docs.filter("doc_id IS NOT NULL")
-    signed = cut(signatures(docs, frequency_classes(docs, size, bits), size, percent))
+    known, kept = docs.filter("doc_id IS NOT NULL"), Kept(docs.sparkSession, "jaccard")
+    signed = kept.put("signed", signatures(docs, frequency_classes(docs, size, bits), size, percent))
     some = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    # classes: texts with the same set; groups: classes with the same prefix and size
-    classes = cut(some.groupBy("set_key").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("prefix_key").alias("prefix_key"), F.first("prefix").alias("prefix")))
-    grouped = classes.groupBy("prefix_key", "n").agg(F.min("c").alias("g"), F.count("*").alias("members"), F.first("prefix").alias("prefix"))
-    member = cut(classes.join(grouped.filter("members > 1").select("prefix_key", "n", "g"), ["prefix_key", "n"]).select("c", "g", "n"))
-
-    by_token = "PARTITION BY token ORDER BY n, g"
-    lists = (
-        grouped.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
-        .selectExpr("token", "g", "n", "pos", "count(*) OVER (PARTITION BY token) AS listed", f"lag(struct(g, n)) OVER ({by_token}) AS prev", f"first(struct(g, n)) OVER ({by_token}) AS head")
-        .filter("listed > 1")
-    )
-    lists = cut(lists.select("token", "g", "n", "pos", "prev", "head"))
-    alike = f"100 * least(n, other.n) >= {percent} * greatest(n, other.n)"
-    # round 1: the member's group, and for each group the list neighbour that it meets most often
-    votes = lists.select("g", "n", F.explode(F.array("prev", "head")).alias("other")).filter(f"other IS NOT NULL AND other.g <> g AND {alike}")
-    best = votes.groupBy("g", F.col("other.g").alias("h")).agg(F.count("*").alias("votes")).groupBy("g").agg(F.max_by("h", F.struct("votes", "h")).alias("h"))
-    pairs = best.select(F.greatest("g", "h").alias("a"), F.least("g", "h").alias("b")).union(member.filter("c <> g").select("c", "g")).distinct()
-    links = cut(verify(known, cut(pairs), size, percent))
-    found = components(links)
-
-    # round 2: all candidates that still join two components
-    at = lambda df, node: df.join(found.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
-    inside = at(member, "c")
-    mixed = inside.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("g")
-    inside_mixed = inside.join(mixed, "g")
-    within = inside_mixed.alias("x").join(inside_mixed.alias("y"), F.expr("x.g = y.g AND x.c > y.c AND x.component <> y.component")).selectExpr("x.c AS a", "y.c AS b")
-    # a group whose members differ in component counts as one of many: -1 differs from all
-    groups = lists.select("token", "g", "n", "pos").join(mixed.withColumn("component", F.lit(None).cast("long")).withColumn("mixed", F.lit(True)).select("g", "mixed"), "g", "left")
-    groups = at(groups, "g").withColumn("component", F.when(F.col("mixed"), -1 - F.col("g")).otherwise(F.col("component"))).drop("mixed")
-    open_ = groups.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-    groups = cut(groups.join(open_, "token"))
-    met = (
-        groups.alias("x")
-        .join(groups.alias("y"), F.expr(f"x.token = y.token AND x.g > y.g AND x.component <> y.component AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {100 + percent} * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n)"))
-        .groupBy(F.col("x.g").alias("g"), F.col("y.g").alias("h"), F.col("x.n").alias("gn"), F.col("y.n").alias("hn"))
-        .agg(F.count("*").alias("both"), F.max("x.pos").alias("gp"), F.max("y.pos").alias("hp"))
-        .filter(f"{100 + percent} * (both + least(gn - 1 - gp, hn - 1 - hp)) >= {percent} * (gn + hn)")
-        .select("g", "h")
+    # classes: texts with the same set, known by the least doc_id; groups: classes with the same prefix and size, known by their least class
+    named = some.select("set_key", "doc_id").groupBy("set_key").agg(F.min("doc_id").alias("c"))
+    named = kept.put("named", named)
+    copies = some.select("set_key", "doc_id").join(named, "set_key").filter("doc_id <> c").select("doc_id", "set_key").distinct()
+    classes = kept.put("classes", some.join(copies, ["doc_id", "set_key"], "left_anti").dropDuplicates(["doc_id", "set_key"]).withColumnRenamed("doc_id", "c"))
+    many = classes.groupBy("prefix_key", "n").agg(F.count("*").alias("members"), F.min("c").alias("g")).filter("members > 1").drop("members")
+    member = kept.put("member", classes.join(many, ["prefix_key", "n"]).select("c", "g", "odd", "n"))
+
+    leads = classes.join(member.filter("c <> g").select("c").distinct(), "c", "left_anti").select(F.col("c").alias("g"), "n", "prefix")
+    lists = leads.select("g", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("listed", F.expr("count(*) OVER (PARTITION BY token)")).filter("listed > 1")
+    lists = kept.put("lists", lists.select("token", "g", "n", "pos"))
+
+    # round 1: a member and its group; a group and the head of its lists, and the one before it there, that it meets most often. A group that shares more of its
+    # prefix stands nearer the head, as it differs less from the rest
+    shared = lists.groupBy("g").agg(F.count("*").alias("shared"))
+    by_token = "PARTITION BY token ORDER BY shared DESC, n, g"
+    heads = lists.join(shared, "g").selectExpr("g", "n", f"lag(struct(g, n)) OVER ({by_token}) AS prev", f"first(struct(g, n)) OVER ({by_token}) AS head")
+    votes = heads.select("g", "n", F.posexplode(F.array("prev", "head")).alias("place", "other")).filter(f"other IS NOT NULL AND other.g <> g AND 100 * least(n, other.n) >= {percent} * greatest(n, other.n)")
+    best = votes.groupBy("g", "place", F.col("other.g").alias("h")).agg(F.count("*").alias("votes")).groupBy("g", "place").agg(F.max_by("h", F.struct("votes", "h")).alias("h")).select("g", "h")
+    sketches = classes.select("c", "n", "odd")
+    edges = _joined(known, kept, "one", best.union(member.filter("c <> g").select("c", "g")), None, sketches, size, percent)
+    found = kept.put("found", labels(edges))
+
+    # round 2: pairs of groups, or of members of one group, that are in different components and near enough by size, place and odds
+    inside = _at(member, found, "c")
+    mixed = kept.put("mixed", inside.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("g"))
+    within = inside.join(mixed, "g")
+    within = within.alias("x").join(within.alias("y"), F.expr(f"x.g = y.g AND x.c > y.c AND x.component <> y.component AND {_near(percent)}")).selectExpr("x.c AS a", "y.c AS b")
+    # every class of a group stands in the group's lists; a list whose classes are all of one component is done with
+    entries = _at(lists.select("token", "g", "n", "pos"), found, "g").join(mixed.withColumn("mixed", F.lit(True)), "g", "left")
+    open_ = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("mixed").alias("mixed")).filter("lo <> hi OR mixed").select("token")
+    entries = entries.join(open_, "token").select("token", "g", "n", "pos")
+    one = classes.select("c", "odd").join(member.select("c").distinct(), "c", "left_anti").select(F.col("c").alias("g"), "c", "odd").union(member.select("g", "c", "odd"))
+    entries = kept.put("entries", _at(entries.join(one, "g"), found, "c"))
+    # the smaller of a pair meets the other within a shorter prefix: n - ceil(2 percent n / (100 + percent)) + 1
+    short = f"{100 + percent} * (y.n - y.pos) >= {2 * percent} * y.n"
+    across = (
+        entries.alias("x")
+        .join(entries.alias("y"), F.expr(f"x.token = y.token AND (x.n > y.n OR x.n = y.n AND x.g > y.g) AND x.component <> y.component AND {short} AND {100 + percent} * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n) AND {_near(percent)}"))
+        .groupBy(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+        .agg(F.count("*").alias("both"))
     )
-    # expand the groups to their members, of which each group has itself at least
-    full = inside.select("c", "g", "component")
-    side = lambda df, group, out: df.join(full.withColumnRenamed("g", group), group, "left").select("*", F.coalesce("c", group).alias(out)).drop("c", "component")
-    across = side(side(met, "g", "a"), "h", "b").select("a", "b")
-    rest = at(at(across.union(within).distinct(), "a").withColumnRenamed("component", "ca"), "b").filter("ca <> component").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = cut(rest.distinct())
-    more = cut(verify(known, rest, size, percent))
-    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-
-    of_class = classes.select("set_key", "c").join(found.withColumnRenamed("node", "c"), "c", "left").select("set_key", F.coalesce("component", "c").alias("component"))
+    met = kept.put("met", across.union(within.withColumn("both", F.lit(1 << 40))))
+    kept.drop("lists", "entries")
+    # first the likeliest partner of each class; what it joins needs no more verifying
+    likely = met.unionAll(met.select("b", "a", "both")).groupBy("a").agg(F.max_by("b", F.struct("both", "b")).alias("b"))
+    edges = _joined(known, kept, "two", likely, edges, None, size, percent)
+    edges = _joined(known, kept, "three", met.select("a", "b"), edges, None, size, percent)
+    found = labels(settle(edges))
+
+    of_class = named.join(found.withColumnRenamed("node", "c"), "c", "left").select("set_key", F.coalesce("component", "c").alias("component"))
     out = signed.select("doc_id", "n", "set_key").join(of_class, "set_key", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _at(df: DataFrame, found: DataFrame, node: str) -> DataFrame:
+    """Adds the component of a node: its own name if it has no link to a lesser one."""
+    return df.join(found.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
+
+
+def _near(percent: int) -> str:
+    """Condition on rows x and y: their sizes and odds don't rule a link out."""
+    differ = " + ".join(f"bit_count(x.odd[{k}] ^ y.odd[{k}])" for k in range(ODD // 64))
+    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {100 + percent} * ({differ}) <= {100 - percent} * (x.n + y.n)"
+
+
+def _joined(docs: DataFrame, kept: Kept, name: str, pairs: DataFrame, edges: DataFrame | None, sketches: DataFrame | None, size: int, percent: int) -> DataFrame:
+    """The edges with the links among pairs added, partly contracted. Pairs whose ends have one label already aren't verified, nor those that sketches (c, n, odd) rule out."""
+    a, b = pairs.columns[:2]
+    pairs = pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+    if edges is not None:
+        found = labels(edges)
+        pairs = _at(_at(pairs, found, "a").withColumnRenamed("component", "ca"), found, "b").filter("ca <> component").select("a", "b")
+    if sketches is not None:
+        pairs = pairs.join(sketches.select(F.col("c").alias("a"), F.struct("n", "odd").alias("x")), "a").join(sketches.select(F.col("c").alias("b"), F.struct("n", "odd").alias("y")), "b").filter(_near(percent)).select("a", "b").distinct()
+    pairs = kept.put(f"{name}-pairs", pairs)
+    if edges is not None and pairs.isEmpty():
+        return edges
+    links = directed(verify(docs, kept, name, pairs, size, percent))
+    return contract(links if edges is None else links.union(edges).distinct(), ROUNDS)
+
+
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose doc_id is the least of its component; rows without words or without a doc_id stay."""
     of = jaccard_components(docs, size, percent)
