@@ -173,7 +173,7 @@ def group(spark, d):
     return iv.group_lists(intervals_b(spark, d))
 
 
-SEQ_SQL = """(SELECT n_nationkey + 1 AS "index", n_name AS name, 1000 + n_nationkey * 100 AS size, 1000 * n_nationkey + 100 * (n_nationkey * (n_nationkey - 1) // 2) AS "offset" FROM nation)"""
+SEQ_SQL = """(SELECT CAST(n_nationkey + 1 AS BIGINT) AS "index", n_name AS name, 1000 + n_nationkey * 100 AS size, 1000 * n_nationkey + 100 * (n_nationkey * (n_nationkey - 1) // 2) AS "offset" FROM nation)"""
 
 
 def _seq(spark, d):
