@@ -28,6 +28,8 @@ from tessera.runtime import cut, ship
 SHARDS = 16
 #: Ranges for each shard, and sampled records for each range, on average.
 RANGES, SAMPLED = 16, 16
+#: Rows of a range at most, on average: what one task sorts. The sample grows with it, by SAMPLED records for so many rows.
+ROWS = 1 << 20
 SEED = 97
 
 
@@ -68,8 +70,14 @@ def _draw(rows: DataFrame, total: int, want: int) -> list[tuple[int, int, float]
     return [(r.key, r.tie, r.w) for r in drawn.collect()]
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot (from 0 within the shard) and grown_shard (null under this law) of each row."""
+OUT = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """OUT for each row: slot counts from 0 within the shard, grown_shard is null under this law; and the columns to carry along, such as the text
+    itself where the shards are to be written (`.write.partitionBy("shard")`; rows are in ranges of the order already)."""
+    if clash := [c for c in carry if c in OUT]:
+        raise ValueError(f"columns {clash} would be hidden by the result's own")
     ship(docs.sparkSession)
     said = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
@@ -78,10 +86,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
         F.crc32(said.cast("binary")).alias("text_crc32"),
         F.xxhash64(said).alias("key"),
         F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("tie"),
+        *[F.col(c).alias(f"__c{k}") for k, c in enumerate(carry)],
     )
     rows = cut(rows)
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    ranges = shards * RANGES
+    whole = rows.agg(F.sum("size").alias("size"), F.count("*").alias("n")).first()
+    total, ranges = whole["size"] or 0, max(shards * RANGES, whole["n"] // ROWS)
     splitters = _splitters(_draw(rows, total, ranges * SAMPLED), ranges)
     placed = rows.withColumn("range", _range_of(splitters)("key", "tie"))
     sizes = {r["range"]: r["size"] for r in placed.groupBy("range").agg(F.sum("size").alias("size")).collect()}  # as many rows as ranges
@@ -107,9 +116,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
         .withColumn("shard", F.floor((2 * (F.col("bytes_before") + F.col("upto")) - F.col("size")) / F.lit(2 * max(1, total) / shards)).cast("int"))
         .withColumn("shard", F.least("shard", F.lit(shards - 1)))
     )
-    ranked = cut(ranked.select("doc_id", "size", "text_crc32", "shard", "rank"))
+    carried = [f"__c{k}" for k in range(len(carry))]
+    ranked = cut(ranked.select("doc_id", "size", "text_crc32", "shard", "rank", *carried))
     first = ranked.groupBy("shard").agg(F.min("rank").alias("first"))  # as many rows as shards
     return ranked.join(F.broadcast(first), "shard").select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        *[F.col(f"__c{k}").alias(c) for k, c in enumerate(carry)],
     )
 

@@ -286,6 +286,9 @@ def test_sharding_law_and_slots(spark, docs, empty):
     for i, t in enumerate(TEXTS):
         assert (by[i]["size"], by[i]["text_crc32"]) == (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
     assert shards.shard(empty).count() == 0
+    assert {(r.doc_id, r.text) for r in shards.shard(docs, carry=("text",)).collect()} >= set(enumerate(TEXTS))
+    with pytest.raises(ValueError):
+        shards.shard(docs, carry=("shard",))
 
 
 def test_shards_follow_the_whole_order(spark):
