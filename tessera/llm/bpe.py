@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a distinct-word table.
 
 Texts are cut into words in Spark; the words of all documents are counted, and each distinct word of the table's head is encoded once. The
-head is the `head` most frequent words, a fixed bound, and is what the executors get; words outside it are encoded once for each table that a
+head, `head` words at most and the most frequent, is what the executors get; words outside it are encoded once for each table that a
 task builds as it goes. Ids are joined back by position: a text's ids are those of its words in order. Decoding joins each id with its piece and
 puts the pieces' bytes together.
 
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm import scan, units, vocab
+from tessera.runtime import Kept
 
 VOCABULARY = "byte_bpe_50k.json"
 HEAD = 150_000
@@ -57,7 +58,17 @@ def _counted(counts: Counter) -> Iterator[pa.RecordBatch]:
 
 
 def word_table(counts: DataFrame, vocabulary: str = VOCABULARY, head: int = HEAD) -> DataFrame:
-    """word and ids (little-endian 32-bit) of the head most frequent words, ties by word."""
+    """word and ids (little-endian 32-bit) of the most frequent words: all that occur so often that at most `head` words occur as often or more.
+
+    The limit comes from a histogram of 16 classes for each doubling, so no task gathers the words themselves."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    sizes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()  # under 1,024 rows, as n has 64 bits
+    upto, least = 0, None
+    for r in sizes:
+        upto += r.words
+        if upto > head:
+            break
+        least = r.level
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = units.tokenizer(vocabulary)
@@ -65,7 +76,8 @@ def word_table(counts: DataFrame, vocabulary: str = VOCABULARY, head: int = HEAD
             words = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(own.word_ids(w)) for w in words], pa.binary())], ["word", "ids"])
 
-    return scan.map_batches(counts.orderBy(F.desc("n"), "word").limit(head).select("word").repartition(8), run, "word string, ids binary")
+    frequent = counts.where(F.lit(False) if least is None else level >= least)
+    return scan.map_batches(frequent.select("word"), run, "word string, ids binary")
 
 
 def encoder(vocabulary: str, table: dict[str, bytes] | None = None):
@@ -103,9 +115,11 @@ def decode(ids: bytes, pieces: list[bytes]) -> str:
 def map_ids(docs: DataFrame, f, schema: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", vocabulary: str = VOCABULARY, head: int = HEAD) -> DataFrame:
     """The columns of keep, and f(ids of each text, pieces) as a list of columns of schema. The table's head is collected: head words, whatever the input."""
     texts = docs.select(docs[text].alias("__text"))
-    table = {r.word: bytes(r.ids) for r in word_table(word_counts(texts, vocabulary), vocabulary, head).collect()}
+    kept = Kept(docs.sparkSession, "words")
+    table = {r.word: bytes(r.ids) for r in word_table(kept.put("counts", word_counts(texts, vocabulary)), vocabulary, head).collect()}
+    kept.drop("counts")
     sent = docs.sparkSession.sparkContext.broadcast(table)
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, pieces = encoder(vocabulary, sent.value), vocab.once("pieces", vocabulary, _pieces)
@@ -115,7 +129,7 @@ def map_ids(docs: DataFrame, f, schema: str, keep: tuple[str, ...] = ("doc_id",)
                 cols = f([encode(x.as_py() or "") for x in part.column(len(keep))], pieces)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *cols], names=[*keep, *(f"_{k}" for k in range(len(cols)))])
 
-    return scan.map_batches(docs.select(*keep, docs[text].alias("__text")), run, f"{kept}, {schema}")
+    return scan.map_batches(docs.select(*keep, docs[text].alias("__text")), run, f"{own}, {schema}")
 
 
 def digests(ids: list[bytes], pieces: list[bytes]) -> list[pa.Array]:
