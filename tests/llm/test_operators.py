@@ -339,6 +339,24 @@ def test_lm_tells_order_from_disorder(spark, docs, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_lm_predicts_words_beyond_the_most_frequent(spark):
+    import pyarrow as pa
+
+    r = random.Random(8)
+    topics = [[f"{x}{k}" for k in range(400)] for x in "ab"]
+    df = spark.createDataFrame([(i, " ".join(r.choices(topics[i % 2], k=200))) for i in range(800)], "doc_id long, text string").repartition(2)
+    texts = df.select("text")
+    words = lm.count_words(texts)
+    assert len(words.words) == 800 and lm.count_words(df.limit(100).select("text"), 1).distinct.sum() > 400
+    net = lm.train(texts, words, rounds=3)
+    one = np.tile(np.arange(1, 5), (len(words.counts), 1))
+    assert abs(np.exp(net.log_chances(one, np.arange(len(words.counts)), words)).sum() - 1) < 1e-3
+    pure = [" ".join(r.choices(topics[k % 2], k=200)) for k in range(20)]
+    mixed = [" ".join(w for pair in zip(r.choices(topics[0], k=100), r.choices(topics[1], k=100)) for w in pair) for _ in range(20)]
+    good, bad = (lm.score_texts(pa.array(part), net, words)[1].mean() / 200 for part in (pure, mixed))
+    assert good - bad > 0.3
+
+
 # pipeline
 
 
