@@ -360,6 +360,17 @@ def test_lm_predicts_words_beyond_the_most_frequent(spark):
 # pipeline
 
 
+def test_pipeline_drops_near_copies_from_80_percent_on(spark):
+    import corpus_pipeline
+
+    text = brute.prose(70, 1000)
+    short = " ".join(text.split()[:820])
+    a, b = (brute.shingles(x, 5) for x in (text, short))
+    assert 80 * len(a | b) < 100 * len(a & b) < 85 * len(a | b)
+    df = spark.createDataFrame([(1, text), (2, short), (3, brute.prose(71, 900))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.ngram_jaccard_join(spark, df, "").collect()) == [1, 3]
+
+
 def test_pipeline_is_as_by_hand(spark, tmp_path):
     import corpus_pipeline
 
