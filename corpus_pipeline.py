@@ -1,6 +1,6 @@
 """A corpus pipeline over `documents`: each stage takes all rows that the one before it left, and is written as Parquet before the next reads it.
 
-Rows without a doc_id can't be named by a decision about pairs or passages, so they pass the stages that make such decisions.
+Rows without a doc_id are known by their text in decisions about pairs or passages.
 """
 
 from __future__ import annotations

@@ -106,6 +106,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The rows of docs (doc_id, text, ...) whose doc_id no contaminated row has."""
-    hit = decontaminate(docs, items, window=window, gram=gram).filter("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs (doc_id, text, ...) that aren't contaminated. A row is known by its doc_id, null or not, and its text."""
+    own = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key")).alias("doc_id"), "text")
+    hit = decontaminate(own, items, window=window, gram=gram).filter("contaminated").select(F.col("doc_id.id").alias("__id"), F.col("doc_id.key").alias("__own")).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__own")), "left_anti").select(docs.columns)

@@ -275,6 +275,11 @@ def _joined(docs: DataFrame, kept: Kept, name: str, pairs: DataFrame, edges: Dat
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component; rows without words or without a doc_id stay."""
-    of = jaccard_components(docs, size, percent)
-    return docs.join(of.filter("n_shingles > 0 AND component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs whose doc_id is the least of its component; rows without words stay. A row without a doc_id is known by a hash
+    of its text from 2^62 on, so that it gives way to rows with one, and of such rows with the same text one stays."""
+    by_text = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), by_text))
+    of = jaccard_components(named.select(F.col("__id").alias("doc_id"), "text"), size, percent)
+    left = named.join(of.filter("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct(), "__id", "left_anti")
+    nameless = F.col("doc_id").isNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return left.filter(~nameless).unionByName(left.filter(nameless).dropDuplicates(["__id"])).select(docs.columns)

@@ -371,6 +371,16 @@ def test_pipeline_drops_near_copies_from_80_percent_on(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.ngram_jaccard_join(spark, df, "").collect()) == [1, 3]
 
 
+def test_pipeline_decides_on_rows_without_an_id(spark):
+    item, text, other = brute.prose(80, 30), brute.prose(81, 80), brute.prose(82, 80)
+    data = [(None, f"{other} {item}"), (None, text), (None, text), (7, f"{text} {item}"), (7, other), (None, ""), (None, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    clean = decontaminate.keep_clean(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text) for r in clean.collect()) == sorted((i or 0, t) for i, t in data if item not in t)
+    some = spark.createDataFrame([*data[1:3], (None, other), (9, other), (None, ""), (None, "")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in jaccard.one_of_each(some).collect()) == sorted([(0, text), (9, other), (0, ""), (0, "")])
+
+
 def test_pipeline_is_as_by_hand(spark, tmp_path):
     import corpus_pipeline
 
