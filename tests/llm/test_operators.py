@@ -132,6 +132,14 @@ def test_quality_rejects_long_repeats(spark):
     assert [r.doc_id for r in quality.keep_good(df).collect()] == [1]
 
 
+def test_quality_rejects_by_coverage_alone(spark):
+    fresh, parts = brute.prose(13, 800), [brute.prose(20 + k, 27) for k in range(3)]
+    text = " x ".join([fresh, *parts, *parts[::-1]])
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = quality.quality(df).first()
+    assert not r.base_failed and r.longest_repeat < quality.MAX_REPEAT and 0.1 < r.covered < 0.2 and not r.kept
+
+
 # jaccard
 
 
