@@ -9,30 +9,48 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that this process made in the shared folder, by application.
+_made: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests, local runs)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    own = spark.conf.get("tessera.own.dir", None)
-    if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("tessera.own.dir", own)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(own)
-    return own
+    """The folder that driver and executors share: the checkpoint folder of the context, which spark.checkpoint.dir names unless it was set by a call.
+    Where there is none, a local run gets a temporary one; on a cluster that would be one machine's own, so it is an error."""
+    context = spark.sparkContext
+    found = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        context.setCheckpointDir(found)
+    found = found.rstrip("/")
+    return "file://" + found[5:] if found.startswith("file:/") and not found.startswith("file://") else found
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, there until close()."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the checkpoint folder and reads them back, so that no later loss recomputes what came before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def close(spark: SparkSession) -> None:
+    """Deletes what this application's operators left in the shared folder. Results that read from there must have been written or collected by then."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        delete(spark, path)
+
+
+def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Writes the rows to the shared folder and reads them back, so that no later loss recomputes what came before."""
+    path = new_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Kept:
@@ -46,10 +64,11 @@ class Kept:
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, f"{self.root}/{name}")
+
+    def close(self) -> None:
+        delete(self.spark, self.root)
 
 
 _shipped: set[str] = set()
