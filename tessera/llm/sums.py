@@ -1,4 +1,4 @@
-"""Arrays of counters that every task fills for its rows and that are added up in slices: their size is fixed, whatever the input."""
+"""Arrays of counters that every task fills for its rows and that are added up in slices, by a tree: no task meets more than a share of the arrays."""
 
 from __future__ import annotations
 
@@ -8,53 +8,65 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm import scan
 
 SLICE = 1 << 15
+#: Groups of tasks whose arrays meet first: the root of the number of tasks as estimated by the input's size, within these.
+GROUPS = 8, 1024
+TASK_BYTES = 64 << 20
+#: Tasks of the second step.
+MOST_TASKS = 16
+SCHEMA = "slice int, part int, counts binary"
 
 
-def add_up(df: DataFrame, size: int, fill: Callable[[pa.RecordBatch, np.ndarray], None] | None = None, tasks: int = 16, whole: Callable[[Iterator[pa.RecordBatch]], np.ndarray] | None = None) -> np.ndarray:
-    """fill(batch, counters) adds a batch of df to the task's int64 counters, `size` of them; or whole(batches) makes them. Returns their sum over all tasks.
+def groups_of(df: DataFrame) -> int:
+    """From the optimizer's estimate of the input's bytes; no job is run."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return int(min(max((size / TASK_BYTES) ** 0.5, GROUPS[0]), GROUPS[1]))
 
-    A task sends its counters as compressed slices; a slice meets its like in one task as a stream, of which only the sum is held."""
+
+def add_up(df: DataFrame, size: int, fill: Callable[[pa.RecordBatch, np.ndarray], None]) -> np.ndarray:
+    """fill(batch, counters) adds a batch of df to the task's int64 counters, `size` of them. Returns their sum over all tasks.
+
+    A task sends its counters as compressed slices. The arrays of a group of tasks meet in one task, as a stream of which only the sum is held;
+    then the groups' sums meet by slice. With as many groups as the root of the number of tasks, no task reads more arrays than that root."""
+    slices, groups = -(-size // SLICE), groups_of(df)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = whole(batches) if whole else np.zeros(size, np.int64)
+        counters = np.zeros(size, np.int64)
         for batch in batches:
             fill(batch, counters)
-        slices = [(k, counters[k * SLICE : (k + 1) * SLICE]) for k in range(-(-size // SLICE))]
-        slices = [(k, x) for k, x in slices if x.any()]
-        pack = zstandard.ZstdCompressor(level=1).compress
-        yield _rows([k for k, _ in slices], [pack(_narrow(x)) for _, x in slices])
+        parts = [(k, counters[k * SLICE : (k + 1) * SLICE]) for k in range(slices)]
+        parts = [(k, x) for k, x in parts if x.any()]
+        yield _rows([k for k, _ in parts], TaskContext.get().partitionId() % groups, [_packed(x) for _, x in parts])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = _widen(unpack(blob))
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                x = _unpacked(blob)
                 sums[k] = sums[k] + x if k in sums else x
-        pack = zstandard.ZstdCompressor(level=1).compress
-        yield _rows(list(sums), [pack(_narrow(x)) for x in sums.values()])
-
-    schema = "slice int, counts binary"
-    parts = scan.map_batches(df, count, schema).repartition(tasks, "slice")
-    out, unpack = np.zeros(size, np.int64), zstandard.ZstdDecompressor().decompress
-    for row in scan.map_batches(parts, total, schema).collect():
-        out[row.slice * SLICE : (row.slice + 1) * SLICE] = _widen(unpack(row.counts))
+        yield _rows(list(sums), 0, [_packed(x) for x in sums.values()])
+
+    parts = scan.map_batches(scan.map_batches(df, count, SCHEMA).repartitionById(groups, F.col("part")), total, SCHEMA)
+    parts = scan.map_batches(parts.repartitionById(min(slices, MOST_TASKS), F.col("slice")), total, SCHEMA)
+    out = np.zeros(size, np.int64)
+    for row in parts.collect():  # size numbers
+        out[row.slice * SLICE : (row.slice + 1) * SLICE] = _unpacked(row.counts)
     return out
 
 
-def _narrow(x: np.ndarray) -> bytes:
+def _packed(x: np.ndarray) -> bytes:
     kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if x.max(initial=0) <= np.iinfo(t).max and x.min(initial=0) >= np.iinfo(t).min)
-    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+    return bytes([np.dtype(kind).itemsize]) + zstandard.ZstdCompressor(level=1).compress(x.astype(kind).tobytes())
 
 
-def _widen(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[raw[0]], offset=1).astype(np.int64)
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[blob[0]]).astype(np.int64)
 
 
-def _rows(keys: list[int], blobs: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["slice", "counts"])
+def _rows(keys: list[int], part: int, blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([part] * len(keys), pa.int32()), pa.array(blobs, pa.binary())], ["slice", "part", "counts"])

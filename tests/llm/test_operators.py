@@ -315,8 +315,9 @@ def test_shards_follow_the_whole_order(spark):
 # language model
 
 
-def test_lm_tells_order_from_disorder(spark, docs, empty):
-    r = random.Random(2)
+def _chains(seed, n):
+    """Texts in which a word is followed by one of three, as (id, text) and as lists of held-out words."""
+    r = random.Random(seed)
     words = [f"w{k}" for k in range(200)]
     follow = {w: r.sample(words, 3) for w in words}
 
@@ -327,16 +328,18 @@ def test_lm_tells_order_from_disorder(spark, docs, empty):
             w = r.choice(follow[w])
         return out
 
-    train = [(i, " ".join(chain(200))) for i in range(400)]
-    held = [chain(100) for _ in range(50)]
-    mixed = [r.sample(h, len(h)) for h in held]
-    df = spark.createDataFrame(train, "doc_id long, text string").repartition(2)
-    texts = df.select("text")
-    n = lm.count_words(texts)
-    assert n.sum() == 400 * 200
-    net = lm.train(texts, n, rounds=6)
+    return [(i, " ".join(chain(200))) for i in range(n)], [chain(100) for _ in range(50)]
+
+
+def test_lm_tells_order_from_disorder(spark, docs, empty):
     import pyarrow as pa
 
+    train, held = _chains(2, 400)
+    mixed = [random.Random(k).sample(h, len(h)) for k, h in enumerate(held)]
+    texts = spark.createDataFrame(train, "doc_id long, text string").repartition(2).select("text")
+    n = lm.count_words(texts)
+    assert n.sum() == 400 * 200
+    net = lm.train(texts, n)
     good, bad = (lm.score_texts(pa.array([" ".join(x) for x in part]), net, n)[1] for part in (held, mixed))
     assert (good > bad).mean() > 0.9
     uniform = -100 * np.log(200)
@@ -347,6 +350,98 @@ def test_lm_tells_order_from_disorder(spark, docs, empty):
     assert lm.score(empty).count() == 0
 
 
+def _small_net(spark, seed=3):
+    rows_ = [(i, " ".join(random.Random(seed + i).choices([f"w{k}" for k in range(40)], k=60))) for i in range(30)]
+    texts = spark.createDataFrame(rows_, "doc_id long, text string").select("text")
+    words = lm.count_words(texts)
+    net = lm.Network.new(words)
+    r = np.random.Generator(np.random.PCG64(seed))
+    for x in net.parts:
+        x += r.normal(0, 0.3, x.shape).astype(np.float32)
+    return [t for _, t in rows_], words, net
+
+
+def _plain_chance(net, words, context, leaf):
+    """Log-chance of one leaf by walking its path."""
+    h = np.tanh(sum(net.embed[c] * net.layer[k] for k, c in enumerate(context)) + net.layer[-1])
+    out = 0.0
+    for step in words.steps[words.first[leaf] : words.first[leaf + 1]]:
+        odds = float(h @ net.node[step >> 1, :-1] + net.node[step >> 1, -1])
+        out -= np.log1p(np.exp(-odds if step & 1 else odds))
+    return out
+
+
+def test_lm_gradients_are_as_by_differences(spark):
+    _, words, net = _small_net(spark)
+    net = lm.Network(*(x.astype(np.float64) for x in net.parts))
+    r = np.random.Generator(np.random.PCG64(1))
+    context, leaf, weight = r.integers(0, len(net.embed), (50, len(lm.PLACES))), r.integers(0, len(words.counts), 50), r.integers(1, 4, 50).astype(float)
+
+    def loss():
+        return -(weight * net.log_chances(context, leaf, words)).sum() / weight.sum()
+
+    whole = [np.zeros(x.shape) for x in net.parts]
+    for part, at, _, g in lm.Trainer(net, words).gradients(context, leaf, weight):
+        np.add.at(whole[part], at, g)
+    for part, x in enumerate(net.parts):
+        for _ in range(30):
+            i, j = r.integers(0, x.shape[0]), r.integers(0, x.shape[1])
+            was, two = x[i, j], []
+            for by in (1e-5, -1e-5):
+                x[i, j] = was + by
+                two.append(loss())
+            x[i, j] = was
+            assert abs((two[0] - two[1]) / 2e-5 - whole[part][i, j]) < 1e-5, (part, i, j)
+
+
+def test_lm_scores_are_as_by_walking_the_tree_from_both_sides(spark):
+    import pyarrow as pa
+
+    texts, words, net = _small_net(spark)
+    texts = [*texts[:5], "w1", "", None, "never seen W1 w2"]
+    n, logs = lm.score_texts(pa.array(texts), net, words)
+    for text, count, got in zip(texts, n, logs):
+        hashed = [scan_hash(w) for w in brute.BLANK_WORD.findall((text or "").translate(brute.LOWER))]
+        leaf, share = words.leaves(np.array(hashed, np.uint64))
+        want = 0.0
+        for i in range(len(leaf)):
+            context = [leaf[i + by] + 1 if 0 <= i + by < len(leaf) else 0 for by in lm.PLACES]
+            want += _plain_chance(net, words, context, leaf[i]) + share[i]
+        assert count == len(leaf) and abs(got - want) < 1e-3
+    one = lambda t: lm.score_texts(pa.array([t]), net, words)[1][0]
+    middle = lambda a, b: _plain_chance(net, words, [0, a, b, 0], 2)
+    assert middle(1, 2) != middle(1, 3) and middle(1, 2) != middle(4, 2) and one("w1 w2 w3") != one("w3 w2 w1")
+
+
+def scan_hash(word):
+    import pyarrow as pa
+
+    from tessera.llm import scan
+
+    data, offs = scan.buffers(pa.array([word]))
+    starts, ends, _ = scan.words(data, offs)
+    return scan.hashes(data, starts, ends)[0]
+
+
+def test_lm_is_the_same_however_the_input_is_split_and_beats_word_counts(spark):
+    train, _ = _chains(4, 600)
+    train += [(1000 + k, train[0][1]) for k in range(300)]
+    df = spark.createDataFrame(train, "doc_id long, text string")
+    texts = df.select("text")
+    scores = []
+    for n in (1, 8):
+        words = lm.count_words(texts.repartition(n))
+        net = lm.train(texts.repartition(n), words, slice_words=40_000)
+        scores.append(net)
+    for a, b in zip(*(x.parts for x in scores)):
+        assert np.allclose(a, b, atol=1e-6)
+    got = [{r.doc_id: r.log_likelihood for r in lm.score(df.repartition(n)).collect()} for n in (1, 8)]
+    assert all(abs(got[0][i] - got[1][i]) <= 1e-6 * abs(got[0][i]) for i in got[0])
+    share = words.counts / words.sum()
+    unigram = (words.counts * np.log(np.maximum(share, 1e-300))).sum() / words.sum()
+    assert sum(got[0].values()) / (200 * len(train)) > unigram + 0.5
+
+
 def test_lm_predicts_words_beyond_the_most_frequent(spark):
     import pyarrow as pa
 
@@ -356,7 +451,7 @@ def test_lm_predicts_words_beyond_the_most_frequent(spark):
     texts = df.select("text")
     words = lm.count_words(texts)
     assert len(words.words) == 800 and lm.count_words(df.limit(100).select("text"), 1).distinct.sum() > 400
-    net = lm.train(texts, words, rounds=3)
+    net = lm.train(texts, words)
     one = np.tile(np.arange(1, 5), (len(words.counts), 1))
     assert abs(np.exp(net.log_chances(one, np.arange(len(words.counts)), words)).sum() - 1) < 1e-3
     pure = [" ".join(r.choices(topics[k % 2], k=200)) for k in range(20)]
