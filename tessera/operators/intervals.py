@@ -1,33 +1,43 @@
 """Interval algebra over DataFrames with columns chr, from, to (1-based, both ends included).
 
-Rows with a null in chr, from or to are no intervals and drop out of results that are made of intervals; empty tables give empty results.
-Set operations sort within chr; joins of two sets meet in bins of the coordinate axis, so that no pair of rows that cannot overlap is
-compared, and a pair is kept in one bin only, the one in which the later of both starts lies.
+Rows with a null in chr, from or to are no intervals and drop out of results that are made of intervals, as do those that end before they begin; empty
+tables give empty results. Set operations are sweeps over tiles of the axis (see tiles): rows that begin at the same place are brought together
+first, so no task holds a whole chr, or more of a tile than its places. Joins of two sets meet in bins of the axis, so that no pair of rows that
+cannot overlap is compared, and a pair is kept in one bin only, the one in which the later of both starts lies.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.operators.tiles import TILE, running, tiled
+
 KEYS = ("chr", "from", "to")
+#: Overlap joins take rows of up to 2**LEAST places as one size class.
+LEAST = 5
 
 
 def _clean(df: DataFrame) -> DataFrame:
     return df.where(F.col("chr").isNotNull() & F.col("from").isNotNull() & F.col("to").isNotNull())
 
 
-def islands(df: DataFrame, delta: int = 0) -> DataFrame:
-    """Numbers the islands of each chr: a row starts a new one when it lies more than delta beyond all rows before it."""
-    if delta < 0:
-        raise ValueError("delta is negative")
-    by = Window.partitionBy("chr").orderBy("from", "to")
-    before = F.max("to").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    return _clean(df).withColumn("_new", F.when(F.col("from") - before - 1 <= delta, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def _valid(df: DataFrame) -> DataFrame:
+    return _clean(df).where(F.col("from") <= F.col("to"))
 
 
 def join(df: DataFrame, delta: int = 0, minsize: int = 0) -> DataFrame:
-    """Merges rows whose gap is delta or less; keeps those at least minsize wide."""
-    merged = islands(df, delta).groupBy("chr", "_island").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    """Merges rows whose gap is delta or less; keeps those at least minsize wide. A row begins an island when it lies more than delta beyond the reach of
+    all rows before it; an island is known by the last beginning at or before a row."""
+    if delta < 0:
+        raise ValueError("delta is negative")
+    rows = tiled(_valid(df).groupBy("chr", "from").agg(F.max("to").alias("to")), "from")
+    reached = running(rows, ["chr"], ["from"], {"reach": ("max", F.col("to"))}, inclusive=False)
+    begins = F.when(F.coalesce(F.col("from") - F.col("reach") - 1 > delta, F.lit(True)), F.col("from"))
+    # a tile's rows come down to its islands, of which the first may go on from an earlier tile
+    here = Window.partitionBy("chr", TILE).orderBy("from").rowsBetween(Window.unboundedPreceding, 0)
+    parts = reached.withColumn("begin", F.max(begins).over(here)).groupBy("chr", TILE, "begin").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    islands = running(parts, ["chr"], ["from"], {"island": ("max", F.col("begin"))})
+    merged = islands.groupBy("chr", "island").agg(F.min("from").alias("from"), F.max("to").alias("to"))
     return threshold(merged.select(*KEYS), minsize)
 
 
@@ -60,29 +70,33 @@ def inter(a: DataFrame, b: DataFrame, minsize: int = 0) -> DataFrame:
     return threshold(_sweep(a, b, lambda in_a, in_b: (in_a > 0) & (in_b > 0)), minsize)
 
 
-def _sweep(a: DataFrame, b: DataFrame, keep) -> DataFrame:
-    """Stretches of the axis on which keep(number of rows of a, of b) holds, joined where they touch."""
-    marks = None
-    for df, wa, wb in ((a, 1, 0), (b, 0, 1)):
-        df = _clean(df)
+def _marks(*sets: tuple[DataFrame, str]) -> DataFrame:
+    """chr, at and the sums of the named changes there: 1 where a row of a set begins, -1 after its end."""
+    marks, names = None, [name for _, name in sets]
+    for df, name in sets:
+        df = _valid(df)
         for at, sign in ((F.col("from"), 1), (F.col("to") + 1, -1)):
-            part = df.select("chr", at.alias("at"), F.lit(sign * wa).alias("da"), F.lit(sign * wb).alias("db"))
+            part = df.select("chr", at.alias("at"), *[F.lit(sign if n == name else 0).alias(n) for n in names])
             marks = part if marks is None else marks.unionAll(part)
-    marks = marks.groupBy("chr", "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
-    by = Window.partitionBy("chr").orderBy("at")
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    spans = marks.select("chr", F.col("at").alias("from"), (F.lead("at").over(by) - 1).alias("to"), F.sum("da").over(upto).alias("in_a"), F.sum("db").over(upto).alias("in_b"))
-    return reduce(spans.where(keep(F.col("in_a"), F.col("in_b")) & F.col("to").isNotNull()).select(*KEYS))
+    return marks.groupBy("chr", "at").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def _sweep(a: DataFrame, b: DataFrame, keep) -> DataFrame:
+    """Stretches of the axis on which keep(number of rows of a, of b) holds, joined where they touch: from a place where it begins to the next where it ends."""
+    marks = tiled(_marks((a, "da"), (b, "db")), "at")
+    at = running(marks, ["chr"], ["at"], {"in_a": ("sum", F.col("da")), "in_b": ("sum", F.col("db"))})
+    on, was = keep(F.col("in_a"), F.col("in_b")), keep(F.col("in_a") - F.col("da"), F.col("in_b") - F.col("db"))
+    turns = at.select("chr", "at", TILE, on.alias("on"), was.alias("was")).where(F.col("on") != F.col("was"))
+    spans = running(turns, ["chr"], ["at"], {"from": ("max", F.when(F.col("on"), F.col("at")))})
+    return spans.where("was").select("chr", "from", (F.col("at") - 1).alias("to"))
 
 
 def depth(df: DataFrame) -> DataFrame:
-    """Stretches of equal depth, and the number of rows over each; depth 0 is left out."""
-    d = _clean(df)
-    marks = d.select("chr", F.col("from").alias("at"), F.lit(1).alias("d")).unionAll(d.select("chr", (F.col("to") + 1).alias("at"), F.lit(-1)))
-    marks = marks.groupBy("chr", "at").agg(F.sum("d").alias("d")).where("d <> 0")
-    by = Window.partitionBy("chr").orderBy("at")
-    out = marks.select("chr", F.col("at").alias("from"), (F.lead("at").over(by) - 1).alias("to"), F.sum("d").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
-    return out.where("depth > 0")
+    """Stretches of equal depth, and the number of rows over each; depth 0 is left out. A stretch ends before the mark at which the depth changes."""
+    marks = tiled(_marks((df, "d")).where("d <> 0"), "at")
+    at = running(marks, ["chr"], ["at"], {"upto": ("sum", F.col("d"))})
+    at = running(at, ["chr"], ["at"], {"from": ("max", F.col("at"))}, inclusive=False)
+    return at.select("chr", "from", (F.col("at") - 1).alias("to"), (F.col("upto") - F.col("d")).alias("depth")).where("depth > 0")
 
 
 def trim(df: DataFrame, margin: int) -> DataFrame:
@@ -90,22 +104,27 @@ def trim(df: DataFrame, margin: int) -> DataFrame:
     return df.withColumn("from", F.col("from") + margin).withColumn("to", F.col("to") - margin).where(F.col("from") <= F.col("to"))
 
 
-def bin_width(*sets: DataFrame) -> int:
-    """A bin width for overlap joins: four times the mean width of the rows, so that a row meets about two bins."""
-    widths = [s.agg(F.avg(F.col("to") - F.col("from") + 1)).first()[0] for s in sets]
-    return max(16, int(4 * max([w for w in widths if w is not None], default=4)))
-
-
-def _bins(df: DataFrame, width: int) -> DataFrame:
-    return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("from") / width), F.floor(F.col("to") / width))))
-
-
-def overlap_pairs(a: DataFrame, b: DataFrame, a_id: str = "id", b_id: str = "id", width: int | None = None) -> DataFrame:
-    """a_id, b_id, from and to (the common stretch) of each pair of rows that overlap."""
-    width = width or bin_width(a, b)
-    x = _bins(_clean(a).where("`from` <= `to`").select("chr", F.col("from").alias("af"), F.col("to").alias("at"), F.col(a_id).alias("a_id"), "from", "to"), width).drop("from", "to")
-    y = _bins(_clean(b).where("`from` <= `to`").select("chr", F.col("from").alias("bf"), F.col("to").alias("bt"), F.col(b_id).alias("b_id"), "from", "to"), width).drop("from", "to")
-    met = x.join(y, ["chr", "_bin"]).where((F.col("af") <= F.col("bt")) & (F.col("bf") <= F.col("at")) & (F.col("_bin") == F.floor(F.greatest("af", "bf") / width)))
+def _levels(df: DataFrame, other: DataFrame, bits: int | None) -> DataFrame:
+    """Adds _class, _level and _bin. A row's class is the power of two that its width comes to; it stands in bins of its own class's width, two at most, and in
+    those of the other side's larger classes."""
+    size = lambda: F.greatest(F.lit(LEAST), F.ceil(F.log2(F.col("to") - F.col("from") + 1)).cast("int"))
+    if bits is not None:
+        return df.withColumn("_class", F.lit(bits)).withColumn("_level", F.lit(bits)).withColumn("_bin", F.explode(F.sequence(F.shiftright("from", bits), F.shiftright("to", bits))))
+    present = other.select(size().alias("c")).agg(F.collect_set("c").alias("_present"))  # 64 classes at most
+    rows = df.withColumn("_class", size()).join(F.broadcast(present))
+    rows = rows.withColumn("_level", F.explode(F.array_union(F.array("_class"), F.filter("_present", lambda c: c > F.col("_class"))))).drop("_present")
+    step = F.pow(F.lit(2.0), F.col("_level"))
+    return rows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("from") / step), F.floor(F.col("to") / step))))
+
+
+def overlap_pairs(a: DataFrame, b: DataFrame, a_id: str = "id", b_id: str = "id", bits: int | None = None) -> DataFrame:
+    """a_id, b_id, from and to (the common stretch) of each pair of rows that overlap. bits: one bin width of 2**bits for all, instead of size classes."""
+    x0 = _valid(a).select("chr", F.col("from").cast("long").alias("from"), F.col("to").cast("long").alias("to"), F.col(a_id).alias("a_id"))
+    y0 = _valid(b).select("chr", F.col("from").cast("long").alias("from"), F.col("to").cast("long").alias("to"), F.col(b_id).alias("b_id"))
+    x = _levels(x0, y0, bits).withColumnsRenamed({"from": "af", "to": "at", "_class": "_ac"})
+    y = _levels(y0, x0, bits).withColumnsRenamed({"from": "bf", "to": "bt", "_class": "_bc"})
+    later = F.floor(F.greatest("af", "bf") / F.pow(F.lit(2.0), F.col("_level")))
+    met = x.join(y, ["chr", "_level", "_bin"]).where((F.col("af") <= F.col("bt")) & (F.col("bf") <= F.col("at")) & (F.col("_level") == F.greatest("_ac", "_bc")) & (F.col("_bin") == later))
     return met.select("chr", "a_id", "b_id", F.greatest("af", "bf").alias("from"), F.least("at", "bt").alias("to"))
 
 
@@ -116,39 +135,56 @@ def overlap(a: DataFrame, b: DataFrame, a_id: str = "id", b_id: str = "id") -> D
     return out.withColumn("b_ids", F.coalesce("b_ids", F.array().cast(pairs.schema["b_ids"].dataType)))
 
 
+def _beside(a: DataFrame, b: DataFrame, a_id: str) -> DataFrame:
+    """a_id, chr, af, at, below (p, n: the nearest end of b below the row, and how many rows end there), above (likewise), hits (rows of b that overlap)."""
+    rows = _clean(a).select("chr", F.col("from").cast("long").alias("af"), F.col("to").cast("long").alias("at"), F.col(a_id).alias("a_id"))
+    b = _valid(b)
+    ends = b.groupBy("chr", F.col("to").cast("long").alias("p")).agg(F.count("*").alias("ends"))
+    starts = b.groupBy("chr", F.col("from").cast("long").alias("p")).agg(F.count("*").alias("starts"))
+    # at a place: starts, the rows that look below, ends, the rows that look how many began
+    marks = starts.withColumn("o", F.lit(0)).unionByName(ends.withColumn("o", F.lit(2)), allowMissingColumns=True)
+    marks = marks.unionByName(rows.select("*", F.col("af").alias("p"), F.lit(1).alias("o")), allowMissingColumns=True).unionByName(rows.select("*", F.col("at").alias("p"), F.lit(3).alias("o")), allowMissingColumns=True)
+    up = running(
+        tiled(marks, "p"), ["chr"], ["p"],
+        {"below": ("max", F.when(F.col("ends").isNotNull(), F.struct("p", F.col("ends").alias("n")))), "ended": ("sum", F.col("ends")), "begun": ("sum", F.col("starts"))}, then=["o"],
+    )
+    back = starts.withColumn("o", F.lit(1)).unionByName(rows.select("*", F.col("at").alias("p"), F.lit(0).alias("o")), allowMissingColumns=True)
+    down = running(tiled(back, "p"), ["chr"], ["p"], {"above": ("min", F.when(F.col("starts").isNotNull(), F.struct("p", F.col("starts").alias("n"))))}, reverse=True, then=["o"])
+    own = ["a_id", "chr", "af", "at"]
+    seen = up.where("o = 1").select(*own, "below", "ended").unionByName(up.where("o = 3").select(*own, "begun"), allowMissingColumns=True).unionByName(down.where("o = 0").select(*own, "above"), allowMissingColumns=True)
+    return seen.groupBy(*own).agg(F.max("below").alias("below"), F.max("above").alias("above"), (F.max("begun") - F.max("ended")).alias("hits"))
+
+
+def _distance() -> Column:
+    return F.when(F.col("hits") > 0, F.lit(0)).otherwise(F.least(F.col("af") - F.col("below.p"), F.col("above.p") - F.col("at"))).cast("long")
+
+
 def nearest(a: DataFrame, b: DataFrame, a_id: str = "id") -> DataFrame:
-    """a_id, distance (0 if they overlap, null without a row of b on the chr) and ties, the number of rows of b at that distance.
-
-    The nearest row before is the one of largest `to` below, the nearest after the one of least `from` above; both are running extremes over the
-    rows of both sets in order, and rows at the same end count together. Only overlaps are counted by a join."""
-    rows = _clean(a).select("chr", F.col("from").alias("af"), F.col("to").alias("at"), F.col(a_id).alias("a_id"))
-    ends = _clean(b).groupBy("chr", "to").agg(F.count("*").alias("n")).select("chr", F.col("to").alias("p"), "n")
-    starts = _clean(b).groupBy("chr", "from").agg(F.count("*").alias("n")).select("chr", F.col("from").alias("p"), "n")
-    before = _beside(rows, ends, F.col("af"), True).withColumnsRenamed({"p": "bp", "n": "bn"})
-    both = before.join(_beside(rows, starts, F.col("at"), False).select("a_id", F.col("p").alias("np"), F.col("n").alias("nn")), "a_id")
-    hits = overlap_pairs(a, b, a_id, b.columns[0] if "id" not in b.columns else "id").groupBy("a_id").agg(F.count("*").alias("hits"))
-    both = both.join(hits, "a_id", "left").withColumn("db", F.col("af") - F.col("bp")).withColumn("da", F.col("np") - F.col("at"))
-    least = F.when(F.col("hits") > 0, F.lit(0)).otherwise(F.least("db", "da"))
-    ties = F.when(F.col("hits") > 0, F.col("hits")).otherwise(F.when(F.col("db") == least, F.col("bn")).otherwise(0) + F.when(F.col("da") == least, F.col("nn")).otherwise(0))
-    return both.select("a_id", least.cast("long").alias("distance"), F.coalesce(ties, F.lit(0)).cast("long").alias("ties"))
-
-
-def _beside(rows: DataFrame, points: DataFrame, at: Column, below: bool) -> DataFrame:
-    """The nearest point strictly below (or above) `at` for each row, by a running extreme over rows and points in one order."""
-    merged = points.select("chr", "p", F.struct("p", "n").alias("v"), F.lit(0).alias("is_row"), F.lit(None).cast("struct<af:bigint,at:bigint,a_id:bigint>").alias("r")).unionAll(
-        rows.select("chr", at.alias("p"), F.lit(None).cast("struct<p:bigint,n:bigint>"), F.lit(1), F.struct(F.col("af").cast("long").alias("af"), F.col("at").cast("long").alias("at"), F.col("a_id").cast("long").alias("a_id")))
-    )
-    # at equal places rows come first, so that a point counts as strictly below or above
-    by = Window.partitionBy("chr").orderBy(F.col("p").asc() if below else F.col("p").desc(), F.col("is_row").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return merged.withColumn("v", F.last("v", ignorenulls=True).over(by)).where("is_row = 1").select("chr", "r.af", "r.at", "r.a_id", F.col("v.p").alias("p"), F.col("v.n").alias("n"))
+    """a_id, distance (0 if they overlap, null without a row of b on the chr) and ties, the number of rows of b at that distance. a_id, of any type, is unique.
+
+    The nearest row before is the one of largest end below, the nearest after the one of least start above; the rows that overlap are those that have
+    begun less those that have ended. All are running figures over both sets in one order: no pairs are made."""
+    both = _beside(a, b, a_id).withColumn("distance", _distance())
+    side = F.when(F.col("af") - F.col("below.p") == F.col("distance"), F.col("below.n")).otherwise(0) + F.when(F.col("above.p") - F.col("at") == F.col("distance"), F.col("above.n")).otherwise(0)
+    return both.select("a_id", "distance", F.when(F.col("hits") > 0, F.col("hits")).otherwise(F.coalesce(side, F.lit(0))).cast("long").alias("ties"))
+
+
+def neighbours(a: DataFrame, b: DataFrame, a_id: str = "id", b_id: str = "id") -> DataFrame:
+    """a_id, b_id and distance of each row of b that is nearest to a row of a: all that overlap it at distance 0, or else all at the least distance. Ids are of any type."""
+    alone = _beside(a, b, a_id).withColumn("distance", _distance()).where("hits = 0 AND distance IS NOT NULL")
+    rows = _valid(b).select("chr", F.col("from").cast("long").alias("bf"), F.col("to").cast("long").alias("bt"), F.col(b_id).alias("b_id"))
+    before = alone.where(F.col("af") - F.col("below.p") == F.col("distance")).select("chr", F.col("below.p").alias("bt"), "a_id", "distance").join(rows, ["chr", "bt"])
+    after = alone.where(F.col("above.p") - F.col("at") == F.col("distance")).select("chr", F.col("above.p").alias("bf"), "a_id", "distance").join(rows, ["chr", "bf"])
+    hits = overlap_pairs(a, b, a_id, b_id).select("a_id", "b_id", F.lit(0).cast("long").alias("distance"))
+    return hits.unionByName(before.select("a_id", "b_id", "distance")).unionByName(after.select("a_id", "b_id", "distance"))
 
 
 def included(a: DataFrame, b: DataFrame, a_id: str = "id") -> DataFrame:
     """a_id and included: whether one row of b contains the row. Of b's rows that start no later, the one of largest end decides."""
-    rows = _clean(a).select("chr", F.col("from").alias("p"), F.lit(1).alias("is_row"), F.lit(None).cast("long").alias("reach"), F.col("to").cast("long").alias("at"), F.col(a_id).alias("a_id"))
-    cover = _clean(b).select("chr", F.col("from"), F.lit(0), F.col("to").cast("long"), F.lit(None).cast("long"), F.lit(None).cast(a.schema[a_id].dataType))
-    by = Window.partitionBy("chr").orderBy("p", "is_row").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.unionAll(cover).withColumn("reach", F.max("reach").over(by)).where("is_row = 1")
+    rows = _clean(a).select("chr", F.col("from").cast("long").alias("p"), F.lit(1).alias("is_row"), F.lit(None).cast("long").alias("end"), F.col("to").cast("long").alias("at"), F.col(a_id).alias("a_id"))
+    cover = _valid(b).groupBy("chr", F.col("from").cast("long").alias("p")).agg(F.max("to").cast("long").alias("end"))
+    marks = rows.unionByName(cover.withColumn("is_row", F.lit(0)), allowMissingColumns=True)
+    out = running(tiled(marks, "p"), ["chr"], ["p"], {"reach": ("max", F.col("end"))}, then=["is_row"]).where("is_row = 1")
     return out.select("a_id", F.coalesce(F.col("reach") >= F.col("at"), F.lit(False)).alias("included"))
 
 
@@ -164,48 +200,61 @@ def is_valid(df: DataFrame) -> DataFrame:
 
 def is_unsorted(df: DataFrame, order: str) -> DataFrame:
     """One row: whether rows of some chr, in the order of a column, step back in `from` (then `to`)."""
-    by = Window.partitionBy("chr").orderBy(order)
-    back = F.struct("from", "to") < F.lag(F.struct("from", "to")).over(by)
-    return df.select(back.alias("back")).agg(F.coalesce(F.bool_or("back"), F.lit(False)).alias("unsorted"))
+    rows = running(tiled(df.select("chr", order, F.struct("from", "to").alias("_at")), order), ["chr"], [order], {"_before": ("last", F.col("_at"))}, inclusive=False)
+    return rows.agg(F.coalesce(F.bool_or(F.col("_at") < F.col("_before")), F.lit(False)).alias("unsorted"))
 
 
 def is_disjoint(df: DataFrame, strong: bool = True) -> DataFrame:
-    """One row: strong, whether no two rows overlap; weak, whether no row contains another (equal rows contain each other)."""
-    by = Window.partitionBy("chr").orderBy("from", F.col("to").desc())
-    reach = F.max("to").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    bad = reach >= F.col("from") if strong else reach >= F.col("to")
-    return _clean(df).select(bad.alias("bad")).agg(F.coalesce(~F.bool_or("bad"), F.lit(True)).alias("disjoint"))
+    """One row: strong, whether no two rows overlap; weak, whether no row contains another (equal rows contain each other). Of rows that start at one place, one contains the other."""
+    rows = tiled(_valid(df).groupBy("chr", "from").agg(F.max("to").alias("to"), F.count("*").alias("n")), "from")
+    rows = running(rows, ["chr"], ["from"], {"reach": ("max", F.col("to"))}, inclusive=False)
+    bad = (F.col("n") > 1) | F.coalesce(F.col("reach") >= F.col("from" if strong else "to"), F.lit(False))
+    return rows.agg(F.coalesce(~F.bool_or(bad), F.lit(True)).alias("disjoint"))
 
 
 def sort_index(df: DataFrame, *ties: str) -> DataFrame:
     """Adds idx, the place of each row within its chr by to, then from, then ties."""
-    return df.withColumn("idx", F.row_number().over(Window.partitionBy("chr").orderBy("to", "from", *ties)))
+    out = running(tiled(df, "to"), ["chr"], ["to", "from", *ties], {"idx": ("sum", F.lit(1).cast("long"))})
+    return out.drop(TILE)
 
 
-def group_lists(df: DataFrame) -> DataFrame:
-    """Each chr's intervals as one sorted text from-to,from-to,...: a group is a row by its meaning."""
+def group_lists(df: DataFrame, bits: int | None = None) -> DataFrame:
+    """Each chr's intervals as one sorted text from-to,from-to,...: a group is a row by its meaning. bits: a row for each chr and stretch of 2**bits places that
+    intervals begin in, numbered by chunk, for groups too large for one row; in order of chunk the texts make up the whole."""
     pairs = F.transform(F.sort_array(F.collect_list(F.struct("from", "to"))), lambda s: F.concat_ws("-", s["from"], s["to"]))
-    return _clean(df).groupBy("chr").agg(F.array_join(pairs, ",").alias("spans"))
+    by = ["chr"] if bits is None else ["chr", F.shiftright(F.col("from").cast("long"), bits).alias("chunk")]
+    return _clean(df).groupBy(*by).agg(F.array_join(pairs, ",").alias("spans"))
 
 
 def runs(df: DataFrame, flag: str, p0: int = 1, delta: int = 1, minsize: int = 0) -> DataFrame:
     """Maximal runs of true flags over consecutive idx (from 1) of each chr, as intervals p0+(i-1)*delta .. p0+(j-1)*delta+delta-1."""
-    by = Window.partitionBy("chr").orderBy("idx")
-    on = df.where(F.col(flag)).withColumn("_g", F.col("idx") - F.row_number().over(by))
-    out = on.groupBy("chr", "_g").agg(F.min("idx").alias("i"), F.max("idx").alias("j"))
-    return threshold(out.select("chr", (F.lit(p0) + (F.col("i") - 1) * delta).alias("from"), (F.lit(p0) + F.col("j") * delta - 1).alias("to")), minsize)
+    out = join(df.where(F.col(flag)).select("chr", F.col("idx").cast("long").alias("from"), F.col("idx").cast("long").alias("to")))
+    return threshold(out.select("chr", (F.lit(p0) + (F.col("from") - 1) * delta).alias("from"), (F.lit(p0) + F.col("to") * delta - 1).alias("to")), minsize)
 
 
 def sample_positions(df: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """chr and pos: size positions of the reduced intervals, drawn uniformly without replacement; half of all positions if that is fewer than size.
 
-    Each interval offers its share and a little more, and the positions with the least random numbers stay."""
-    reduced = reduce(df).withColumn("w", F.col("to") - F.col("from") + 1)
-    total = reduced.agg(F.sum("w")).first()[0] or 0
+    The positions of all intervals are numbered through; numbers are drawn by hashes, repeats left out, the first `size` kept, and looked up. Of 2 * size + 64 draws
+    out of 2 * size numbers or more, over size are distinct but for a chance under 2**-60; should they not be, more are drawn."""
+    from tessera.operators import ordered
+    from tessera.runtime import cut
+
+    reduced = tiled(reduce(df), "from").withColumn("w", F.col("to") - F.col("from") + 1)
+    placed = running(reduced, ["chr"], ["from"], {"before": ("sum", F.col("w"))}, inclusive=False)
+    chrs = reduced.groupBy("chr").agg(F.sum("w").alias("w"))
+    firsts = chrs.select("chr", F.coalesce(F.sum("w").over(Window.orderBy("chr").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))  # a row for each sequence
+    placed = cut(placed.join(firsts, "chr").select("chr", "from", "w", (F.col("first") + F.col("before")).alias("at")))
+    total = placed.agg(F.sum("w")).first()[0] or 0
     size = min(size, total // 2)
     if not size:
-        return reduced.select("chr", F.col("from").alias("pos")).limit(0)
-    offered = reduced.withColumn("n", F.least(F.col("w"), F.ceil(F.col("w") * (2.0 * size / total)) + 4))
-    tries = offered.select("chr", "from", "w", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("k"))
-    drawn = tries.select("chr", (F.col("from") + F.pmod(F.xxhash64("chr", "from", "k", F.lit(seed)), F.col("w"))).alias("pos")).distinct()
-    return drawn.orderBy(F.xxhash64("chr", "pos", F.lit(seed + 1)), "chr", "pos").limit(size)
+        return placed.select("chr", F.col("from").alias("pos")).limit(0)
+    draws = 2 * size + 64
+    while True:
+        numbers = df.sparkSession.range(draws).select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("number"))
+        drawn = numbers.groupBy("number").agg(F.min("id").alias("id")).orderBy("id").limit(size)
+        if draws > 4 * size + 256 or drawn.count() == size:
+            break
+        draws *= 2
+    found = ordered.asof(drawn, placed.withColumn("v", F.struct("chr", "from")), [], "number", "at", "v", ["id"])
+    return found.select("v.chr", (F.col("v.from") + F.col("number") - F.col("found_at")).alias("pos"))

@@ -10,6 +10,8 @@ import pandas as pd
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.operators.tiles import running, tiled
+
 
 def _w(by: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*by).orderBy(*order)
@@ -89,19 +91,17 @@ def tail(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> Data
 
 def find_interval(points: DataFrame, breaks: DataFrame, by: Sequence[str], pos: str, at: str, keep: Sequence[str]) -> DataFrame:
     """Adds place: how many breaks of the sequence are at or below each point, 1 at least. One sweep over points and breaks in order, without pairs."""
-    marks = points.select(*by, *keep, F.col(pos).alias("_p"), F.lit(1).alias("_q")).unionByName(breaks.select(*by, F.col(at).alias("_p"), F.lit(0).alias("_q")), allowMissingColumns=True)
-    w = _w(by, ["_p", "_q"]).rowsBetween(Window.unboundedPreceding, 0)
-    out = marks.withColumn("place", F.greatest(F.lit(1), F.sum(1 - F.col("_q")).over(w)).cast("long"))
-    return out.where("_q = 1").select(*by, *keep, F.col("_p").alias(pos), "place")
+    breaks = breaks.groupBy(*by, F.col(at).alias("_p")).agg(F.count("*").alias("_n"))
+    marks = points.select(*by, *keep, F.col(pos).alias("_p"), F.lit(1).alias("_q")).unionByName(breaks.withColumn("_q", F.lit(0)), allowMissingColumns=True)
+    out = running(tiled(marks, "_p"), by, ["_p"], {"place": ("sum", F.col("_n"))}, then=["_q"]).where("_q = 1")
+    return out.select(*by, *keep, F.col("_p").alias(pos), F.greatest(F.lit(1), F.col("place")).cast("long").alias("place"))
 
 
 def asof(points: DataFrame, values: DataFrame, by: Sequence[str], pos: str, at: str, value: str, keep: Sequence[str], tolerance: int | None = None) -> DataFrame:
-    """Adds the value of the last row of values at or below each point, and found_at; null beyond the tolerance or where there is none."""
-    marks = points.select(*by, *keep, F.col(pos).alias("_p"), F.lit(1).alias("_q")).unionByName(
-        values.select(*by, F.col(at).alias("_p"), F.lit(0).alias("_q"), F.struct(F.col(at).alias("at"), F.col(value).alias("v")).alias("_v")), allowMissingColumns=True
-    )
-    w = _w(by, ["_p", "_q", "_v"]).rowsBetween(Window.unboundedPreceding, 0)
-    out = marks.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_q = 1")
+    """Adds the value of the last row of values at or below each point (of several there, the largest), and found_at; null beyond the tolerance or where there is none."""
+    values = values.groupBy(*by, F.col(at).alias("_p")).agg(F.max(F.struct(F.col(at).alias("at"), F.col(value).alias("v"))).alias("_w"))
+    marks = points.select(*by, *keep, F.col(pos).alias("_p"), F.lit(1).alias("_q")).unionByName(values.withColumn("_q", F.lit(0)), allowMissingColumns=True)
+    out = running(tiled(marks, "_p"), by, ["_p"], {"_v": ("last", F.col("_w"))}, then=["_q"]).where("_q = 1")
     if tolerance is not None:
         out = out.withColumn("_v", F.when(F.col("_p") - F.col("_v.at") <= tolerance, F.col("_v")))
     return out.select(*by, *keep, F.col("_p").alias(pos), F.col("_v.at").alias("found_at"), F.col("_v.v").alias(value))
@@ -109,17 +109,20 @@ def asof(points: DataFrame, values: DataFrame, by: Sequence[str], pos: str, at:
 
 def run_lengths(df: DataFrame, by: Sequence[str], order: Sequence[str], state: str, pos: str) -> DataFrame:
     """Runs of equal states: run (from 1), state, from and to (the places of its first and last row), size. Nulls are a state."""
-    w = _w(by, order)
-    new = F.when((F.row_number().over(w) == 1) | ~F.col(state).eqNullSafe(F.lag(state).over(w)), 1).otherwise(0)
-    rows = df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    rows = tiled(df.select(*dict.fromkeys([*by, *order, pos, state])).withColumn("_s", F.struct(F.col(state).alias("s"))), order[0])
+    rows = running(rows, by, order, {"_b": ("last", F.col("_s"))}, inclusive=False)
+    new = F.when(F.col("_b").isNotNull() & F.col("_s.s").eqNullSafe(F.col("_b.s")), 0).otherwise(1)
+    rows = running(rows.withColumn("_new", new), by, order, {"run": ("sum", F.col("_new"))})
     return rows.groupBy(*by, "run").agg(F.first(state).alias("state"), F.min(pos).alias("from"), F.max(pos).alias("to"), F.count("*").alias("size"))
 
 
 def fuse(df: DataFrame, by: Sequence[str], gap: int) -> DataFrame:
     """Joins a row of from, to, state with the one before when the states are the same and the gap is under `gap`; a fused row has the first's from and the last's other values."""
-    w = _w(by, ["from", "to"])
-    new = F.when(F.col("state").eqNullSafe(F.lag("state").over(w)) & (F.col("from") - F.lag("to").over(w) < gap), 0).otherwise(1)
-    rows = df.withColumn("_new", new).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ["from", "to", "state"]
+    rows = tiled(df.select(*by, *order), "from")
+    rows = running(rows, by, order, {"_b": ("last", F.struct("to", "state"))}, inclusive=False)
+    new = F.when(F.col("_b").isNotNull() & F.col("state").eqNullSafe(F.col("_b.state")) & (F.col("from") - F.col("_b.to") < gap), 0).otherwise(1)
+    rows = running(rows.withColumn("_new", new), by, order, {"_g": ("sum", F.col("_new"))})
     return rows.groupBy(*by, "_g").agg(F.max_by("state", F.struct("from", "to")).alias("state"), F.min("from").alias("from"), F.max_by("to", F.struct("from", "to")).alias("to"), F.count("*").alias("fused")).drop("_g")
 
 
