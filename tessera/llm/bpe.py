@@ -1,168 +1,277 @@
 """BPE encoding and decoding with a distinct-word table.
 
-Texts are cut into words in Spark; the words of all documents are counted, and each distinct word of the table's head is encoded once. The
-head, `head` words at most and the most frequent, is what the executors get; words outside it are encoded once for each table that a
-task builds as it goes. Ids are joined back by position: a text's ids are those of its words in order. Decoding joins each id with its piece and
-puts the pieces' bytes together.
+Texts are cut into words in Spark. A task numbers the distinct words of a stretch of its texts, writes the texts as numbers to the shared folder, and
+hands on the stretch's words, each once. These are shuffled by word and come in order, so that every distinct word of all documents is encoded once,
+and its ids go back to all stretches that have it, joined by the word's number there. A stretch's ids are then those at its numbers, by position.
+Decoding joins each id with its piece and puts the pieces' bytes together.
+
+A word of all texts has a row for each stretch, not for each place, so frequent words are no hot keys; a task holds the words of one
+stretch. The stretches' words are a written table, so that a task that runs again finds the same stretches.
 
 Defined results: null and empty texts have no ids and decode to ''; special strings inside texts become special tokens, as the library does by
-default; a text of any length is one row; repeated rows give repeated results; further columns are ignored.
+default, and are words of their own; a text of any length and script is one row, all of whose words are in the table; repeated rows give repeated
+results; further columns are ignored, and those to keep must not be named as the result's.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyarrow import fs
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tessera.llm import scan, units, vocab
 from tessera.runtime import Kept
 
 VOCABULARY = "byte_bpe_50k.json"
-HEAD = 150_000
-#: Distinct words that a task's counts hold before they are handed on.
-COUNTED = 300_000
+#: Characters of a stretch, one text at least, and of what is handled at once within it.
+STRETCH, STEP = 32 << 20, 1 << 20
+WORDS = "stretch long, number int, word string"
 
 
 def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-def word_counts(texts: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """word and n over all pre-tokens of texts (one string column). Texts whose units aren't pre-tokens are left to the tasks' own tables."""
+class Numbers:
+    """Numbers for the distinct words of a stretch, by their lettered forms."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, counts = units.tokenizer(vocabulary), Counter()
-        for batch in batches:
-            for value in batch.column(0):
-                words, plain = own.units(value.as_py() or "")
-                if plain:
-                    counts.update(words)
-                if len(counts) > COUNTED:
-                    yield from _counted(counts)
-                    counts = Counter()
-        yield from _counted(counts)
+    def __init__(self, own: units.Tokenizer):
+        self.own, self.of_key = own, {}
+        self.plain = units.Memo(lambda word: self.number(units.lettered(word)))
+        self.other = units.Memo(lambda unit: [self.number(k) for k in own.keys(unit)])
+
+    def number(self, key: str) -> int:
+        return self.of_key.setdefault(key, len(self.of_key))
 
-    return scan.map_batches(texts, run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def of(self, text: str) -> list[int]:
+        parts, plain = self.own.units(text)
+        return [*map(self.plain.__getitem__, parts)] if plain else [n for p in parts for n in self.other[p]]
 
 
-def _counted(counts: Counter) -> Iterator[pa.RecordBatch]:
-    words, n = list(counts), list(counts.values())
-    for i in range(0, len(words), 20_000):
-        yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 20_000], pa.string()), pa.array(n[i : i + 20_000], pa.int64())], ["word", "n"])
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers, their bytes of equal place together, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
-def word_table(counts: DataFrame, vocabulary: str = VOCABULARY, head: int = HEAD) -> DataFrame:
-    """word and ids (little-endian 32-bit) of the most frequent words: all that occur so often that at most `head` words occur as often or more.
+def _unplaned(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
 
-    The limit comes from a histogram of 16 classes for each doubling, so no task gathers the words themselves."""
-    level = F.floor(F.log2("n") * 16).cast("int")
-    sizes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()  # under 1,024 rows, as n has 64 bits
-    upto, least = 0, None
-    for r in sizes:
-        upto += r.words
-        if upto > head:
-            break
-        least = r.level
+
+def split_words(docs: DataFrame, folder: str, vocabulary: str, stretch: int = STRETCH) -> DataFrame:
+    """docs: columns to keep, and the text last. WORDS of each stretch, and a row of number -1 whose word is the name of the stretch's file in folder: batches of the kept
+    columns, the number of words of each row, and, in the first row, all words' numbers."""
+    kinds = pa.schema([*list(_kinds(docs))[:-1], pa.field("__n", pa.int32()), pa.field("__numbers", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, where = units.tokenizer(vocabulary), fs.FileSystem.from_uri(folder)
+        part, k = TaskContext.get().partitionId(), 0
+        steps = (s for batch in batches for s in _steps(batch))
+        step = next(steps, None)
+        while step is not None:
+            numbers, size, name = Numbers(own), 0, uuid.uuid4().hex
+            where[0].create_dir(where[1])
+            with where[0].open_output_stream(f"{where[1]}/{name}") as out, pa.ipc.new_stream(out, kinds) as writer:
+                while step is not None and (size == 0 or size + step[1] <= stretch):
+                    rows, size = step[0], size + step[1]
+                    found = [numbers.of(x.as_py() or "") for x in rows.column(rows.num_columns - 1)]
+                    blob = _planes(np.concatenate([np.zeros(0, np.int32), *(np.array(x, np.int32) for x in found)]))
+                    cols = [*rows.columns[:-1], pa.array([len(x) for x in found], pa.int32()), pa.array([blob] + [None] * (len(found) - 1), pa.binary())]
+                    writer.write_batch(pa.RecordBatch.from_arrays(cols, schema=kinds))
+                    step = next(steps, None)
+            keys, at = [name, *numbers.of_key], (k << 32) + part
+            for lo in range(0, len(keys), 50_000):
+                n = len(keys[lo : lo + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at)), pa.array(np.arange(lo - 1, lo - 1 + n, dtype=np.int32)), pa.array(keys[lo : lo + 50_000], pa.string())], ["stretch", "number", "word"])
+            k += 1
+
+    return scan.map_batches(docs, run, WORDS)
+
+
+def _steps(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Slices of up to STEP bytes of text, one row at least, and their bytes."""
+    offs = scan.buffers(batch.column(batch.num_columns - 1))[1]
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + STEP, "right")) - 1)
+        yield batch.slice(i, j - i), int(offs[j] - offs[i]) + 1
+        i = j
+
+
+def _kinds(df: DataFrame) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(df.schema)
+
+
+def encode_words(words: DataFrame, vocabulary: str, encode: Callable[[str], list[int]] | None = None) -> DataFrame:
+    """stretch, number and ids (little-endian 32-bit) of each of WORDS. Rows come by word in order, so that a word is encoded when it changes: once.
+    Of number -1, the ids are the word as it is. encode: in place of the vocabulary's own model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = units.tokenizer(vocabulary)
+        ids_of, last, ids = encode or units.tokenizer(vocabulary).key_ids, None, b""
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(own.word_ids(w)) for w in words], pa.binary())], ["word", "ids"])
+            out = []
+            for number, word in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if number < 0:
+                    out.append(word.encode())
+                    continue
+                if word != last:
+                    last, ids = word, _packed(ids_of(word))
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["stretch", "number", "ids"])
 
-    frequent = counts.where(F.lit(False) if least is None else level >= least)
-    return scan.map_batches(frequent.select("word"), run, "word string, ids binary")
+    n = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return scan.map_batches(words.repartition(n, "word").sortWithinPartitions("word"), run, "stretch long, number int, ids binary")
 
 
-def encoder(vocabulary: str, table: dict[str, bytes] | None = None):
-    """A function from texts to their ids as little-endian 32-bit numbers."""
-    own = units.tokenizer(vocabulary)
-    words = units.Memo(lambda w: _packed(own.word_ids(w)), table)
-    others = units.Memo(lambda u: _packed(own.unit_ids(u)), most=50_000)
+def _cuts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
 
-    def encode(text: str) -> bytes:
-        parts, plain = own.units(text)
-        memo = words if plain else others
-        out = b"".join(map(memo.__getitem__, parts))
-        memo.trim()
-        return out
 
-    return encode
+def _taken(data: np.ndarray, cuts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of data between cuts at the given places, one after the other, and their sizes."""
+    size = cuts[at + 1] - cuts[at]
+    first = np.cumsum(size) - size
+    return data[np.repeat(cuts[at] - first, size) + np.arange(size.sum())], size
 
 
-def _pieces(path: str) -> list[bytes]:
+class Pieces:
     """The bytes of each id: those that its letters stand for, or the characters' own where a letter stands for none."""
-    from tokenizers import Tokenizer
 
-    of_letter = {c: bytes([b]) for b, c in enumerate(units.byte_letters())}
-    ids = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
-    out = [b""] * (max(ids.values()) + 1)
-    for word, i in ids.items():
-        out[i] = b"".join(of_letter[c] for c in word) if all(c in of_letter for c in word) else word.encode()
-    return out
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
+        of_letter = {c: bytes([b]) for b, c in enumerate(units.byte_letters())}
+        ids = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+        out = [b""] * (max(ids.values()) + 1)
+        for word, i in ids.items():
+            out[i] = b"".join(of_letter[c] for c in word) if all(c in of_letter for c in word) else word.encode()
+        self.table = pa.array(out, pa.large_binary())
 
-def decode(ids: bytes, pieces: list[bytes]) -> str:
-    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+    def texts(self, ids: np.ndarray, cuts: np.ndarray) -> list[str]:
+        """The texts of runs of ids: each id is joined with its piece, and a run's pieces are put together."""
+        if not len(ids):
+            return [""] * (len(cuts) - 1)
+        joined = pc.take(self.table, pa.array(ids))
+        _, offsets, data = joined.buffers()
+        at = np.frombuffer(offsets, np.int64)[joined.offset + cuts]
+        raw = memoryview(data) if data is not None else b""
+        return [str(raw[a:b], "utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def map_ids(docs: DataFrame, f, schema: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", vocabulary: str = VOCABULARY, head: int = HEAD) -> DataFrame:
-    """The columns of keep, and f(ids of each text, pieces) as a list of columns of schema. The table's head is collected: head words, whatever the input."""
-    texts = docs.select(docs[text].alias("__text"))
-    kept = Kept(docs.sparkSession, "words")
-    table = {r.word: bytes(r.ids) for r in word_table(kept.put("counts", word_counts(texts, vocabulary)), vocabulary, head).collect()}
-    kept.drop("counts")
-    sent = docs.sparkSession.sparkContext.broadcast(table)
-    own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+def pieces(vocabulary: str) -> Pieces:
+    return vocab.once("pieces", vocabulary, Pieces)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pieces = encoder(vocabulary, sent.value), vocab.once("pieces", vocabulary, _pieces)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                cols = f([encode(x.as_py() or "") for x in part.column(len(keep))], pieces)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *cols], names=[*keep, *(f"_{k}" for k in range(len(cols)))])
 
-    return scan.map_batches(docs.select(*keep, docs[text].alias("__text")), run, f"{own}, {schema}")
+Made = Callable[[np.ndarray, np.ndarray, Pieces], list[pa.Array]]
 
 
-def digests(ids: list[bytes], pieces: list[bytes]) -> list[pa.Array]:
+def map_ids(docs: DataFrame, f: Made, schema: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", vocabulary: str = VOCABULARY, stretch: int = STRETCH) -> DataFrame:
+    """The columns of keep, and f(ids, cuts, pieces) as a list of columns of schema: ids of some texts one after the other, and where each text's begin and the last's end."""
+    if clash := [c for c in keep if c in T._parse_datatype_string(schema).names]:
+        raise ValueError(f"columns {clash} would be hidden by the result's own")
+    rows = docs.select(*[F.col(c).alias(f"__k{k}") for k, c in enumerate(keep)], docs[text].alias("__text"))
+    kept = Kept(docs.sparkSession, "bpe")
+    folder = f"{kept.root}/texts"
+    words = kept.put("words", split_words(rows, folder, vocabulary, stretch))
+    encoded = encode_words(words, vocabulary)
+    n = max(1, words.where("number = -1").count())
+    own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    names = [*keep, *T._parse_datatype_string(schema).names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, known = fs.FileSystem.from_uri(folder), pieces(vocabulary)
+
+        def finish(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """parts: the ids of one stretch's words in order, the first being its file's name."""
+            ids = pa.chunked_array([p.column(2) for p in parts]).combine_chunks().cast(pa.large_binary())
+            _, offsets, raw = ids.buffers()
+            at = np.frombuffer(offsets, np.int64)[ids.offset : ids.offset + len(ids) + 1]
+            table, cuts = np.frombuffer(raw, "<u4", (at[-1] - at[1]) // 4, at[1]), (at[1:] - at[1]) // 4
+            with where[0].open_input_stream(f"{where[1]}/{ids[0].as_py().decode()}") as source, pa.ipc.open_stream(source) as texts:
+                for batch in texts:
+                    words_of = _cuts(batch.column(len(keep)).to_numpy())
+                    got, size = _taken(table, cuts, _unplaned(batch.column(len(keep) + 1)[0].as_py()))
+                    cols = f(got, _cuts(size)[words_of], known)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], names=names)
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            ends = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for lo, hi in zip(ends, ends[1:]):
+                if held and held[0].column(0)[0].as_py() != of[lo]:
+                    yield from finish(held)
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from finish(held)
+
+    # a task for each stretch: stretches are numbered by task and within it
+    to = F.pmod(F.shiftright("stretch", 32) * 7919 + F.col("stretch").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(n)).cast("int")
+    return scan.map_batches(encoded.repartitionById(n, to).sortWithinPartitions("stretch", "number"), run, f"{own}, {schema}" if keep else schema)
+
+
+def digests(ids: np.ndarray, cuts: np.ndarray, known: Pieces) -> list[pa.Array]:
     """Number of ids, and digests of the ids and of the text decoded from them."""
+    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B") if len(ids) else b""
     return [
-        pa.array([len(x) // 4 for x in ids], pa.int64()),
-        pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-        pa.array([hashlib.sha256(decode(x, pieces).encode()).hexdigest() for x in ids]),
+        pa.array(np.diff(cuts), pa.int64()),
+        pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.string()),
+        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in known.texts(ids, cuts)], pa.string()),
     ]
 
 
-def digests_and_lists(ids: list[bytes], pieces: list[bytes]) -> list[pa.Array]:
-    return digests(ids, pieces) + lists(ids, pieces)
+def lists(ids: np.ndarray, cuts: np.ndarray, known: Pieces) -> list[pa.Array]:
+    """The ids themselves."""
+    return [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32)))]
 
 
-def lists(ids: list[bytes], pieces: list[bytes]) -> list[pa.Array]:
-    """The ids themselves."""
-    return [pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))]
+def digests_and_lists(ids: np.ndarray, cuts: np.ndarray, known: Pieces) -> list[pa.Array]:
+    return digests(ids, cuts, known) + lists(ids, cuts, known)
 
 
-def encode_texts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", vocabulary: str = VOCABULARY, head: int = HEAD) -> DataFrame:
+def encode_texts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """The columns of keep, and ids array<int>."""
-    return map_ids(docs, lists, "ids array<int>", keep, text, vocabulary, head)
+    return map_ids(docs, lists, "ids array<int>", keep, text, vocabulary)
 
 
 def decode_ids(df: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY, out: str = "decoded") -> DataFrame:
     """Adds the text of each row's ids; null for null."""
+    if out in df.columns:
+        raise ValueError(f"column {out} would be hidden by the decoded text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocab.once("pieces", vocabulary, _pieces)
+        known = pieces(vocabulary)
         for batch in batches:
-            column = [None if x is None else decode(np.array(x, "<u4").tobytes(), pieces) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(column, pa.string())], names=[*batch.schema.names, out])
+            column = batch.column(batch.schema.get_field_index(ids))
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            texts = known.texts(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), _cuts(sizes))
+            texts = pa.array([t if ok else None for t, ok in zip(texts, column.is_valid().to_pylist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, out])
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return scan.map_batches(df, run, f"{kind}, `{out}` string")
+
+
+def encoder(vocabulary: str) -> Callable[[str], bytes]:
+    """A function from one text to its ids as little-endian 32-bit numbers, for operators that encode as they go."""
+    own = units.tokenizer(vocabulary)
+    words = units.Memo(lambda w: _packed(own.word_ids(w)))
+    others = units.Memo(lambda u: _packed(own.unit_ids(u)))
+
+    def encode(text: str) -> bytes:
+        parts, plain = own.units(text)
+        return b"".join(map((words if plain else others).__getitem__, parts))
+
+    return encode

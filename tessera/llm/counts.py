@@ -2,7 +2,7 @@
 
 A pre-token begins as one symbol for each byte, linked in a list; the adjacent pair of lowest rank is popped from a heap and merged, leftmost
 first, until no pair has a rank. The count is the number of initial symbols less the merges; no identifiers are made. Pre-tokens repeat, so
-counts are kept by pre-token in a table of bounded size.
+counts are kept by pre-token in a table bounded in bytes.
 
 Defined results: null and empty texts have no bytes and no tokens; special strings inside texts count one each, as the library has it by
 default; a text of any length is one row; repeated rows give repeated results; further columns are ignored.
@@ -71,20 +71,20 @@ def counter(vocabulary: str):
         return special + sum(merged_length(list(w), ranks) for w in words)
 
     words = units.Memo(lambda w: merged_length(list(units.lettered(w)), ranks))
-    others = units.Memo(of_unit, most=50_000)
+    others = units.Memo(of_unit)
 
     def count(text: str) -> int:
         parts, plain = own.units(text)
         memo = words if plain else others
-        out = sum(map(memo.__getitem__, parts))
-        memo.trim()
-        return out
+        return sum(map(memo.__getitem__, parts))
 
     return count
 
 
 def count_tokens(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", vocabulary: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:
     """The columns of keep, and n_bytes, n_tokens and over_limit."""
+    if clash := [c for c in keep if c in ("n_bytes", "n_tokens", "over_limit")]:
+        raise ValueError(f"columns {clash} would be hidden by the counts")
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

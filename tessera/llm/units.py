@@ -3,12 +3,13 @@
 Both vocabularies that the tokenizers library serves here cut a text with a regular expression before any merging. For texts of the
 characters in PLAIN that expression is equal to one of the two below, so their units are the pre-tokens themselves. Other texts are cut
 before each space or line feed that follows another character, where no pre-token can go on; texts that hold further white space, which the
-library may treat in other ways, are one unit each.
+library may treat in other ways, before each blank that follows a printable ASCII character.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable
 
 from tessera.llm import vocab
@@ -16,6 +17,7 @@ from tessera.llm import vocab
 OTHER = re.compile(r"[^\n -~À-ÖØ-öø-ÿ]")
 STRANGE_BLANK = re.compile(r"[^\S \n]")
 CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+CUT = re.compile(r"(?<=[!-~])(?=[ \n\t\r])")
 BYTE_WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
 LOWER_WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
@@ -50,7 +52,7 @@ class Tokenizer:
             return (LOWER_WORDS.findall(text.lower()) if self.lowers else BYTE_WORDS.findall(text)), True
         if not STRANGE_BLANK.search(text):
             return CHUNK.findall(text), False
-        return [text], False
+        return CUT.split(text), False
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of a pre-token, by the library's model."""
@@ -65,24 +67,39 @@ class Tokenizer:
         norm = (lambda x: self.whole.normalizer.normalize_str(x)) if self.lowers else (lambda x: x)
         return [w for p in parts if p for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(norm(p))], len(parts) - 1
 
+    def keys(self, unit: str) -> list[str]:
+        """The pre-tokens of a unit, lettered, in order, and its special tokens between them, marked by a NUL, which stands for no byte."""
+        out, at = [], 0
+        for m in self.has_special.finditer(unit):
+            out += [*self.pre_tokens(unit[at : m.start()])[0], "\0" + m.group()]
+            at = m.end()
+        return out + self.pre_tokens(unit[at:])[0]
+
+    def key_ids(self, key: str) -> list[int]:
+        return [self.special[key[1:]]] if key[:1] == "\0" else [t.id for t in self.model.tokenize(key)]
+
 
 def tokenizer(path: str) -> Tokenizer:
     return vocab.once("units", path, Tokenizer)
 
 
 class Memo(dict):
-    """Results by unit. Emptied but for what it began with when it has more than `most` entries, so that its size is bounded; a unit that comes again is worked out again."""
+    """Results by unit. Its size is bounded in bytes: it is emptied when it would hold more than `most`, and units of more than LONGEST characters aren't kept.
+    What isn't there is worked out again."""
 
-    def __init__(self, f: Callable, first: dict | None = None, most: int = 400_000):
-        super().__init__(first or {})
-        self.f, self.first, self.most = f, first or {}, most
+    LONGEST = 256
+
+    def __init__(self, f: Callable, most: int = 96 << 20):
+        super().__init__()
+        self.f, self.most, self.held = f, most, 0
 
     def __missing__(self, unit):
-        out = self[unit] = self.f(unit)
+        out = self.f(unit)
+        if len(unit) <= self.LONGEST:
+            size = sys.getsizeof(unit) + sys.getsizeof(out) + 128
+            if self.held + size > self.most:
+                self.clear()
+                self.held = 0
+            self.held += size
+            self[unit] = out
         return out
-
-    def trim(self) -> None:
-        """Called between texts."""
-        if len(self) > self.most:
-            self.clear()
-            self.update(self.first)

@@ -196,7 +196,7 @@ def test_decontamination_is_as_by_windows(spark, docs, empty, limit):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_units_encode_as_the_library(name):
     r = random.Random(4)
-    alphabet = ["a", "E", "é", "1", " ", "  ", "\n", "'s", "'LL", ".", "ß", "\t", " ", "<|endoftext|>", "日", "́", "🙂", "the", "Ing", "\r\n", "²", "İ", "Σ"]
+    alphabet = ["a", "E", "é", "1", " ", "  ", "\n", "'s", "'LL", ".", "ß", "\t", " ", "<|endoftext|>", "日", "́", "🙂", "the", "Ing", "\r\n", "²", "İ", "Σ", "\x1c", "\x85", "\u3000", "’"]
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 25))) for _ in range(3000)] + [t or "" for t in TEXTS]
     encode, whole = bpe.encoder(name), vocab.tokenizer(name)
     count = counts.counter(name) if name.startswith("byte") else None
@@ -205,12 +205,15 @@ def test_units_encode_as_the_library(name):
         assert np.frombuffer(encode(text), "<u4").tolist() == ids, text
         if count:
             assert count(text) == len(ids), text
-            assert bpe.decode(np.array(ids, "<u4").tobytes(), vocab.once("pieces", name, bpe._pieces)) == whole.decode(ids, skip_special_tokens=False)
+            assert bpe.pieces(name).texts(np.array(ids, np.int64), np.array([0, len(ids)])) == [whole.decode(ids, skip_special_tokens=False)]
 
 
-def test_bpe_query_form(docs, empty):
+@pytest.mark.parametrize("stretch", [bpe.STRETCH, 40])
+def test_bpe_query_form(docs, empty, stretch):
     whole = vocab.tokenizer(bpe.VOCABULARY)
-    for r in bpe.map_ids(docs, bpe.digests, "n long, ids_sha256 string, decoded_sha256 string", head=50).collect():
+    got = bpe.map_ids(docs, bpe.digests, "n long, ids_sha256 string, decoded_sha256 string", stretch=stretch).collect()
+    assert len(got) == len(TEXTS) + 2
+    for r in got:
         text = TEXTS[r.doc_id] or "" if r.doc_id is not None else "nobody owns this text at all"
         ids = whole.encode(text, add_special_tokens=False).ids
         assert (r.n, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
@@ -218,6 +221,23 @@ def test_bpe_query_form(docs, empty):
     back = bpe.decode_ids(bpe.encode_texts(docs.drop("ids")))
     assert {r.doc_id: r.decoded for r in back.collect() if r.doc_id is not None} == {i: t or "" for i, t in enumerate(TEXTS)}
     assert bpe.encode_texts(empty.drop("ids")).count() == 0
+    for clash in (lambda: bpe.encode_texts(docs, keep=("ids",)), lambda: bpe.decode_ids(docs, out="text"), lambda: counts.count_tokens(docs.withColumn("n_bytes", F.lit(1)), keep=("n_bytes",))):
+        with pytest.raises(ValueError):
+            clash()
+
+
+def test_bpe_encodes_each_distinct_word_once(spark, docs):
+    folder, calls = new_dir(spark, "test-bpe"), spark.sparkContext.accumulator(0)
+    words = bpe.split_words(docs.select("doc_id", "text"), folder, bpe.VOCABULARY, stretch=40).cache()
+    texts = words.where("number >= 0")
+    assert words.where("number = -1").count() > 8 and texts.count() > texts.select("word").distinct().count()
+
+    def encode(word):
+        calls.add(1)
+        return [len(word)]
+
+    assert bpe.encode_words(words, bpe.VOCABULARY, encode).where("number >= 0").count() == texts.count()
+    assert calls.value == texts.select("word").distinct().count()
 
 
 def test_counts_query_form(docs, empty):
@@ -228,15 +248,15 @@ def test_counts_query_form(docs, empty):
     assert counts.count_tokens(empty).count() == 0
 
 
-def test_memo_is_bounded():
+def test_memo_is_bounded_in_bytes():
     from tessera.llm.units import Memo
 
-    memo = Memo(len, {"kept": 4}, most=10)
-    for k in range(1000):
-        assert memo[str(k)] == len(str(k))
-        memo.trim()
-        assert len(memo) <= 11
-    assert "kept" in memo
+    memo = Memo(len, most=100_000)
+    for k in range(60_000):
+        text = f"{k}\t" + "x" * (k % 400)
+        assert memo[text] == len(text)
+        assert memo.held <= 100_000 and all(len(x) <= Memo.LONGEST for x in list(memo)[-1:])
+    assert 100 < len(memo) < 1000
 
 
 # sorted-string tables
