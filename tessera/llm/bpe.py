@@ -75,7 +75,7 @@ def split_words(docs: DataFrame, folder: str, vocabulary: str, stretch: int = ST
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, where = units.tokenizer(vocabulary), fs.FileSystem.from_uri(folder)
         part, k = TaskContext.get().partitionId(), 0
-        steps = (s for batch in batches for s in _steps(batch))
+        steps = (s for batch in batches for s in _steps(batch, min(STEP, stretch)))
         step = next(steps, None)
         while step is not None:
             numbers, size, name = Numbers(own), 0, uuid.uuid4().hex
@@ -97,12 +97,12 @@ def split_words(docs: DataFrame, folder: str, vocabulary: str, stretch: int = ST
     return scan.map_batches(docs, run, WORDS)
 
 
-def _steps(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int]]:
-    """Slices of up to STEP bytes of text, one row at least, and their bytes."""
+def _steps(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Slices of up to so many bytes of text, one row at least, and their bytes."""
     offs = scan.buffers(batch.column(batch.num_columns - 1))[1]
     i = 0
     while i < batch.num_rows:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + STEP, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)
         yield batch.slice(i, j - i), int(offs[j] - offs[i]) + 1
         i = j
 
