@@ -59,8 +59,8 @@ class Kept:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, new_dir(spark, label)
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{self.root}/{name}")
+    def put(self, name: str, df: DataFrame, compression: str = "snappy") -> DataFrame:
+        df.write.parquet(f"{self.root}/{name}", compression=compression)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
