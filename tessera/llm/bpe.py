@@ -34,7 +34,13 @@ from tessera.runtime import Kept
 VOCABULARY = "byte_bpe_50k.json"
 #: Characters of a stretch, one text at least, and of what is handled at once within it.
 STRETCH, STEP = 32 << 20, 1 << 20
+#: Encoded words that a task holds before it hands them on by stretch.
+HELD = 200_000
 WORDS = "stretch long, number int, word string"
+#: Of a part of a stretch's words in order: how far each number is from the last one's, how many ids it has, and the ids; or the name of the stretch's file.
+ENCODED = "stretch long, name string, numbers binary, sizes binary, ids binary"
+#: What a file's name begins with among WORDS; it stands for no byte, nor for a special token.
+FILE = "\1"
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -68,7 +74,7 @@ def _unplaned(blob: bytes) -> np.ndarray:
 
 
 def split_words(docs: DataFrame, folder: str, vocabulary: str, stretch: int = STRETCH) -> DataFrame:
-    """docs: columns to keep, and the text last. WORDS of each stretch, and a row of number -1 whose word is the name of the stretch's file in folder: batches of the kept
+    """docs: columns to keep, and the text last. WORDS of each stretch, and a row of number -1 whose word is FILE and the name of the stretch's file in folder: batches of the kept
     columns, the number of words of each row, and, in the first row, all words' numbers."""
     kinds = pa.schema([*list(_kinds(docs))[:-1], pa.field("__n", pa.int32()), pa.field("__numbers", pa.binary())])
 
@@ -88,7 +94,7 @@ def split_words(docs: DataFrame, folder: str, vocabulary: str, stretch: int = ST
                     cols = [*rows.columns[:-1], pa.array([len(x) for x in found], pa.int32()), pa.array([blob] + [None] * (len(found) - 1), pa.binary())]
                     writer.write_batch(pa.RecordBatch.from_arrays(cols, schema=kinds))
                     step = next(steps, None)
-            keys, at = [name, *numbers.of_key], (k << 32) + part
+            keys, at = [FILE + name, *numbers.of_key], (k << 32) + part
             for lo in range(0, len(keys), 50_000):
                 n = len(keys[lo : lo + 50_000])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at)), pa.array(np.arange(lo - 1, lo - 1 + n, dtype=np.int32)), pa.array(keys[lo : lo + 50_000], pa.string())], ["stretch", "number", "word"])
@@ -114,24 +120,47 @@ def _kinds(df: DataFrame) -> pa.Schema:
 
 
 def encode_words(words: DataFrame, vocabulary: str, encode: Callable[[str], list[int]] | None = None) -> DataFrame:
-    """stretch, number and ids (little-endian 32-bit) of each of WORDS. Rows come by word in order, so that a word is encoded when it changes: once.
-    Of number -1, the ids are the word as it is. encode: in place of the vocabulary's own model."""
+    """ENCODED of WORDS. Rows come by word in order, so that a word is encoded when it changes: once. encode: in place of the vocabulary's own model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, last, ids = encode or units.tokenizer(vocabulary).key_ids, None, b""
+        ids_of, last, ids, held, n = encode or units.tokenizer(vocabulary).key_ids, None, [], [], 0
         for batch in batches:
-            out = []
-            for number, word in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if number < 0:
-                    out.append(word.encode())
-                    continue
+            out, numbers = [], batch.column(1).to_numpy()
+            for word in batch.column(2).to_pylist():
                 if word != last:
-                    last, ids = word, _packed(ids_of(word))
+                    last, ids = word, ids_of(word) if word[:1] != FILE else []
                 out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["stretch", "number", "ids"])
+            named = np.flatnonzero(numbers < 0)
+            if len(named):
+                names = pc.utf8_slice_codeunits(batch.column(2).take(pa.array(named)), 1)
+                yield _encoded(batch.column(0).take(pa.array(named)), names, *([pa.nulls(len(named), pa.binary())] * 3))
+            held.append((batch.column(0).to_numpy(), numbers, np.array([len(x) for x in out], np.int64), np.array([i for x in out for i in x], np.int64)))
+            n += batch.num_rows
+            if n >= HELD:
+                yield _by_stretch(held)
+                held, n = [], 0
+        if held:
+            yield _by_stretch(held)
 
     n = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return scan.map_batches(words.repartition(n, "word").sortWithinPartitions("word"), run, "stretch long, number int, ids binary")
+    return scan.map_batches(words.repartition(n, "word").sortWithinPartitions("word"), run, ENCODED)
+
+
+def _encoded(*cols: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["stretch", "name", "numbers", "sizes", "ids"])
+
+
+def _by_stretch(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    stretch, number, size, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((number, stretch))
+    order = order[number[order] >= 0]
+    stretch, number = stretch[order], number[order]
+    ids, size = _taken(ids, _cuts(size), order)
+    cuts, first = _cuts(size), np.flatnonzero(np.concatenate([[True], stretch[1:] != stretch[:-1]])) if len(order) else np.zeros(0, np.int64)
+    rows = []
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
+        rows.append((stretch[lo], None, _planes(np.diff(number[lo:hi], prepend=0)), _planes(size[lo:hi]), _planes(ids[cuts[lo] : cuts[hi]])))
+    return _encoded(*(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()))))
 
 
 def _cuts(sizes: np.ndarray) -> np.ndarray:
@@ -183,7 +212,7 @@ def map_ids(docs: DataFrame, f: Made, schema: str, keep: tuple[str, ...] = ("doc
     rows = docs.select(*[F.col(c).alias(f"__k{k}") for k, c in enumerate(keep)], docs[text].alias("__text"))
     kept = Kept(docs.sparkSession, "bpe")
     folder = f"{kept.root}/texts"
-    words = kept.put("words", split_words(rows, folder, vocabulary, stretch))
+    words = kept.put("words", split_words(rows, folder, vocabulary, stretch), "zstd")
     encoded = encode_words(words, vocabulary)
     n = max(1, words.where("number = -1").count())
     own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -192,34 +221,33 @@ def map_ids(docs: DataFrame, f: Made, schema: str, keep: tuple[str, ...] = ("doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, known = fs.FileSystem.from_uri(folder), pieces(vocabulary)
 
-        def finish(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """parts: the ids of one stretch's words in order, the first being its file's name."""
-            ids = pa.chunked_array([p.column(2) for p in parts]).combine_chunks().cast(pa.large_binary())
-            _, offsets, raw = ids.buffers()
-            at = np.frombuffer(offsets, np.int64)[ids.offset : ids.offset + len(ids) + 1]
-            table, cuts = np.frombuffer(raw, "<u4", (at[-1] - at[1]) // 4, at[1]), (at[1:] - at[1]) // 4
-            with where[0].open_input_stream(f"{where[1]}/{ids[0].as_py().decode()}") as source, pa.ipc.open_stream(source) as texts:
+        def finish(parts: list[dict]) -> Iterator[pa.RecordBatch]:
+            """parts: ENCODED of one stretch."""
+            name, parts = next(p["name"] for p in parts if p["name"]), [p for p in parts if not p["name"]]
+            number = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(_unplaned(p["numbers"])) for p in parts)])
+            size, ids = (np.concatenate([np.zeros(0, np.int64), *(_unplaned(p[c]) for p in parts)]) for c in ("sizes", "ids"))
+            table, size = _taken(ids, _cuts(size), np.argsort(number))
+            cuts = _cuts(size)
+            with where[0].open_input_stream(f"{where[1]}/{name}") as source, pa.ipc.open_stream(source) as texts:
                 for batch in texts:
                     words_of = _cuts(batch.column(len(keep)).to_numpy())
                     got, size = _taken(table, cuts, _unplaned(batch.column(len(keep) + 1)[0].as_py()))
                     cols = f(got, _cuts(size)[words_of], known)
                     yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], names=names)
 
-        held: list[pa.RecordBatch] = []
+        held: list[dict] = []
         for batch in batches:
-            of = batch.column(0).to_numpy()
-            ends = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
-            for lo, hi in zip(ends, ends[1:]):
-                if held and held[0].column(0)[0].as_py() != of[lo]:
+            for row in batch.to_pylist():
+                if held and held[0]["stretch"] != row["stretch"]:
                     yield from finish(held)
                     held = []
-                held.append(batch.slice(lo, hi - lo))
+                held.append(row)
         if held:
             yield from finish(held)
 
     # a task for each stretch: stretches are numbered by task and within it
     to = F.pmod(F.shiftright("stretch", 32) * 7919 + F.col("stretch").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(n)).cast("int")
-    return scan.map_batches(encoded.repartitionById(n, to).sortWithinPartitions("stretch", "number"), run, f"{own}, {schema}" if keep else schema)
+    return scan.map_batches(encoded.repartitionById(n, to).sortWithinPartitions("stretch"), run, f"{own}, {schema}" if keep else schema)
 
 
 def digests(ids: np.ndarray, cuts: np.ndarray, known: Pieces) -> list[pa.Array]:

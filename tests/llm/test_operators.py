@@ -236,7 +236,7 @@ def test_bpe_encodes_each_distinct_word_once(spark, docs):
         calls.add(1)
         return [len(word)]
 
-    assert bpe.encode_words(words, bpe.VOCABULARY, encode).where("number >= 0").count() == texts.count()
+    assert bpe.encode_words(words, bpe.VOCABULARY, encode).where("name IS NOT NULL").count() == words.where("number = -1").count()
     assert calls.value == texts.select("word").distinct().count()
 
 
