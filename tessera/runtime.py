@@ -53,6 +53,18 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes for each core up to which an input is spread.
+SPREAD_BYTES = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows, dealt to as many tasks as there are cores if the input is estimated to be small: a small file may be one task's however many there are.
+    Larger inputs come as they are. No job is run for the estimate."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 class Kept:
     """Tables written to the shared folder by one job, by name; a table that no later step reads can be dropped before the job ends."""
 
