@@ -1,13 +1,16 @@
 """Benchmark decontamination by winnowing; DataFrame functions only.
 
 Words are runs of digits, letters and non-ASCII characters after A-Z are lower-cased. Of each GRAMS consecutive hashes of `gram` words the
-least is kept, so that every span of `window` = gram + GRAMS - 1 words leaves one fingerprint, the same in a document and in an item:
-every shared span of that length is found. Document fingerprints are joined with those of the benchmark, and a hit is extended to the
-window that it stands for, which must then equal a benchmark window word for word. An item of fewer words than a window is one window of
-its own, shorter than the guarantee; such items are met by their first word instead, and their windows compared likewise.
+least is kept, and kept once for all windows in a row that agree on it: about 2 / (GRAMS + 1) fingerprints a word. Every span of `window` = gram +
+GRAMS - 1 words leaves one, the same in a document and in an item: every shared span of that length is found. Document fingerprints are joined with
+those of the benchmark, and a hit is extended to the windows that it stands for, which must then equal a benchmark window word for word. An
+item of fewer words than a window is one window of its own, shorter than the guarantee; such items are met by their first word instead, and their
+windows compared likewise.
 
-The benchmark's side is broadcast only if its windows are counted to be `broadcast_rows` at most; beyond that, both joins shuffle, and only
-positions of fingerprints travel.
+A table of bits for the benchmark's fingerprints, of a fixed size and sent with the plan, thins out the documents' before they become rows; the join
+decides. The benchmark's side is broadcast only if its windows are counted to have `broadcast_bytes` at most; beyond that the fingerprints that both
+sides have are found first, of each task's documents once each, and then joined by salted keys. The items of a window are rows: they are joined, for each
+distinct set of windows that a document has, after the hits are known.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no window; an item with a null id is listed as
 an empty id, and items that share an id count once; repeated document rows give repeated results, and rows that share a doc_id are told
@@ -20,10 +23,12 @@ import string
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.runtime import cut
+from tessera.runtime import cut, spread
 
 WINDOW, GRAM = 10, 4
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
+#: log2 of the number of bits of the table that thins out fingerprints; parts that a key is dealt to where both sides are shuffled.
+BITS, SALTS = 18, 16
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -39,6 +44,10 @@ def _shifted(hashes: str, by: int, f) -> Column:
     return F.zip_with(F.col(hashes), F.slice(F.col(hashes), F.lit(by + 1), F.size(hashes)), f)
 
 
+# Arrays are made into rows by explode_outer: none of them is empty, and for explode the optimizer would work out each array once more, and its
+# parts many times, to filter empty ones out beforehand
+
+
 def fingerprints(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Adds __fp, the least hash of a gram in each window, by the window's start, to rows with __words. Longer grams and windows are
     built by doubling: of runs of n elements overlapping by n - d, runs of n + d."""
@@ -57,51 +66,93 @@ def _window_text(words: Column, start: Column, size: Column | int) -> Column:
 
 
 def benchmark_windows(items: DataFrame, window: int, gram: int, item_id: str, text: str) -> DataFrame:
-    """fp, first (word), size, said (its words) and items (the sorted distinct ids of those that have it) of each distinct window. fp is null for windows shorter than the rest."""
-    rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), word_array(F.col(text)).alias("__words"))
-    rows = rows.groupBy("__words").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    """fp, first (word), size, said (its words) and item of each window of each item, once each. fp is null for windows shorter than the rest."""
+    rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), word_array(F.col(text)).alias("__words")).distinct()
     long = fingerprints(rows.filter(F.size("__words") >= window), window, gram)
-    long = long.select("items", "__words", F.posexplode("__fp").alias("at", "fp")).select("fp", F.lit(None).cast("string").alias("first"), F.lit(window).alias("size"), _window_text(F.col("__words"), F.col("at") + 1, window).alias("said"), "items")
-    short = rows.filter(F.size("__words").between(1, window - 1)).select(F.lit(None).cast("long").alias("fp"), F.get("__words", F.lit(0)).alias("first"), F.size("__words").alias("size"), F.array_join("__words", " ").alias("said"), "items")
-    return long.union(short).groupBy("said").agg(F.first("fp").alias("fp"), F.first("first").alias("first"), F.first("size").alias("size"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    long = long.select("item", "__words", F.posexplode_outer("__fp").alias("at", "fp")).select("fp", F.lit(None).cast("string").alias("first"), F.lit(window).alias("size"), _window_text(F.col("__words"), F.col("at") + 1, window).alias("said"), "item")
+    short = rows.filter(F.size("__words").between(1, window - 1)).select(F.lit(None).cast("long").alias("fp"), F.get("__words", F.lit(0)).alias("first"), F.size("__words").alias("size"), F.array_join("__words", " ").alias("said"), "item")
+    return long.union(short).distinct()
+
+
+def _bit(hashed: Column) -> Column:
+    return F.pmod(hashed, F.lit(1 << BITS)).cast("int")
+
+
+def _bit_table(hashes: DataFrame) -> Column:
+    """A constant of one byte for each value of _bit, 1 where one of the hashes has it."""
+    table = bytearray(1 << BITS)
+    for r in hashes.select(_bit(F.col("h")).alias("b")).distinct().collect():  # 2**BITS numbers at most
+        table[r.b] = 1
+    return F.lit(bytes(table))
+
+
+def _set_in(table: Column, hashed: Column) -> Column:
+    return F.substring(table, _bit(hashed) + 1, F.lit(1)) == F.lit(b"\1")
+
+
+def _places(size: Column, keep) -> Column:
+    """The numbers from 0 below size for which keep holds."""
+    return F.when(size > 0, F.filter(F.sequence(F.lit(0), size - 1), keep)).otherwise(F.array().cast("array<int>"))
+
+
+def runs(rows: DataFrame) -> DataFrame:
+    """Adds __starts to rows with __fp: the first window of each run of windows of the same fingerprint. These are the fingerprints that winnowing keeps."""
+    return rows.withColumn("__starts", _places(F.size("__fp"), lambda i: (i == 0) | (F.get("__fp", i) != F.get("__fp", i - 1))))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted), items_sha256 and contaminated of each row of docs."""
-    bench = cut(benchmark_windows(items, window, gram, item_id, item_text))
-    sizes = {r["size"]: r["n"] for r in bench.groupBy("size").agg(F.count("*").alias("n")).collect()}  # as many rows as window sizes
-    small = sum(sizes.values()) <= broadcast_rows
+    every = cut(benchmark_windows(items, window, gram, item_id, item_text).withColumn("wid", F.xxhash64("size", "said")))
+    bench = every.groupBy("wid").agg(F.first("fp").alias("fp"), F.first("first").alias("first"), F.first("size").alias("size"), F.first("said").alias("said"))
+    bench = cut(bench)
+    figures = bench.groupBy("size").agg(F.sum(F.octet_length("said") + 64).alias("bytes")).collect()  # as many rows as window sizes
+    small = sum(r["bytes"] for r in figures) <= broadcast_bytes
     near = F.broadcast if small else lambda df: df
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("__key"), F.col(text).alias("__text")).withColumn("__words", word_array(F.col("__text")))
-
-    def met(cast: DataFrame, keys: DataFrame) -> DataFrame:
-        """Rows doc_id, __key, __words, at (start of a hit, or null in one row for each document) from cast, which has __keys by start."""
-        if small:
-            every = cast.select("doc_id", "__key", "__words", F.posexplode(F.concat(F.array(F.lit(None).cast(keys.schema["key"].dataType)), "__keys")).alias("at", "key"))
-            return every.join(near(keys.withColumn("hit", F.lit(True))), "key", "left").filter("hit OR at = 0").select("doc_id", "__key", "__words", F.expr("nullif(at, 0)").alias("at"))
-        every = cast.select("doc_id", "__key", F.posexplode("__keys").alias("at", "key")).distinct()
-        starts = every.join(keys, "key", "left_semi").groupBy(F.col("doc_id").alias("__id"), F.col("__key").alias("__k")).agg(F.collect_list(F.col("at") + 1).alias("starts"))
-        back = cast.join(starts, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__key").eqNullSafe(F.col("__k")), "left")
-        return back.select("doc_id", "__key", "__words", F.explode(F.concat(F.array(F.lit(None).cast("int")), F.coalesce("starts", F.array().cast("array<int>")))).alias("at"))
-
-    cast = fingerprints(rows, window, gram).withColumnRenamed("__fp", "__keys")
-    found = met(cast, bench.filter("fp IS NOT NULL").select(F.col("fp").alias("key")).distinct())
+    rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("__key"), F.col(text).alias("__text")))
+    rows = rows.withColumn("__words", word_array(F.col("__text"))).drop("__text")
+
+    def met(cast: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+        """doc_id, __key and the places (of __found) at which one of keys stands; and of each document one row of a null place."""
+        exploded = cast.select("*", F.explode_outer(F.concat(F.array(F.lit(None).cast("int")), "__found")).alias("__k"))
+        exploded = exploded.withColumn("key", key)
+        if not small:
+            # the keys that documents have at all: of each task's, once each
+            keys = cut(exploded.where("__k IS NOT NULL").select("key").distinct().join(keys, "key", "left_semi"))
+            salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("hit", F.lit(True))
+            return exploded.withColumn("salt", F.when(F.col("__k").isNotNull(), F.pmod("__key", F.lit(SALTS)).cast("int"))).join(salted, ["key", "salt"], "left").where("hit OR __k IS NULL")
+        return exploded.join(near(keys.withColumn("hit", F.lit(True))), "key", "left").where("hit OR __k IS NULL")
+
+    long_keys = bench.where("fp IS NOT NULL").select(F.col("fp").alias("key")).distinct()
+    table = _bit_table(long_keys.select(F.col("key").alias("h")))
+    kept = runs(fingerprints(rows, window, gram))
+    kept = kept.withColumn("__found", _places(F.size("__starts"), lambda k: _set_in(table, F.get("__fp", F.get("__starts", k)))))
+    hits = met(kept, F.get("__fp", F.get("__starts", F.col("__k"))), long_keys)
+    # a hit stands for the windows of its run
+    first, next_ = F.get("__starts", F.col("__k")), F.coalesce(F.get("__starts", F.col("__k") + 1), F.size("__fp"))
+    spans = F.when(F.col("__k").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(first + 1, next_))
+    found = hits.select("doc_id", "__key", "__words", F.explode_outer(spans).alias("at"))
     found = found.select("doc_id", "__key", F.size("__words").alias("n_words"), "at", F.lit(window).alias("size"), F.when(F.col("at").isNotNull(), _window_text(F.col("__words"), F.col("at"), window)).alias("said"), F.col("at").isNull().alias("self"))
-    if shorter := sorted(s for s in sizes if s < window):
-        tried = met(rows.withColumn("__keys", F.col("__words")), bench.filter("first IS NOT NULL").select(F.col("first").alias("key")).distinct()).filter("at IS NOT NULL")
-        tried = tried.withColumn("size", F.explode(F.array(*map(F.lit, shorter)))).filter(F.col("at") + F.col("size") - 1 <= F.size("__words"))
+    if shorter := sorted(r["size"] for r in figures if r["size"] < window):
+        firsts = bench.where("first IS NOT NULL").select(F.col("first").alias("key")).distinct()
+        words = _bit_table(firsts.select(F.xxhash64("key").alias("h")))
+        tried = rows.withColumn("__found", _places(F.size("__words"), lambda i: _set_in(words, F.xxhash64(F.get("__words", i)))))
+        tried = met(tried, F.get("__words", F.col("__k")), firsts).where("__k IS NOT NULL").withColumn("at", F.col("__k") + 1)
+        tried = tried.withColumn("size", F.explode_outer(F.array(*map(F.lit, shorter)))).where(F.col("at") + F.col("size") - 1 <= F.size("__words"))
         found = found.union(tried.select("doc_id", "__key", F.size("__words"), "at", "size", _window_text(F.col("__words"), F.col("at"), F.col("size")), F.lit(False)))
-    found = found.join(near(bench.select("said", "size", "items")), ["said", "size"], "left")
-    hit = F.col("items").isNotNull()
+    found = found.join(near(bench.select("said", "size", "wid")), ["said", "size"], "left")
+    hit = F.col("wid").isNotNull()
     per_doc = found.groupBy("doc_id", "__key").agg(
         F.max("n_words").alias("n_words"),
         F.count_if("self").alias("copies"),
         F.collect_set(F.when(hit, F.struct("at", "size"))).alias("spans"),
-        F.collect_set(F.when(hit, F.col("items"))).alias("sets"),
+        F.sort_array(F.collect_set("wid")).alias("wids"),
     )
     places = F.flatten(F.transform("spans", lambda s: F.sequence(s.at, s.at + s.size - 1)))
-    out = per_doc.select("doc_id", "copies", F.col("n_words").cast("long").alias("n_words"), F.size(F.array_distinct(places)).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("sets"))).alias("items"))
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    per_doc = per_doc.select("doc_id", F.col("copies").cast("int").alias("copies"), F.col("n_words").cast("long").alias("n_words"), F.size(F.array_distinct(places)).cast("long").alias("n_hit"), "wids")
+    per_doc = cut(per_doc.withColumn("group", F.when(F.size("wids") > 0, F.xxhash64("wids"))))
+    groups = per_doc.where("group IS NOT NULL").groupBy("group").agg(F.first("wids").alias("wids"))
+    listed = groups.select("group", F.explode("wids").alias("wid")).join(every.select("wid", "item"), "wid").groupBy("group").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    out = per_doc.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).join(listed, "group", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 

@@ -176,18 +176,36 @@ def test_jaccard_chains_and_near_copies(spark):
 ITEMS = [(1, TEXTS[4][:400]), (2, "one two three"), (3, None), (4, "..."), (5, "Line one HERE"), (None, brute.prose(3, 4000)[500:700]), (5, "nul and next"), (6, TEXTS[4][:400])]
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
+@pytest.mark.parametrize("limit", [1 << 25, 0])
 def test_decontamination_is_as_by_windows(spark, docs, empty, limit):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = decontaminate.decontaminate(docs, items, broadcast_rows=limit).collect()
+    got = decontaminate.decontaminate(docs, items, broadcast_bytes=limit).collect()
     assert len(got) == docs.count()
     for r in got:
         if r.doc_id is not None:
             want = brute.contaminated(TEXTS[r.doc_id], ITEMS)
             assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == want, r.doc_id
             assert r.contaminated == (want[1] > 0)
-    assert decontaminate.decontaminate(empty, items, broadcast_rows=limit).count() == 0
-    assert not any(r.contaminated for r in decontaminate.decontaminate(docs, items.limit(0), broadcast_rows=limit).collect())
+    assert decontaminate.decontaminate(empty, items, broadcast_bytes=limit).count() == 0
+    assert not any(r.contaminated for r in decontaminate.decontaminate(docs, items.limit(0), broadcast_bytes=limit).collect())
+
+
+def test_winnowing_keeps_about_a_quarter_of_the_places(spark):
+    df = spark.createDataFrame([(brute.prose(600 + k, 3000),) for k in range(5)], "text string")
+    kept = decontaminate.runs(decontaminate.fingerprints(df.withColumn("__words", decontaminate.word_array(F.col("text")))))
+    n, words = kept.agg(F.sum(F.size("__starts")), F.sum(F.size("__words"))).first()
+    assert 0.2 * words < n < 0.35 * words
+
+
+@pytest.mark.parametrize("limit", [1 << 25, 0])
+def test_a_window_may_be_that_of_very_many_items(spark, limit):
+    stem = brute.prose(610, 30)
+    items = spark.range(100_000).select(F.col("id").alias("item_id"), F.concat(F.lit(stem + " "), F.col("id").cast("string")).alias("text"))
+    texts = [(1, f"{brute.prose(611, 40)} {stem} x"), (2, brute.prose(612, 60)), (3, stem)]
+    got = {r.doc_id: r for r in decontaminate.decontaminate(spark.createDataFrame(texts, "doc_id long, text string"), items, broadcast_bytes=limit).drop("items").collect()}
+    digest = hashlib.sha256(",".join(sorted(map(str, range(100_000)))).encode()).hexdigest()
+    assert [(got[i].n_hit, got[i].n_items, got[i].contaminated) for i in (1, 2, 3)] == [(30, 100_000, True), (0, 0, False), (30, 100_000, True)]
+    assert got[1].items_sha256 == got[3].items_sha256 == digest
 
 
 # tokens
