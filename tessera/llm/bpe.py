@@ -39,28 +39,27 @@ HELD = 200_000
 WORDS = "stretch long, number int, word string"
 #: Of a part of a stretch's words in order: how far each number is from the last one's, how many ids it has, and the ids; or the name of the stretch's file.
 ENCODED = "stretch long, name string, numbers binary, sizes binary, ids binary"
-#: What a file's name begins with among WORDS; it stands for no byte, nor for a special token.
-FILE = "\1"
 
 
 def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-class Numbers:
-    """Numbers for the distinct words of a stretch, by their lettered forms."""
+class Numbers(dict):
+    """Numbers for the distinct words of a stretch, in the order in which they are met."""
 
     def __init__(self, own: units.Tokenizer):
-        self.own, self.of_key = own, {}
-        self.plain = units.Memo(lambda word: self.number(units.lettered(word)))
-        self.other = units.Memo(lambda unit: [self.number(k) for k in own.keys(unit)])
+        super().__init__()
+        self.own = own
+        self.other = units.Memo(lambda unit: [self[k] for k in own.keys(unit)], 16 << 20)
 
-    def number(self, key: str) -> int:
-        return self.of_key.setdefault(key, len(self.of_key))
+    def __missing__(self, word: str) -> int:
+        out = self[word] = len(self)
+        return out
 
     def of(self, text: str) -> list[int]:
         parts, plain = self.own.units(text)
-        return [*map(self.plain.__getitem__, parts)] if plain else [n for p in parts for n in self.other[p]]
+        return [*map(self.__getitem__, parts)] if plain else [n for p in parts for n in self.other[p]]
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -74,7 +73,7 @@ def _unplaned(blob: bytes) -> np.ndarray:
 
 
 def split_words(docs: DataFrame, folder: str, vocabulary: str, stretch: int = STRETCH) -> DataFrame:
-    """docs: columns to keep, and the text last. WORDS of each stretch, and a row of number -1 whose word is FILE and the name of the stretch's file in folder: batches of the kept
+    """docs: columns to keep, and the text last. WORDS of each stretch, and a row of number -1 whose word is the name of the stretch's file in folder: batches of the kept
     columns, the number of words of each row, and, in the first row, all words' numbers."""
     kinds = pa.schema([*list(_kinds(docs))[:-1], pa.field("__n", pa.int32()), pa.field("__numbers", pa.binary())])
 
@@ -94,7 +93,7 @@ def split_words(docs: DataFrame, folder: str, vocabulary: str, stretch: int = ST
                     cols = [*rows.columns[:-1], pa.array([len(x) for x in found], pa.int32()), pa.array([blob] + [None] * (len(found) - 1), pa.binary())]
                     writer.write_batch(pa.RecordBatch.from_arrays(cols, schema=kinds))
                     step = next(steps, None)
-            keys, at = [FILE + name, *numbers.of_key], (k << 32) + part
+            keys, at = [name, *numbers], (k << 32) + part
             for lo in range(0, len(keys), 50_000):
                 n = len(keys[lo : lo + 50_000])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at)), pa.array(np.arange(lo - 1, lo - 1 + n, dtype=np.int32)), pa.array(keys[lo : lo + 50_000], pa.string())], ["stretch", "number", "word"])
@@ -126,14 +125,16 @@ def encode_words(words: DataFrame, vocabulary: str, encode: Callable[[str], list
         ids_of, last, ids, held, n = encode or units.tokenizer(vocabulary).key_ids, None, [], [], 0
         for batch in batches:
             out, numbers = [], batch.column(1).to_numpy()
-            for word in batch.column(2).to_pylist():
+            for number, word in zip(numbers.tolist(), batch.column(2).to_pylist(), strict=True):
+                if number < 0:
+                    out.append([])
+                    continue
                 if word != last:
-                    last, ids = word, ids_of(word) if word[:1] != FILE else []
+                    last, ids = word, ids_of(word)
                 out.append(ids)
-            named = np.flatnonzero(numbers < 0)
+            named = pa.array(np.flatnonzero(numbers < 0))
             if len(named):
-                names = pc.utf8_slice_codeunits(batch.column(2).take(pa.array(named)), 1)
-                yield _encoded(batch.column(0).take(pa.array(named)), names, *([pa.nulls(len(named), pa.binary())] * 3))
+                yield _encoded(batch.column(0).take(named), batch.column(2).take(named), *([pa.nulls(len(named), pa.binary())] * 3))
             held.append((batch.column(0).to_numpy(), numbers, np.array([len(x) for x in out], np.int64), np.array([i for x in out for i in x], np.int64)))
             n += batch.num_rows
             if n >= HELD:

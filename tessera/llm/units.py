@@ -36,6 +36,13 @@ def lettered(unit: str) -> str:
     return "".join([_LETTERS[b] for b in unit.encode()])
 
 
+_BYTES = {c: b for b, c in enumerate(_LETTERS)}
+
+
+def unlettered(word: str) -> str:
+    return bytes([_BYTES[c] for c in word]).decode()
+
+
 class Tokenizer:
     """A vocabulary file of the tokenizers library, with its units."""
 
@@ -68,15 +75,15 @@ class Tokenizer:
         return [w for p in parts if p for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(norm(p))], len(parts) - 1
 
     def keys(self, unit: str) -> list[str]:
-        """The pre-tokens of a unit, lettered, in order, and its special tokens between them, marked by a NUL, which stands for no byte."""
+        """The pre-tokens of a unit, as they stand in it, and its special tokens between them, in order. No pre-token has a special token's text."""
         out, at = [], 0
         for m in self.has_special.finditer(unit):
-            out += [*self.pre_tokens(unit[at : m.start()])[0], "\0" + m.group()]
+            out += [*map(unlettered, self.pre_tokens(unit[at : m.start()])[0]), m.group()]
             at = m.end()
-        return out + self.pre_tokens(unit[at:])[0]
+        return out + [*map(unlettered, self.pre_tokens(unit[at:])[0])]
 
     def key_ids(self, key: str) -> list[int]:
-        return [self.special[key[1:]]] if key[:1] == "\0" else [t.id for t in self.model.tokenize(key)]
+        return [self.special[key]] if key in self.special else self.word_ids(key)
 
 
 def tokenizer(path: str) -> Tokenizer:
