@@ -95,9 +95,12 @@ def _places(size: Column, keep) -> Column:
     return F.when(size > 0, F.filter(F.sequence(F.lit(0), size - 1), keep)).otherwise(F.array().cast("array<int>"))
 
 
-def runs(rows: DataFrame) -> DataFrame:
-    """Adds __starts to rows with __fp: the first window of each run of windows of the same fingerprint. These are the fingerprints that winnowing keeps."""
-    return rows.withColumn("__starts", _places(F.size("__fp"), lambda i: (i == 0) | (F.get("__fp", i) != F.get("__fp", i - 1))))
+def winnowed(fp: str, window: int, gram: int, also=None) -> Column:
+    """The windows whose fingerprints winnowing keeps, of an array of fingerprints by window: the first of each run of windows with the same one, and every one that
+    agrees with the window that ends before its own gram places begin. So each window of a run follows a kept one by less than window - gram + 1. also: a further condition on a fingerprint."""
+    here = lambda i: F.get(fp, i)
+    keep = lambda i: (i == 0) | (here(i) != here(i - 1)) | (here(i) == here(i - (window - gram + 1)))
+    return _places(F.size(fp), keep if also is None else lambda i: keep(i) & also(here(i)))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -124,12 +127,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
     long_keys = bench.where("fp IS NOT NULL").select(F.col("fp").alias("key")).distinct()
     table = _bit_table(long_keys.select(F.col("key").alias("h")))
-    kept = runs(fingerprints(rows, window, gram))
-    kept = kept.withColumn("__found", _places(F.size("__starts"), lambda k: _set_in(table, F.get("__fp", F.get("__starts", k)))))
-    hits = met(kept, F.get("__fp", F.get("__starts", F.col("__k"))), long_keys)
-    # a hit stands for the windows of its run
-    first, next_ = F.get("__starts", F.col("__k")), F.coalesce(F.get("__starts", F.col("__k") + 1), F.size("__fp"))
-    spans = F.when(F.col("__k").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(first + 1, next_))
+    kept = fingerprints(rows, window, gram).withColumn("__found", winnowed("__fp", window, gram, lambda h: _set_in(table, h)))
+    hits = met(kept, F.get("__fp", F.col("__k")), long_keys)
+    # a hit stands for the windows near it that have its fingerprint
+    near_by = F.filter(F.sequence(F.col("__k"), F.least(F.col("__k") + (window - gram), F.size("__fp") - 1)), lambda i: F.get("__fp", i) == F.get("__fp", F.col("__k")))
+    spans = F.when(F.col("__k").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.transform(near_by, lambda i: i + 1))
     found = hits.select("doc_id", "__key", "__words", F.explode_outer(spans).alias("at"))
     found = found.select("doc_id", "__key", F.size("__words").alias("n_words"), "at", F.lit(window).alias("size"), F.when(F.col("at").isNotNull(), _window_text(F.col("__words"), F.col("at"), window)).alias("said"), F.col("at").isNull().alias("self"))
     if shorter := sorted(r["size"] for r in figures if r["size"] < window):
@@ -152,8 +154,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     per_doc = cut(per_doc.withColumn("group", F.when(F.size("wids") > 0, F.xxhash64("wids"))))
     groups = per_doc.where("group IS NOT NULL").groupBy("group").agg(F.first("wids").alias("wids"))
     listed = groups.select("group", F.explode("wids").alias("wid")).join(every.select("wid", "item"), "wid").groupBy("group").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    out = per_doc.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).join(listed, "group", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    listed = cut(listed.select("group", "items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256")))
+    weight = listed.agg(F.sum(F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 32))).first()[0] or 0
+    per_doc = per_doc.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    own = per_doc.where("group IS NOT NULL")
+    if weight <= broadcast_bytes:
+        own = own.join(F.broadcast(listed), "group")
+    else:
+        # many documents may have the same windows
+        listed = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(listed, ["group", "salt"])
+    clean = per_doc.where("group IS NULL").withColumn("items", F.array().cast("array<string>")).withColumn("items_sha256", F.sha2(F.lit(""), 256))
+    columns = ["doc_id", "n_words", "n_hit", "items", "items_sha256"]
+    out = own.select(columns).unionByName(clean.select(columns))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
