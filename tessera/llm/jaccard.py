@@ -11,9 +11,13 @@ Only components are asked for, so a pair whose ends are already connected needs
 partner for each class, and then every candidate pair that still joins two components is verified. Large groups of near copies thus cost
 as many pairs as they have members, and no link between different components is passed over.
 
+A shingle or group that very many classes share is dealt out: its list is cut into blocks, and pairs are formed by a task for each pair of blocks; a text that
+very many others are compared with is sent to as many tasks as its pairs are dealt to. What is dealt so is found by counting first, and is a
+bounded list.
+
 Defined results: null and empty texts, and texts without words, have no set and link with nothing; a text with fewer than `size` words has its
-whole sequence as its one shingle; doc_id names a document, so rows that share one and its text repeat its result; of rows that share one but differ in
-text, one stands for the others' links; rows with a null doc_id have their size and a null component; further columns are ignored. Shingles are compared by 64-bit hashes.
+whole sequence as its one shingle; doc_id names a document: rows that share one are linked, whatever their texts, so that each repeats the
+document's component; rows with a null doc_id have their size and a null component; further columns are ignored. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,9 +34,13 @@ from tessera.llm.components import contract, directed, labels, settle
 from tessera.runtime import Kept
 
 SHINGLE, PERCENT = 4, 85
-#: log2 of the number of hashed counts; one byte each is sent to the executors.
-COUNT_BITS = 21
+#: log2 of the least and largest number of hashed counts, one byte each of which is sent to the executors, and bytes of input for each.
+COUNT_BITS, COUNT_BYTES = (21, 24), 2048
+#: log2 of the least and largest number of bits that thin out texts; bits for each text looked for.
+TEXT_BITS, BITS_EACH = (20, 28), 16
 ODD = 512
+#: Rows of a key from which on it is dealt out, if it is also more than one row in HOT_KEYS; rows of a block.
+HOT, HOT_KEYS, BLOCK = 1000, 100_000, 512
 #: Rounds of contraction after each step of verifying.
 ROUNDS = 2
 
@@ -82,8 +90,14 @@ def frequency_classes(docs: DataFrame, size: int, bits: int) -> np.ndarray:
     return np.minimum(255, 8 * np.log2(1 + sums.add_up(docs.select("text"), 1 << bits, fill))).astype(np.uint8)
 
 
+def count_bits(docs: DataFrame) -> int:
+    """By the optimizer's estimate of the input's bytes."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(int(np.ceil(np.log2(max(1, size / COUNT_BYTES)))), COUNT_BITS[0]), COUNT_BITS[1])
+
+
 def signatures(docs: DataFrame, classes: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, n (the set's size), set_key and prefix_key (hashes of the set and of the ordered prefix), prefix (32 bits of each shingle), and odd: for
+    """doc_id, said (a hash of the text), n (the set's size), cid and prefix_key (hashes of the set and of the ordered prefix), prefix (32 bits of each shingle), and odd: for
     each of ODD values of a hash, whether an odd number of the set's shingles has it. Two sets differ in as many shingles as their odds do in bits, at least."""
     sent = docs.sparkSession.sparkContext.broadcast(classes.tobytes())
     mask = np.uint64(len(classes) - 1)
@@ -91,7 +105,7 @@ def signatures(docs: DataFrame, classes: np.ndarray, size: int, percent: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
-            for i, j, data, offs in _each(batch.column(1)):
+            for i, j, data, offs in _each(batch.column(2)):
                 row, key = sets(data, offs, size)
                 n = np.bincount(row, minlength=j - i)
                 order = np.argsort(rank[(key & mask).astype(np.int64)], kind="stable")
@@ -104,16 +118,18 @@ def signatures(docs: DataFrame, classes: np.ndarray, size: int, percent: int) ->
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
+                        batch.column(1).slice(i, j - i),
                         pa.array(n, pa.int32()),
                         _digest(key, np.concatenate([[0], np.cumsum(n)])),
                         _digest(scan.mix(token + _places(cuts) * scan._ODD), cuts),
                         pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array((token >> np.uint64(32)).astype(np.uint32).view(np.int32))),
                         pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * (ODD // 64), pa.int32()), pa.array(_odd(row, key, j - i))),
                     ],
-                    ["doc_id", "n", "set_key", "prefix_key", "prefix", "odd"],
+                    ["doc_id", "said", "n", "set_key", "prefix_key", "prefix", "odd"],
                 )
 
-    return scan.map_batches(docs.select("doc_id", "text"), run, "doc_id long, n int, set_key binary, prefix_key binary, prefix array<int>, odd array<long>")
+    out = scan.map_batches(docs.select("doc_id", F.xxhash64("text").alias("said"), "text"), run, "doc_id long, said long, n int, set_key binary, prefix_key binary, prefix array<int>, odd array<long>")
+    return out.select("doc_id", "said", "n", F.xxhash64("set_key").alias("cid"), F.xxhash64("prefix_key", "n").alias("prefix_key"), "prefix", "odd")
 
 
 def _odd(row: np.ndarray, key: np.ndarray, rows: int) -> np.ndarray:
@@ -137,32 +153,66 @@ def _digest(key: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(16), n, [None, pa.py_buffer(packed)]).cast(pa.binary())
 
 
-def _some_texts(docs: DataFrame, ids: DataFrame, bits: int = 23) -> DataFrame:
-    """doc_id and text of the documents in ids. A bit table of hashed ids thins them out before the join, so that few texts are shuffled."""
-    mask = np.uint64((1 << bits) - 1)
-
-    def bucket(column: pa.Array) -> np.ndarray:
-        return (scan.mix(column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & mask).astype(np.int64)
+def _bits(ids: DataFrame, key: str) -> tuple[int, bytes]:
+    """log2 of the number of bits, and the bits that are set by a hash of the key. Bits follow the number of rows."""
+    n = min(max(int(np.ceil(np.log2(max(1, BITS_EACH * ids.count())))), TEXT_BITS[0]), TEXT_BITS[1])
+    at = F.xxhash64(key).bitwiseAND(F.lit((1 << n) - 1)) + 1
+    rows = ids.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    table = bytearray((1 << n) // 8)
+    for r in rows.collect():  # as many bytes as the table has
+        table[(r.k - 1) * 4096 : r.k * 4096] = r.bits
+    return n, bytes(table)
 
-    def fill(batch: pa.RecordBatch, counters: np.ndarray) -> None:
-        counters[bucket(batch.column(0))] = 1
 
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(sums.add_up(ids, 1 << bits, fill) > 0).tobytes())
+def _some_texts(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """cid and text of the classes in named (cid, doc_id, said): the text of the row that stands for each. Bits of their hashes thin the rows out before the join, so that few texts are shuffled."""
+    named = named.withColumn("row", F.xxhash64("doc_id", "said"))
+    n, table = _bits(named, "row")
+    sent, mask = docs.sparkSession.sparkContext.broadcast(table), (1 << n) - 1
+    rows = docs.withColumn("said", F.xxhash64("text")).withColumn("row", F.xxhash64("doc_id", "said")).select("row", F.xxhash64("row").bitwiseAND(F.lit(mask)).alias("at"), "text")
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(sent.value, np.uint8)
+        bits = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
-            at = bucket(batch.column(0))
-            yield batch.filter(pa.array((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            at = batch.column(1).to_numpy()
+            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+
+    return scan.map_batches(rows, thin, "row long, at long, text string").join(named.select("cid", "row"), "row").select("cid", "text").dropDuplicates(["cid"])
+
 
-    return scan.map_batches(docs.select("doc_id", "text"), thin, "doc_id long, text string").join(ids, "doc_id")
+def _hot(counted: DataFrame, n: str = "n") -> DataFrame:
+    """The rows of a table of counts whose key is to be dealt out: under HOT_KEYS of them, as each has more than one in HOT_KEYS of all that was counted."""
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    return F.broadcast(counted.where(F.col(n) > max(HOT, total // HOT_KEYS)))
 
 
-def verify(docs: DataFrame, kept: Kept, name: str, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) that link, by their whole sets."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = kept.put(f"{name}-texts", _some_texts(docs, ids))
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+def _with(rows: DataFrame, table: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Inner join of rows with a table of one row for each key, of which n is how many rows have it. Rows of hot keys aren't shuffled."""
+    hot = _hot(table, n)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(table, key))
+
+
+def _cells(rows: DataFrame, key: str, n: str) -> tuple[DataFrame, DataFrame]:
+    """rows twice, to be joined on the key, _i and _j: each pair of rows of a key meets once, by the pair of blocks that they are in. n: how many rows have the key."""
+    blocks = F.ceil(F.col(n) / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64(*[c for c in ("cid", "g") if c in rows.columns]), blocks).cast("int")
+    each = F.explode(F.sequence(F.lit(0), blocks - 1))
+    return rows.withColumn("_i", own).withColumn("_j", each), rows.withColumn("_j", own).withColumn("_i", each)
+
+
+def _texts_of(pairs: DataFrame, texts: DataFrame, side: str) -> DataFrame:
+    """Adds the text of one side of the pairs; a text of very many pairs goes to several tasks, among which its pairs are dealt."""
+    parts = _hot(pairs.groupBy(side).agg(F.count("*").alias("n"))).select(side, F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    pairs = pairs.join(parts, side, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("a", "b"), "parts").cast("int"), F.lit(0))).drop("parts")
+    texts = texts.toDF(side, f"text_{side}").join(parts, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return pairs.join(texts, [side, "part"]).drop("part")
+
+
+def verify(docs: DataFrame, named: DataFrame, kept: Kept, name: str, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b) of classes that link, by their whole sets. named: cid, and the doc_id and said of the row that stands for it."""
+    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    texts = kept.put(f"{name}-texts", _some_texts(docs, kept.put(f"{name}-ids", named.join(ids, "cid"))))
+    both = _texts_of(_texts_of(pairs, texts, "a"), texts, "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(side: int, batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -182,69 +232,80 @@ def verify(docs: DataFrame, kept: Kept, name: str, pairs: DataFrame, size: int,
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok))], ["a", "b"])
 
     links = kept.put(f"{name}-links", scan.map_batches(both, run, "a long, b long"))
-    kept.drop(f"{name}-texts")
+    kept.drop(f"{name}-texts", f"{name}-ids")
     return links
 
 
-def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bits: int = COUNT_BITS) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of docs (doc_id, text)."""
+def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bits: int | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of docs (doc_id, text). bits: log2 of the number of hashed counts, by the input's size if none is given."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known, kept = docs.filter("doc_id IS NOT NULL"), Kept(docs.sparkSession, "jaccard")
-    signed = kept.put("signed", signatures(docs, frequency_classes(docs, size, bits), size, percent))
+    signed = kept.put("signed", signatures(docs, frequency_classes(docs, size, bits or count_bits(docs)), size, percent))
     some = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    # classes: texts with the same set, known by the least doc_id; groups: classes with the same prefix and size, known by their least class
-    named = some.select("set_key", "doc_id").groupBy("set_key").agg(F.min("doc_id").alias("c"))
-    named = kept.put("named", named)
-    copies = some.select("set_key", "doc_id").join(named, "set_key").filter("doc_id <> c").select("doc_id", "set_key").distinct()
-    classes = kept.put("classes", some.join(copies, ["doc_id", "set_key"], "left_anti").dropDuplicates(["doc_id", "set_key"]).withColumnRenamed("doc_id", "c"))
-    many = classes.groupBy("prefix_key", "n").agg(F.count("*").alias("members"), F.min("c").alias("g")).filter("members > 1").drop("members")
-    member = kept.put("member", classes.join(many, ["prefix_key", "n"]).select("c", "g", "odd", "n"))
-
-    leads = classes.join(member.filter("c <> g").select("c").distinct(), "c", "left_anti").select(F.col("c").alias("g"), "n", "prefix")
-    lists = leads.select("g", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("listed", F.expr("count(*) OVER (PARTITION BY token)")).filter("listed > 1")
-    lists = kept.put("lists", lists.select("token", "g", "n", "pos"))
-
-    # round 1: a member and its group; a group and the head of its lists, and the one before it there, that it meets most often. A group that shares more of its
+    # classes: texts with the same set, for which one row stands, that of the least doc_id; groups: classes with the same prefix and size, known by their least class
+    least = some.groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
+    classes = kept.put("classes", some.join(least, ["cid", "doc_id"], "left_semi").dropDuplicates(["cid"]))
+    named = classes.select("cid", "doc_id", "said")
+    # a document that has several rows may have several classes, which are linked as it is one document
+    ends = some.groupBy("doc_id").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo <> hi").select("doc_id", "lo")
+    own = kept.put("own", directed(some.select("doc_id", "cid").join(ends, "doc_id").select("cid", "lo")))
+    many = classes.groupBy("prefix_key").agg(F.count("*").alias("members"), F.min("cid").alias("g")).filter("members > 1")
+    member = kept.put("member", _with(classes.select("cid", "odd", "n", "prefix_key"), many, "prefix_key", "members").select("cid", "g", "odd", "n", "members"))
+
+    leads = classes.join(member.filter("cid <> g").select("cid"), "cid", "left_anti").select(F.col("cid").alias("g"), "n", "prefix")
+    lists = kept.put("entries", leads.select("g", "n", F.posexplode("prefix").alias("pos", "token")))
+    listed = kept.put("listed", lists.groupBy("token").agg(F.count("*").alias("listed")).filter("listed > 1"))
+    lists = kept.put("lists", _with(lists, listed, "token", "listed"))
+    kept.drop("entries", "listed")
+
+    # round 1: a member and its group; a group and the head of its lists, and the one before it in its block there, that it meets most often. A group that shares more of its
     # prefix stands nearer the head, as it differs less from the rest
     shared = lists.groupBy("g").agg(F.count("*").alias("shared"))
-    by_token = "PARTITION BY token ORDER BY shared DESC, n, g"
-    heads = lists.join(shared, "g").selectExpr("g", "n", f"lag(struct(g, n)) OVER ({by_token}) AS prev", f"first(struct(g, n)) OVER ({by_token}) AS head")
-    votes = heads.select("g", "n", F.posexplode(F.array("prev", "head")).alias("place", "other")).filter(f"other IS NOT NULL AND other.g <> g AND 100 * least(n, other.n) >= {percent} * greatest(n, other.n)")
-    best = votes.groupBy("g", "place", F.col("other.g").alias("h")).agg(F.count("*").alias("votes")).groupBy("g", "place").agg(F.max_by("h", F.struct("votes", "h")).alias("h")).select("g", "h")
-    sketches = classes.select("c", "n", "odd")
-    edges = _joined(known, kept, "one", best.union(member.filter("c <> g").select("c", "g")), None, sketches, size, percent)
+    placed = kept.put("placed", lists.join(shared, "g").select("token", "listed", "shared", F.struct("g", "n").alias("of"), F.pmod(F.xxhash64("g"), F.ceil(F.col("listed") / HOT)).alias("block")))
+    heads = placed.groupBy("token").agg(F.max("listed").alias("listed"), F.min(F.struct((-F.col("shared")).alias("s"), "of.n", "of.g")).alias("head"))
+    to_head = _with(placed.select("token", "of"), heads, "token", "listed").select("of", F.struct("head.g", "head.n").alias("other"), F.lit(1).alias("place"))
+    prev = F.expr("lag(of) OVER (PARTITION BY token, block ORDER BY shared DESC, of.n, of.g)")
+    votes = to_head.unionByName(placed.select("of", prev.alias("other"), F.lit(0).alias("place"))).filter(f"other IS NOT NULL AND other.g <> of.g AND 100 * least(of.n, other.n) >= {percent} * greatest(of.n, other.n)")
+    best = votes.groupBy(F.col("of.g").alias("g"), "place", F.col("other.g").alias("h")).agg(F.count("*").alias("votes")).groupBy("g", "place").agg(F.max_by("h", F.struct("votes", "h")).alias("h")).select("g", "h")
+    sketches = classes.select("cid", "n", "odd")
+    edges = _joined(known, named, kept, "one", best.union(member.filter("cid <> g").select("cid", "g")), own, sketches, size, percent)
+    kept.drop("placed")
     found = kept.put("found", labels(edges))
 
     # round 2: pairs of groups, or of members of one group, that are in different components and near enough by size, place and odds
-    inside = _at(member, found, "c")
-    mixed = kept.put("mixed", inside.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("g"))
-    within = inside.join(mixed, "g")
-    within = within.alias("x").join(within.alias("y"), F.expr(f"x.g = y.g AND x.c > y.c AND x.component <> y.component AND {_near(percent)}")).selectExpr("x.c AS a", "y.c AS b")
+    inside = kept.put("inside", _at(member, found, "cid"))
+    mixed = kept.put("mixed", inside.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("members").alias("members")).filter("lo <> hi").select("g", "members"))
+    x, y = _cells(_with(inside.drop("members"), mixed, "g", "members"), "g", "members")
+    within = x.alias("x").join(y.alias("y"), F.expr(f"x.g = y.g AND x._i = y._i AND x._j = y._j AND x.cid > y.cid AND x.component <> y.component AND {_near(percent)}")).selectExpr("x.cid AS a", "y.cid AS b")
     # every class of a group stands in the group's lists; a list whose classes are all of one component is done with
-    entries = _at(lists.select("token", "g", "n", "pos"), found, "g").join(mixed.withColumn("mixed", F.lit(True)), "g", "left")
-    open_ = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("mixed").alias("mixed")).filter("lo <> hi OR mixed").select("token")
-    entries = entries.join(open_, "token").select("token", "g", "n", "pos")
-    one = classes.select("c", "odd").join(member.select("c").distinct(), "c", "left_anti").select(F.col("c").alias("g"), "c", "odd").union(member.select("g", "c", "odd"))
-    entries = kept.put("entries", _at(entries.join(one, "g"), found, "c"))
+    entries = kept.put("spread", _at(lists.select("token", "g", "n", "pos", "listed"), found, "g").join(mixed.select("g", F.lit(True).alias("mixed")), "g", "left"))
+    open_ = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("mixed").alias("mixed"), F.max("listed").alias("listed")).filter("lo <> hi OR mixed").select("token", "listed")
+    entries = _with(entries.select("token", "g", "n", "pos"), kept.put("open", open_), "token", "listed").select("token", "g", "n", "pos")
+    one = classes.select("cid", "odd").join(member.select("cid"), "cid", "left_anti").select(F.col("cid").alias("g"), "cid", "odd").union(member.select("g", "cid", "odd"))
+    entries = kept.put("met-by", _at(entries.join(one, "g"), found, "cid"))
+    entries = _with(entries, kept.put("filled", entries.groupBy("token").agg(F.count("*").alias("filled"))), "token", "filled")
     # the smaller of a pair meets the other within a shorter prefix: n - ceil(2 percent n / (100 + percent)) + 1
     short = f"{100 + percent} * (y.n - y.pos) >= {2 * percent} * y.n"
+    x, y = _cells(entries, "token", "filled")
     across = (
-        entries.alias("x")
-        .join(entries.alias("y"), F.expr(f"x.token = y.token AND (x.n > y.n OR x.n = y.n AND x.g > y.g) AND x.component <> y.component AND {short} AND {100 + percent} * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n) AND {_near(percent)}"))
-        .groupBy(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+        x.alias("x")
+        .join(y.alias("y"), F.expr(f"x.token = y.token AND x._i = y._i AND x._j = y._j AND (x.n > y.n OR x.n = y.n AND x.g > y.g) AND x.component <> y.component AND {short} AND {100 + percent} * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n) AND {_near(percent)}"))
+        .groupBy(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
         .agg(F.count("*").alias("both"))
     )
     met = kept.put("met", across.union(within.withColumn("both", F.lit(1 << 40))))
-    kept.drop("lists", "entries")
+    kept.drop("lists", "spread", "open", "met-by", "filled", "inside", "mixed", "member")
     # first the likeliest partner of each class; what it joins needs no more verifying
     likely = met.unionAll(met.select("b", "a", "both")).groupBy("a").agg(F.max_by("b", F.struct("both", "b")).alias("b"))
-    edges = _joined(known, kept, "two", likely, edges, None, size, percent)
-    edges = _joined(known, kept, "three", met.select("a", "b"), edges, None, size, percent)
-    found = labels(settle(edges))
-
-    of_class = named.join(found.withColumnRenamed("node", "c"), "c", "left").select("set_key", F.coalesce("component", "c").alias("component"))
-    out = signed.select("doc_id", "n", "set_key").join(of_class, "set_key", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"))
+    edges = _joined(known, named, kept, "two", likely, edges, None, size, percent)
+    edges = _joined(known, named, kept, "three", met.select("a", "b"), edges, None, size, percent)
+    found = settle(edges)
+    of_class = named.select("cid", "doc_id").join(labels(found).withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    firsts = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = kept.put("components", of_class.join(firsts, "component").select("cid", "component_id"))
+    kept.drop("met", "own", "classes", "found")
+    out = signed.select("doc_id", "n", "cid").join(of_class, "cid", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _at(df: DataFrame, found: DataFrame, node: str) -> DataFrame:
@@ -258,20 +319,22 @@ def _near(percent: int) -> str:
     return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {100 + percent} * ({differ}) <= {100 - percent} * (x.n + y.n)"
 
 
-def _joined(docs: DataFrame, kept: Kept, name: str, pairs: DataFrame, edges: DataFrame | None, sketches: DataFrame | None, size: int, percent: int) -> DataFrame:
-    """The edges with the links among pairs added, partly contracted. Pairs whose ends have one label already aren't verified, nor those that sketches (c, n, odd) rule out."""
+def _joined(docs: DataFrame, named: DataFrame, kept: Kept, name: str, pairs: DataFrame, edges: DataFrame, sketches: DataFrame | None, size: int, percent: int) -> DataFrame:
+    """The edges with the links among pairs added, partly contracted. Pairs whose ends have one label already aren't verified, nor those that sketches (cid, n, odd) rule out."""
     a, b = pairs.columns[:2]
     pairs = pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-    if edges is not None:
+    if sketches is None:
         found = labels(edges)
         pairs = _at(_at(pairs, found, "a").withColumnRenamed("component", "ca"), found, "b").filter("ca <> component").select("a", "b")
-    if sketches is not None:
-        pairs = pairs.join(sketches.select(F.col("c").alias("a"), F.struct("n", "odd").alias("x")), "a").join(sketches.select(F.col("c").alias("b"), F.struct("n", "odd").alias("y")), "b").filter(_near(percent)).select("a", "b").distinct()
+    else:
+        pairs = pairs.join(sketches.select(F.col("cid").alias("a"), F.struct("n", "odd").alias("x")), "a").join(sketches.select(F.col("cid").alias("b"), F.struct("n", "odd").alias("y")), "b").filter(_near(percent)).select("a", "b").distinct()
     pairs = kept.put(f"{name}-pairs", pairs)
-    if edges is not None and pairs.isEmpty():
+    if sketches is None and pairs.isEmpty():
         return edges
-    links = directed(verify(docs, kept, name, pairs, size, percent))
-    return contract(links if edges is None else links.union(edges).distinct(), ROUNDS)
+    links = directed(verify(docs, named, kept, name, pairs, size, percent))
+    out = contract(links.union(edges).distinct(), ROUNDS)
+    kept.drop(f"{name}-pairs", f"{name}-links")
+    return out
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -171,6 +171,28 @@ def test_jaccard_chains_and_near_copies(spark):
     _check_components(spark.createDataFrame(rows_, "doc_id long, text string").repartition(5), rows_)
 
 
+def test_jaccard_takes_rows_of_one_id_for_one_document(spark):
+    v, w = brute.prose(90, 30), brute.prose(91, 30)
+    df = spark.createDataFrame([(1, w), (5, v), (5, w), (7, v), (9, "alone here"), (9, "and there")], "doc_id long, text string").repartition(3)
+    assert {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(df).collect()} == {(1, 1), (5, 1), (7, 1), (9, 9)}
+
+
+def test_jaccard_deals_out_what_many_share(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 5)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    r = random.Random(3)
+    texts = []
+    for g in range(3):
+        base = brute.prose(700 + g, 60).split()
+        for _ in range(40):
+            w = list(base)
+            for _ in range(r.randint(0, 12)):
+                w[r.randrange(len(w))] = f"new{r.randint(0, 3)}"
+            texts.append(" ".join(w))
+    rows_ = list(enumerate(texts))
+    _check_components(spark.createDataFrame(rows_, "doc_id long, text string").repartition(4), rows_)
+
+
 # decontamination
 
 ITEMS = [(1, TEXTS[4][:400]), (2, "one two three"), (3, None), (4, "..."), (5, "Line one HERE"), (None, brute.prose(3, 4000)[500:700]), (5, "nul and next"), (6, TEXTS[4][:400])]
@@ -192,8 +214,8 @@ def test_decontamination_is_as_by_windows(spark, docs, empty, limit):
 
 def test_winnowing_keeps_about_a_quarter_of_the_places(spark):
     df = spark.createDataFrame([(brute.prose(600 + k, 3000),) for k in range(5)], "text string")
-    kept = decontaminate.runs(decontaminate.fingerprints(df.withColumn("__words", decontaminate.word_array(F.col("text")))))
-    n, words = kept.agg(F.sum(F.size("__starts")), F.sum(F.size("__words"))).first()
+    rows_ = decontaminate.fingerprints(df.withColumn("__words", decontaminate.word_array(F.col("text"))))
+    n, words = rows_.select(F.size(decontaminate.winnowed("__fp", 10, 4)).alias("n"), F.size("__words").alias("w")).agg(F.sum("n"), F.sum("w")).first()
     assert 0.2 * words < n < 0.35 * words
 
 
