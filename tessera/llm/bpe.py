@@ -1,12 +1,13 @@
 """BPE encoding and decoding with a distinct-word table.
 
 Texts are cut into words in Spark. A task numbers the distinct words of a stretch of its texts, writes the texts as numbers to the shared folder, and
-hands on the stretch's words, each once. These are shuffled by word and come in order, so that every distinct word of all documents is encoded once,
-and its ids go back to all stretches that have it, joined by the word's number there. A stretch's ids are then those at its numbers, by position.
-Decoding joins each id with its piece and puts the pieces' bytes together.
+hands on the stretch's words, each once, packed by their hash. All words of one hash class meet in one task, where every distinct word of all documents
+is encoded once, and its ids go back to all stretches that have it, joined by the word's number there. A stretch's ids are then those at its
+numbers, by position. Decoding joins each id with its piece and puts the pieces' bytes together.
 
-A word of all texts has a row for each stretch, not for each place, so frequent words are no hot keys; a task holds the words of one
-stretch. The stretches' words are a written table, so that a task that runs again finds the same stretches.
+A word of all texts comes once for each stretch, not for each place, so frequent words are no hot keys; a task holds the words of one stretch, or the
+distinct words of one class, of which there are more the larger the input is. The stretches' words are a written table, so that a task that runs
+again finds the same stretches.
 
 Defined results: null and empty texts have no ids and decode to ''; special strings inside texts become special tokens, as the library does by
 default, and are words of their own; a text of any length and script is one row, all of whose words are in the table; repeated rows give repeated
@@ -34,10 +35,11 @@ from tessera.runtime import Kept
 VOCABULARY = "byte_bpe_50k.json"
 #: Characters of a stretch, one text at least, and of what is handled at once within it.
 STRETCH, STEP = 32 << 20, 1 << 20
-#: Encoded words that a task holds before it hands them on by stretch.
-HELD = 200_000
-WORDS = "stretch long, number int, word string"
-#: Of a part of a stretch's words in order: how far each number is from the last one's, how many ids it has, and the ids; or the name of the stretch's file.
+#: Least and largest number of classes of words, and bytes of input for each.
+CLASSES, CLASS_BYTES = (8, 8192), 8 << 20
+#: Of a stretch's words of one class: their bytes, sizes in bytes, and how far each number is from the last one's; or the name of the stretch's file, of class -1.
+WORDS = "class int, stretch long, name string, words binary, sizes binary, numbers binary"
+#: Of the same words: the steps between numbers, how many ids each has, and the ids; or the name.
 ENCODED = "stretch long, name string, numbers binary, sizes binary, ids binary"
 
 
@@ -72,8 +74,8 @@ def _unplaned(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
 
 
-def split_words(docs: DataFrame, folder: str, vocabulary: str, stretch: int = STRETCH) -> DataFrame:
-    """docs: columns to keep, and the text last. WORDS of each stretch, and a row of number -1 whose word is the name of the stretch's file in folder: batches of the kept
+def split_words(docs: DataFrame, folder: str, vocabulary: str, classes: int, stretch: int = STRETCH) -> DataFrame:
+    """docs: columns to keep, and the text last. WORDS of each stretch. Its file in folder has batches of the kept
     columns, the number of words of each row, and, in the first row, all words' numbers."""
     kinds = pa.schema([*list(_kinds(docs))[:-1], pa.field("__n", pa.int32()), pa.field("__numbers", pa.binary())])
 
@@ -93,10 +95,7 @@ def split_words(docs: DataFrame, folder: str, vocabulary: str, stretch: int = ST
                     cols = [*rows.columns[:-1], pa.array([len(x) for x in found], pa.int32()), pa.array([blob] + [None] * (len(found) - 1), pa.binary())]
                     writer.write_batch(pa.RecordBatch.from_arrays(cols, schema=kinds))
                     step = next(steps, None)
-            keys, at = [name, *numbers], (k << 32) + part
-            for lo in range(0, len(keys), 50_000):
-                n = len(keys[lo : lo + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at)), pa.array(np.arange(lo - 1, lo - 1 + n, dtype=np.int32)), pa.array(keys[lo : lo + 50_000], pa.string())], ["stretch", "number", "word"])
+            yield _by_class(pa.array([*numbers], pa.large_string()), (k << 32) + part, name, classes)
             k += 1
 
     return scan.map_batches(docs, run, WORDS)
@@ -118,50 +117,55 @@ def _kinds(df: DataFrame) -> pa.Schema:
     return to_arrow_schema(df.schema)
 
 
-def encode_words(words: DataFrame, vocabulary: str, encode: Callable[[str], list[int]] | None = None) -> DataFrame:
-    """ENCODED of WORDS. Rows come by word in order, so that a word is encoded when it changes: once. encode: in place of the vocabulary's own model."""
+def _by_class(words: pa.Array, stretch: int, name: str, classes: int) -> pa.RecordBatch:
+    data, offs = scan.buffers(words)
+    of = (scan.hashes(data, offs[:-1], offs[1:]) % np.uint64(classes)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    cuts = np.searchsorted(of[order], np.arange(classes + 1))
+    pack, rows = zstandard.ZstdCompressor(level=1).compress, [(-1, stretch, name, None, None, None)]
+    for c in np.flatnonzero(np.diff(cuts)).tolist():
+        at = order[cuts[c] : cuts[c + 1]]
+        own, sizes = _taken(data, offs, at)
+        rows.append((c, stretch, None, pack(own.tobytes()), _planes(sizes), _planes(np.diff(at, prepend=0))))
+    return _rows(rows, WORDS)
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(f.split() for f in schema.split(", ")), strict=True)
+    of = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, of[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def encode_words(words: DataFrame, vocabulary: str, classes: int, encode: Callable[[str], list[int]] | None = None) -> DataFrame:
+    """ENCODED of WORDS. A class is one task's, which encodes each word when it first comes. encode: in place of the vocabulary's own model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, last, ids, held, n = encode or units.tokenizer(vocabulary).key_ids, None, [], [], 0
-        for batch in batches:
-            out, numbers = [], batch.column(1).to_numpy()
-            for number, word in zip(numbers.tolist(), batch.column(2).to_pylist(), strict=True):
-                if number < 0:
-                    out.append([])
-                    continue
-                if word != last:
-                    last, ids = word, ids_of(word)
-                out.append(ids)
-            named = pa.array(np.flatnonzero(numbers < 0))
-            if len(named):
-                yield _encoded(batch.column(0).take(named), batch.column(2).take(named), *([pa.nulls(len(named), pa.binary())] * 3))
-            held.append((batch.column(0).to_numpy(), numbers, np.array([len(x) for x in out], np.int64), np.array([i for x in out for i in x], np.int64)))
-            n += batch.num_rows
-            if n >= HELD:
-                yield _by_stretch(held)
-                held, n = [], 0
-        if held:
-            yield _by_stretch(held)
+        ids_of, unpack = encode or units.tokenizer(vocabulary).key_ids, zstandard.ZstdDecompressor().decompress
 
-    n = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return scan.map_batches(words.repartition(n, "word").sortWithinPartitions("word"), run, ENCODED)
+        class Table(dict):
+            def __missing__(self, word: bytes) -> bytes:
+                out = self[word] = _packed(ids_of(word.decode()))
+                return out
 
+        of_class: dict[int, Table] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["class"] not in of_class:
+                    of_class = {row["class"]: Table()}
+                raw, cuts = unpack(row["words"]), _cuts(_unplaned(row["sizes"])).tolist()
+                found = [of_class[row["class"]][raw[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                ids = np.frombuffer(b"".join(found), "<u4")
+                yield _rows([(row["stretch"], None, row["numbers"], _planes(np.array([len(x) // 4 for x in found])), _planes(ids))], ENCODED)
 
-def _encoded(*cols: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["stretch", "name", "numbers", "sizes", "ids"])
+    dealt = words.where("class >= 0").repartitionById(classes, "class").sortWithinPartitions("class")
+    names = words.where("class < 0").select("stretch", "name", *[F.lit(None).cast("binary").alias(c) for c in ("numbers", "sizes", "ids")])
+    return scan.map_batches(dealt, run, ENCODED).unionByName(names)
 
 
-def _by_stretch(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    stretch, number, size, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.lexsort((number, stretch))
-    order = order[number[order] >= 0]
-    stretch, number = stretch[order], number[order]
-    ids, size = _taken(ids, _cuts(size), order)
-    cuts, first = _cuts(size), np.flatnonzero(np.concatenate([[True], stretch[1:] != stretch[:-1]])) if len(order) else np.zeros(0, np.int64)
-    rows = []
-    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
-        rows.append((stretch[lo], None, _planes(np.diff(number[lo:hi], prepend=0)), _planes(size[lo:hi]), _planes(ids[cuts[lo] : cuts[hi]])))
-    return _encoded(*(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()))))
+def class_count(docs: DataFrame) -> int:
+    """By the optimizer's estimate of the input's bytes."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(-(-size // CLASS_BYTES), CLASSES[0]), CLASSES[1])
 
 
 def _cuts(sizes: np.ndarray) -> np.ndarray:
@@ -213,9 +217,10 @@ def map_ids(docs: DataFrame, f: Made, schema: str, keep: tuple[str, ...] = ("doc
     rows = docs.select(*[F.col(c).alias(f"__k{k}") for k, c in enumerate(keep)], docs[text].alias("__text"))
     kept = Kept(docs.sparkSession, "bpe")
     folder = f"{kept.root}/texts"
-    words = kept.put("words", split_words(rows, folder, vocabulary, stretch), "zstd")
-    encoded = encode_words(words, vocabulary)
-    n = max(1, words.where("number = -1").count())
+    classes = class_count(docs)
+    words = kept.put("words", split_words(rows, folder, vocabulary, classes, stretch))
+    encoded = encode_words(words, vocabulary, classes)
+    n = max(1, words.where("class < 0").count())
     own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     names = [*keep, *T._parse_datatype_string(schema).names]
 

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 import brute
@@ -268,16 +269,21 @@ def test_bpe_query_form(docs, empty, stretch):
 
 def test_bpe_encodes_each_distinct_word_once(spark, docs):
     folder, calls = new_dir(spark, "test-bpe"), spark.sparkContext.accumulator(0)
-    words = bpe.split_words(docs.select("doc_id", "text"), folder, bpe.VOCABULARY, stretch=40).cache()
-    texts = words.where("number >= 0")
-    assert words.where("number = -1").count() > 8 and texts.count() > texts.select("word").distinct().count()
+    words = bpe.split_words(docs.select("doc_id", "text"), folder, bpe.VOCABULARY, 3, stretch=40).cache()
+    texts, n = words.where("class < 0").count(), 0
+    distinct = set()
+    for r in words.where("class >= 0").collect():
+        cuts, raw = bpe._cuts(bpe._unplaned(r.sizes)), zstandard.ZstdDecompressor().decompress(r.words)
+        distinct |= {raw[a:b] for a, b in zip(cuts, cuts[1:])}
+        n += len(cuts) - 1
 
     def encode(word):
         calls.add(1)
         return [len(word)]
 
-    assert bpe.encode_words(words, bpe.VOCABULARY, encode).where("name IS NOT NULL").count() == words.where("number = -1").count()
-    assert calls.value == texts.select("word").distinct().count()
+    out = bpe.encode_words(words, bpe.VOCABULARY, 3, encode).collect()
+    assert texts > 8 and n > len(distinct) and calls.value == len(distinct)
+    assert sum(r.name is not None for r in out) == texts and sum(len(bpe._unplaned(r.ids)) for r in out if r.name is None) == n
 
 
 def test_counts_query_form(docs, empty):
