@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm import scan, sums
 from tessera.llm.components import contract, directed, labels, settle
-from tessera.runtime import Kept
+from tessera.runtime import Kept, cut
 
 SHINGLE, PERCENT = 4, 85
 #: log2 of the least and largest number of hashed counts, one byte each of which is sent to the executors, and bytes of input for each.
@@ -97,7 +97,8 @@ def count_bits(docs: DataFrame) -> int:
 
 
 def signatures(docs: DataFrame, classes: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, said (a hash of the text), n (the set's size), cid and prefix_key (hashes of the set and of the ordered prefix), prefix (32 bits of each shingle), and odd: for
+    """doc_id, said (a hash of the text), n (the set's size), cid and prefix_key (hashes of the set and of the ordered prefix), prefix (32 bits of each shingle), cold (how many of
+    these, the first, are in HOT documents at most, as their hashed counts are no less than their own), and odd: for
     each of ODD values of a hash, whether an odd number of the set's shingles has it. Two sets differ in as many shingles as their odds do in bits, at least."""
     sent = docs.sparkSession.sparkContext.broadcast(classes.tobytes())
     mask = np.uint64(len(classes) - 1)
@@ -108,12 +109,15 @@ def signatures(docs: DataFrame, classes: np.ndarray, size: int, percent: int) ->
             for i, j, data, offs in _each(batch.column(2)):
                 row, key = sets(data, offs, size)
                 n = np.bincount(row, minlength=j - i)
-                order = np.argsort(rank[(key & mask).astype(np.int64)], kind="stable")
+                ranks = rank[(key & mask).astype(np.int64)]
+                order = np.argsort(ranks, kind="stable")
                 order = order[_by_row(row[order])]
                 first = np.cumsum(n) - n
                 least = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
                 place = np.arange(len(row)) - first[row]
-                token = key[order][place < least[row]]
+                within = place < least[row]
+                token = key[order][within]
+                cold = np.bincount(row[within], ranks[order][within] < 8 * np.log2(1 + HOT), j - i).astype(np.int32)
                 cuts = np.concatenate([[0], np.cumsum(least)])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -123,13 +127,14 @@ def signatures(docs: DataFrame, classes: np.ndarray, size: int, percent: int) ->
                         _digest(key, np.concatenate([[0], np.cumsum(n)])),
                         _digest(scan.mix(token + _places(cuts) * scan._ODD), cuts),
                         pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array((token >> np.uint64(32)).astype(np.uint32).view(np.int32))),
+                        pa.array(cold, pa.int32()),
                         pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * (ODD // 64), pa.int32()), pa.array(_odd(row, key, j - i))),
                     ],
-                    ["doc_id", "said", "n", "set_key", "prefix_key", "prefix", "odd"],
+                    ["doc_id", "said", "n", "set_key", "prefix_key", "prefix", "cold", "odd"],
                 )
 
-    out = scan.map_batches(docs.select("doc_id", F.xxhash64("text").alias("said"), "text"), run, "doc_id long, said long, n int, set_key binary, prefix_key binary, prefix array<int>, odd array<long>")
-    return out.select("doc_id", "said", "n", F.xxhash64("set_key").alias("cid"), F.xxhash64("prefix_key", "n").alias("prefix_key"), "prefix", "odd")
+    out = scan.map_batches(docs.select("doc_id", F.xxhash64("text").alias("said"), "text"), run, "doc_id long, said long, n int, set_key binary, prefix_key binary, prefix array<int>, cold int, odd array<long>")
+    return out.select("doc_id", "said", "n", F.xxhash64("set_key").alias("cid"), F.xxhash64("prefix_key", "n").alias("prefix_key"), "prefix", "cold", "odd")
 
 
 def _odd(row: np.ndarray, key: np.ndarray, rows: int) -> np.ndarray:
@@ -202,7 +207,7 @@ def _cells(rows: DataFrame, key: str, n: str) -> tuple[DataFrame, DataFrame]:
 
 def _texts_of(pairs: DataFrame, texts: DataFrame, side: str) -> DataFrame:
     """Adds the text of one side of the pairs; a text of very many pairs goes to several tasks, among which its pairs are dealt."""
-    parts = _hot(pairs.groupBy(side).agg(F.count("*").alias("n"))).select(side, F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    parts = _hot(cut(pairs.groupBy(side).agg(F.count("*").alias("n")))).select(side, F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
     pairs = pairs.join(parts, side, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("a", "b"), "parts").cast("int"), F.lit(0))).drop("parts")
     texts = texts.toDF(side, f"text_{side}").join(parts, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     return pairs.join(texts, [side, "part"]).drop("part")
@@ -249,27 +254,30 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     # a document that has several rows may have several classes, which are linked as it is one document
     ends = some.groupBy("doc_id").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo <> hi").select("doc_id", "lo")
     own = kept.put("own", directed(some.select("doc_id", "cid").join(ends, "doc_id").select("cid", "lo")))
-    many = classes.groupBy("prefix_key").agg(F.count("*").alias("members"), F.min("cid").alias("g")).filter("members > 1")
+    many = kept.put("many", classes.groupBy("prefix_key").agg(F.count("*").alias("members"), F.min("cid").alias("g")).filter("members > 1"))
     member = kept.put("member", _with(classes.select("cid", "odd", "n", "prefix_key"), many, "prefix_key", "members").select("cid", "g", "odd", "n", "members"))
 
-    leads = classes.join(member.filter("cid <> g").select("cid"), "cid", "left_anti").select(F.col("cid").alias("g"), "n", "prefix")
-    lists = kept.put("entries", leads.select("g", "n", F.posexplode("prefix").alias("pos", "token")))
-    listed = kept.put("listed", lists.groupBy("token").agg(F.count("*").alias("listed")).filter("listed > 1"))
-    lists = kept.put("lists", _with(lists, listed, "token", "listed"))
-    kept.drop("entries", "listed")
+    leads = classes.join(member.filter("cid <> g").select("cid"), "cid", "left_anti").select(F.col("cid").alias("g"), "n", "cold", "prefix")
+    every = leads.select("g", "n", "cold", F.posexplode("prefix").alias("pos", "token"))
+    # the lists of few are counted as they meet; those that may be of many are counted first
+    few = every.filter("pos < cold").select("token", "g", "n", "pos", F.expr("count(*) OVER (PARTITION BY token)").alias("listed")).filter("listed > 1")
+    often = kept.put("often", every.filter("pos >= cold").select("token", "g", "n", "pos"))
+    listed = kept.put("listed", often.groupBy("token").agg(F.count("*").alias("listed")).filter("listed > 1"))
+    lists = kept.put("lists", few.unionByName(_with(often, listed, "token", "listed")))
+    kept.drop("often", "listed", "many")
 
     # round 1: a member and its group; a group and the head of its lists, and the one before it in its block there, that it meets most often. A group that shares more of its
     # prefix stands nearer the head, as it differs less from the rest
     shared = lists.groupBy("g").agg(F.count("*").alias("shared"))
     placed = kept.put("placed", lists.join(shared, "g").select("token", "listed", "shared", F.struct("g", "n").alias("of"), F.pmod(F.xxhash64("g"), F.ceil(F.col("listed") / HOT)).alias("block")))
-    heads = placed.groupBy("token").agg(F.max("listed").alias("listed"), F.min(F.struct((-F.col("shared")).alias("s"), "of.n", "of.g")).alias("head"))
+    heads = kept.put("heads", placed.groupBy("token").agg(F.max("listed").alias("listed"), F.min(F.struct((-F.col("shared")).alias("s"), "of.n", "of.g")).alias("head")))
     to_head = _with(placed.select("token", "of"), heads, "token", "listed").select("of", F.struct("head.g", "head.n").alias("other"), F.lit(1).alias("place"))
     prev = F.expr("lag(of) OVER (PARTITION BY token, block ORDER BY shared DESC, of.n, of.g)")
     votes = to_head.unionByName(placed.select("of", prev.alias("other"), F.lit(0).alias("place"))).filter(f"other IS NOT NULL AND other.g <> of.g AND 100 * least(of.n, other.n) >= {percent} * greatest(of.n, other.n)")
     best = votes.groupBy(F.col("of.g").alias("g"), "place", F.col("other.g").alias("h")).agg(F.count("*").alias("votes")).groupBy("g", "place").agg(F.max_by("h", F.struct("votes", "h")).alias("h")).select("g", "h")
     sketches = classes.select("cid", "n", "odd")
     edges = _joined(known, named, kept, "one", best.union(member.filter("cid <> g").select("cid", "g")), own, sketches, size, percent)
-    kept.drop("placed")
+    kept.drop("placed", "heads")
     found = kept.put("found", labels(edges))
 
     # round 2: pairs of groups, or of members of one group, that are in different components and near enough by size, place and odds
