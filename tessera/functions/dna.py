@@ -49,9 +49,9 @@ def subseq(c: Column, start: int, end: int) -> Column:
 
 
 def bins(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """key, bin (from 0) and the text of each bin of `width` characters; the last may be short. Empty texts have none."""
-    n = F.ceil(F.length(text) / width).cast("int")
-    return df.where(F.length(text) > 0).select(key, text, F.explode(F.sequence(F.lit(0), n - 1)).alias("bin")).select(key, "bin", F.substr(text, F.col("bin") * width + 1, F.lit(width)).alias("part"))
+    """key, bin (from 0) and the text of each bin of `width` characters; the last may be short. Empty texts have none. The text is cut in one pass."""
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), 0)
+    return df.where(F.length(text) > 0).select(key, F.posexplode_outer(parts).alias("bin", "part"))
 
 
 def allowed_runs(df: DataFrame, key: str, text: str, symbols: str = "acgt") -> DataFrame:

@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessera.functions.draws import unit
+from tessera.operators.tables import quantile
+
 ALLELES = ("a", "c", "g", "t")
 
 
@@ -42,7 +45,13 @@ def heterozygous(lowread: int = 2, mincov: float = 10, deltafreq: float = 0.1, c
 
 def coverage_quantile(df: DataFrame, permille: int, columns: Sequence[str] = ALLELES) -> DataFrame:
     """One row: the per-mille quantile of coverage over rows that have any."""
-    return df.select(coverage(columns).alias("cov")).where("cov > 0").agg(F.percentile("cov", F.lit(permille / 1000)).alias("mincov"))
+    return quantile(df.select(coverage(columns).alias("cov")).where("cov > 0"), [], "cov", permille / 1000, "mincov")
+
+
+def sample(df: DataFrame, size: int, seed: int = 0, place: Sequence[str] = ("chr", "pos")) -> DataFrame:
+    """About size rows, of each chr in proportion to its rows: a row is drawn by its place, with the same chance for all."""
+    n = df.agg(F.count("*").alias("_n"))
+    return df.join(F.broadcast(n)).where(unit(seed, *place) * F.col("_n") < size).drop("_n")
 
 
 def genotype(lowread: int = 2, ordered: bool = False, columns: Sequence[str] = ALLELES) -> Column:

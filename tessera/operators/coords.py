@@ -34,6 +34,36 @@ def format_sloc(df: DataFrame, seq: DataFrame, zero_based: bool = False) -> Data
     return named.withColumn("sloc", F.concat(F.col("name"), F.lit(":"), (F.col("from") - int(zero_based)).cast("string"), F.lit("-"), F.col("to").cast("string"))).drop("name")
 
 
+def sloc_to_absolute(df: DataFrame, seq: DataFrame, zero_based: bool = False) -> DataFrame:
+    """sloc as abs_from and abs_to."""
+    return to_absolute(parse_sloc(df, seq, zero_based), seq).drop("chr", "from", "to")
+
+
+def absolute_to_sloc(df: DataFrame, seq: DataFrame, zero_based: bool = False) -> DataFrame:
+    """abs_from and abs_to as sloc; rows that are in no one sequence drop out."""
+    return format_sloc(to_relative(df, seq), seq, zero_based).drop("chr", "from", "to")
+
+
+def to_lists(df: DataFrame, by: str = "chr") -> DataFrame:
+    """by and spans: each sequence's rows as one sorted array of from and to, a row by its meaning."""
+    return df.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col("from").cast("long").alias("from"), F.col("to").cast("long").alias("to")))).alias("spans"))
+
+
+def from_lists(df: DataFrame, by: str = "chr") -> DataFrame:
+    """by, from, to of rows of arrays."""
+    return df.select(by, F.explode("spans").alias("s")).select(by, F.col("s.from").alias("from"), F.col("s.to").alias("to"))
+
+
+def absolute_to_lists(df: DataFrame, seq: DataFrame) -> DataFrame:
+    """abs_from and abs_to as an array of from and to for each sequence."""
+    return to_lists(to_relative(df, seq).select("chr", "from", "to"))
+
+
+def lists_to_absolute(df: DataFrame, seq: DataFrame) -> DataFrame:
+    """abs_from and abs_to of rows of arrays."""
+    return to_absolute(from_lists(df), seq).select("abs_from", "abs_to")
+
+
 def parse_sloc(df: DataFrame, seq: DataFrame, zero_based: bool = False) -> DataFrame:
     """sloc as chr, from, to; texts of another form and unknown names drop out."""
     form = r"^(.+):([0-9]+)-([0-9]+)$"

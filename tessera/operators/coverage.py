@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.operators import tables
+from tessera.runtime import cut
 
 LEVELS = 1000
 #: Width of the curve that histograms are smoothed to.
@@ -57,44 +58,86 @@ def gc_model(points: list[tuple[int, float, int]], base_quantile: float = 0.0) -
 def correct(df: DataFrame, model: np.ndarray, gc: str, cov: str) -> DataFrame:
     """Adds pred (the model at the row's gc), rrc_raw (coverage over its median) and rrc_cor (coverage over pred). The lookup is an array of LEVELS + 1 numbers."""
     table = F.array(*[F.lit(float(v)) for v in model])
-    med = df.agg(F.percentile(cov, F.lit(0.5)).alias("_med"))
+    med = tables.quantile(df, [], cov, 0.5, "_med")
     out = df.withColumn("pred", F.get(table, F.bround(F.col(gc) * LEVELS).cast("int"))).join(F.broadcast(med))
     return out.withColumn("rrc_raw", F.try_divide(F.col(cov).cast("double"), F.col("_med"))).withColumn("rrc_cor", F.try_divide(F.col(cov).cast("double"), F.col("pred"))).drop("_med")
 
 
+def in_band(df: DataFrame, cov: str, lo: float, hi: float) -> DataFrame:
+    """The rows whose coverage is within the limits, both included."""
+    return df.where(F.col(cov).between(lo, hi))
+
+
 # bands of coverage
 
 
-def _median(bins: np.ndarray, alpha: float) -> tuple[float, float]:
-    m = float(np.median(bins))
-    mad = 1.4826 * float(np.median(np.abs(bins - m)))
+class Histogram:
+    """Values in order, and how often each occurs."""
+
+    def __init__(self, values: np.ndarray, n: np.ndarray | None = None):
+        n = np.ones(len(values)) if n is None else np.asarray(n)
+        order = np.argsort(values, kind="stable")
+        self.v, self.n = np.asarray(values, float)[order], n[order]
+        self.upto = np.cumsum(self.n)
+
+    @property
+    def total(self) -> float:
+        return float(self.upto[-1])
+
+    def quantile(self, q: float) -> float:
+        """Between the two values about the rank, linear."""
+        rank = (self.total - 1) * q
+        lo, hi = (self.v[np.searchsorted(self.upto, r, "right")] for r in (np.floor(rank), np.ceil(rank)))
+        return float(lo + (hi - lo) * (rank - np.floor(rank)))
+
+    def sd(self) -> float:
+        mean = (self.v * self.n).sum() / self.total
+        return float((((self.v - mean) ** 2 * self.n).sum() / self.total) ** 0.5)
+
+
+#: Digits to which values are rounded for a histogram: whole numbers under 10,000 stay as they are.
+DIGITS = 4
+
+
+def histogram(df: DataFrame, value: str) -> Histogram:
+    """Values rounded to DIGITS significant digits, and how often they occur: 9,000 for each power of ten at most, whatever the rows. Nulls are passed over."""
+    v = F.col(value).cast("double")
+    step = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(v))) - (DIGITS - 1))
+    rows = df.where(v.isNotNull()).select(F.when(v == 0, 0.0).otherwise(F.round(v / step) * step).alias("v")).groupBy("v").agg(F.count("*").alias("n")).collect()
+    return Histogram(np.array([r.v for r in rows]), np.array([r.n for r in rows]))
+
+
+def _median(bins: Histogram, alpha: float) -> tuple[float, float]:
+    m = bins.quantile(0.5)
+    mad = 1.4826 * Histogram(np.abs(bins.v - m), bins.n).quantile(0.5)
     return float(np.floor(max(0.0, m - alpha * mad))), float(np.ceil(m + alpha * mad))
 
 
-def density(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def density(x: np.ndarray | Histogram) -> tuple[np.ndarray, np.ndarray]:
     """A Gaussian kernel curve of POINTS points, from a histogram."""
-    sd = float(np.std(x)) or 1.0
-    q = np.quantile(x, [0.25, 0.75])
-    width = 0.9 * min(sd, (q[1] - q[0]) / 1.34 or sd) * len(x) ** -0.2
-    at = np.linspace(x.min() - 3 * width, x.max() + 3 * width, POINTS)
-    count, _ = np.histogram(x, np.append(at, at[-1] + at[1] - at[0]))
+    x = x if isinstance(x, Histogram) else Histogram(x)
+    sd = x.sd() or 1.0
+    q = [x.quantile(0.25), x.quantile(0.75)]
+    width = 0.9 * min(sd, (q[1] - q[0]) / 1.34 or sd) * x.total**-0.2
+    at = np.linspace(x.v.min() - 3 * width, x.v.max() + 3 * width, POINTS)
+    count, _ = np.histogram(x.v, np.append(at, at[-1] + at[1] - at[0]), weights=x.n)
     k = np.exp(-0.5 * ((at - at[POINTS // 2]) / width) ** 2)
     return at, np.convolve(count, k / k.sum(), "same")
 
 
-def _tops(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+def _tops(bins: Histogram) -> tuple[np.ndarray, np.ndarray, list[int]]:
     at, y = density(bins)
     tops = [i for i in range(1, POINTS - 1) if y[i] > y[i - 1] and y[i] >= y[i + 1]]
     return at, y, sorted(tops, key=lambda i: -y[i]) or [int(y.argmax())]
 
 
-def _poisson(bins: np.ndarray, alpha: float) -> tuple[float, float]:
+def _poisson(bins: Histogram, alpha: float) -> tuple[float, float]:
     at, _, tops = _tops(bins)
     mode = max(0.0, float(at[tops[0]]))
     return max(0.0, mode - alpha * mode**0.5), mode + alpha * mode**0.5
 
 
-def _peak(bins: np.ndarray, alpha: float) -> tuple[float, float]:
+def _peak(bins: Histogram, alpha: float) -> tuple[float, float]:
     at, y, tops = _tops(bins)
     slope, top = np.diff(y), tops[0]
     left = top - 1 - int(np.argmax(np.abs(slope[:top][::-1][: max(1, top)]))) if top else 0
@@ -102,7 +145,7 @@ def _peak(bins: np.ndarray, alpha: float) -> tuple[float, float]:
     return max(0.0, float(at[top] - alpha * (at[top] - at[max(0, left)]))), float(at[top] + alpha * (at[min(POINTS - 1, right)] - at[top]))
 
 
-def _twin(bins: np.ndarray, alpha: float) -> tuple[float, float]:
+def _twin(bins: Histogram, alpha: float) -> tuple[float, float]:
     at, _, tops = _tops(bins)
     top, others = tops[0], sorted(tops)
     k = others.index(top)
@@ -110,7 +153,7 @@ def _twin(bins: np.ndarray, alpha: float) -> tuple[float, float]:
     return max(0.0, float(at[top] - alpha * (at[top] - left) / 2)), float(at[top] + alpha * (right - at[top]) / 2)
 
 
-BANDS: dict[str, Callable[[np.ndarray, float], tuple[float, float]]] = {"median": _median, "poisson": _poisson, "peak": _peak, "twin": _twin}
+BANDS: dict[str, Callable[[Histogram, float], tuple[float, float]]] = {"median": _median, "poisson": _poisson, "peak": _peak, "twin": _twin}
 _TERM = re.compile(r"\s*([+-])?\s*(?:([0-9.]+)\s*\*)?\s*([a-z_]+)\s*")
 
 
@@ -129,10 +172,9 @@ def parse_band(formula: str) -> list[tuple[str, float, str]]:
 
 
 def band(df: DataFrame, cov: str, formula: str) -> tuple[float, float]:
-    """Limits of coverage by a formula. Bins of 0 are left out. The models see a histogram: values rounded to the sixth place after the point, and how often they occur,
-    of which coverage by whole numbers has few."""
-    rows = df.where(F.col(cov) > 0).groupBy(F.round(cov, 6).alias("v")).agg(F.count("*").alias("n")).orderBy("v").collect()
-    bins = np.repeat([float(r.v) for r in rows], [r.n for r in rows]) if rows else np.zeros(1)
+    """Limits of coverage by a formula. Bins of 0 are left out. The models see a histogram, of a size that doesn't grow with the rows."""
+    bins = histogram(df.where(F.col(cov) > 0), cov)
+    bins = bins if len(bins.v) else Histogram(np.zeros(1))
     lo, hi = -np.inf, np.inf
     for sign, alpha, name in parse_band(formula):
         a, b = BANDS[name](bins, alpha)
@@ -142,7 +184,10 @@ def band(df: DataFrame, cov: str, formula: str) -> tuple[float, float]:
 
 def median_band(df: DataFrame, cov: str, alpha: float) -> DataFrame:
     """The median model's limits as one row lo, hi, by aggregates alone."""
-    s = tables.robust(df.where(F.col(cov) > 0).withColumn("_one", F.lit(1)), ["_one"], cov)
+    rows = df.where(F.col(cov) > 0)
+    med = cut(tables.quantile(rows, [], cov, 0.5, "med"))  # one row
+    far = rows.join(F.broadcast(med)).select(F.abs(F.col(cov) - F.col("med")).alias("far"))
+    s = med.join(F.broadcast(cut(tables.quantile(far, [], "far", 0.5, "mad")))).withColumn("mad", F.col("mad") * 1.4826)
     return s.select(F.floor(F.greatest(F.lit(0.0), F.col("med") - alpha * F.col("mad"))).cast("double").alias("lo"), F.ceil(F.col("med") + alpha * F.col("mad")).cast("double").alias("hi"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.functions.draws import draw
 from tessera.operators.tiles import TILE, running, tiled
 
 KEYS = ("chr", "from", "to")
@@ -251,7 +252,7 @@ def sample_positions(df: DataFrame, size: int, seed: int = 0) -> DataFrame:
         return placed.select("chr", F.col("from").alias("pos")).limit(0)
     draws = 2 * size + 64
     while True:
-        numbers = df.sparkSession.range(draws).select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("number"))
+        numbers = df.sparkSession.range(draws).select("id", F.pmod(draw(seed, "id"), F.lit(total)).alias("number"))
         drawn = numbers.groupBy("number").agg(F.min("id").alias("id")).orderBy("id").limit(size)
         if draws > 4 * size + 256 or drawn.count() == size:
             break

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.functions.draws import draw
 from tessera.operators import intervals as iv
 
 
@@ -40,7 +41,7 @@ def sample_spaced(points: DataFrame, spacing: int, seed: int = 0) -> DataFrame:
     """chr, pos: at most one place, drawn by a hash, of each stretch of `spacing`, with places in the latter half of a stretch left out, so that
     two are spacing / 2 apart or more."""
     rows = points.select("chr", "pos").distinct().withColumn("_cell", F.floor(F.col("pos") / spacing)).where(F.col("pos") % spacing < (spacing + 1) // 2)
-    first = Window.partitionBy("chr", "_cell").orderBy(F.xxhash64("chr", "pos", F.lit(seed)), "pos")
+    first = Window.partitionBy("chr", "_cell").orderBy(draw(seed, "chr", "pos"), "pos")
     return rows.withColumn("_k", F.row_number().over(first)).where("_k = 1").select("chr", "pos")
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tessera.functions.draws import draw, unit
 
 
 def conditional_sum(df: DataFrame, x: str, y: str, dense: bool = False) -> DataFrame:
@@ -101,13 +103,66 @@ def z_score(med: Column, ref: Column, mad: Column, sd: Column) -> Column:
     return F.when(med == ref, F.lit(0.0)).otherwise(F.try_divide(med - ref, F.when(mad == 0, sd).otherwise(mad)))
 
 
+#: Classes into which a quantile's search cuts the range of values, and how often it does.
+CLASSES, ROUNDS = 4096, 2
+
+
+def quantile(df: DataFrame, by: Sequence[str], value: str, q: float, name: str = "quantile") -> DataFrame:
+    """by and the exact quantile (between the two values about it, linear) of the values that aren't null; null without any. No task holds the values of a group.
+
+    The range from least to largest value is cut into CLASSES, which are counted; only rows of the class that holds the rank go on, and are cut once more."""
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    ranks = rows.groupBy(*by).agg(F.count("*").alias("_n")).select(*by, ((F.col("_n") - 1) * F.lit(q)).alias("_rank"))
+    find = ranks.select(*by, F.floor("_rank").alias("_lo"), F.ceil("_rank").alias("_hi"), (F.col("_rank") - F.floor("_rank")).alias("_part"))
+    on = list(by)
+    met = lambda a, b: a.join(b, on) if on else a.join(F.broadcast(b))
+    for _ in range(ROUNDS):
+        ends = rows.groupBy(*by).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+        width = F.col("_b") - F.col("_a")
+        cut = met(rows, ends).withColumn("_c", F.when(width > 0, F.floor((F.col("_v") - F.col("_a")) / width * (CLASSES - 1))).otherwise(0)).drop("_a", "_b")
+        counts = cut.groupBy(*by, "_c").agg(F.count("*").alias("_n"))
+        counts = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+        holds = met(counts, find).where((F.col("_before") <= F.col("_hi")) & (F.col("_lo") < F.col("_before") + F.col("_n")))
+        kept = holds.groupBy(*by).agg(F.min("_c").alias("_c0"), F.max("_c").alias("_c1"), F.min("_before").alias("_skip"))
+        rows = met(cut, kept.drop("_skip")).where((F.col("_c") == F.col("_c0")) | (F.col("_c") == F.col("_c1"))).select(*by, "_v")
+        find = met(find, kept).select(*by, (F.col("_lo") - F.col("_skip")).alias("_lo"), (F.col("_hi") - F.col("_skip")).alias("_hi"), "_part")
+    order = Window.partitionBy(*by).orderBy("_v")
+    numbered = met(rows.withColumn("_k", F.row_number().over(order) - 1), find)
+    two = numbered.groupBy(*by, "_part").agg(F.max(F.when(F.col("_k") == F.col("_lo"), F.col("_v"))).alias("_x"), F.max(F.when(F.col("_k") == F.col("_hi"), F.col("_v"))).alias("_y"))
+    return two.select(*by, (F.col("_x") + (F.col("_y") - F.col("_x")) * F.col("_part")).alias(name))
+
+
 def trimmed_mean(df: DataFrame, by: Sequence[str], value: str, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     """Mean of the values between two quantiles of their group."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.lit(lo)).alias("_lo"), F.percentile(value, F.lit(hi)).alias("_hi"))
+    q = quantile(df, by, value, lo, "_lo").join(quantile(df, by, value, hi, "_hi"), list(by))
     return df.join(q, list(by)).where(F.col(value).between(F.col("_lo"), F.col("_hi"))).groupBy(*by).agg(F.avg(value).alias("mean"))
 
 
+def two_sided(z: Column) -> Column:
+    """Chance of a standard normal value at least as far from 0 as z, to 1.5e-7, by a rational approximation of the error function."""
+    x = F.abs(z) / F.lit(2.0**0.5)
+    t = 1 / (1 + 0.3275911 * x)
+    return F.when(z.isNotNull(), t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x))
+
+
+#: Agreement of a value with its prediction, by name, as aggregates.
+OBJECTIVES = {
+    "pearson": lambda seen, said: F.corr(seen, said),
+    "rsq": lambda seen, said: 1 - F.sum((F.col(seen) - F.col(said)) * (F.col(seen) - F.col(said))) / (F.var_pop(seen) * F.count(seen)),
+}
+
+
+def objective(name: str, seen: str, said: str) -> Column:
+    if name not in OBJECTIVES:
+        raise ValueError(f"no objective {name}; there are {', '.join(OBJECTIVES)}")
+    return OBJECTIVES[name](seen, said)
+
+
 def weighted_sample(df: DataFrame, weight: str, size: int, seed: int, *key: str) -> DataFrame:
     """size rows without replacement, with chances in proportion to weight: those of the largest u ** (1 / weight), u from a hash of the key."""
-    u = (F.xxhash64(*key, F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
-    return df.where(F.col(weight) > 0).withColumn("_k", F.log(u) / F.col(weight)).orderBy(F.desc("_k"), *key).limit(size).drop("_k")
+    return df.where(F.col(weight) > 0).withColumn("_k", F.log(unit(seed, *key)) / F.col(weight)).orderBy(F.desc("_k"), *key).limit(size).drop("_k")
+
+
+def uniform_sample(df: DataFrame, size: int, seed: int, *key: str) -> DataFrame:
+    """size rows without replacement, all with the same chance: those of the least draws of their key."""
+    return df.withColumn("_k", draw(seed, *key)).orderBy("_k", *key).limit(size).drop("_k")

@@ -61,18 +61,17 @@ def fit_composition(bins: DataFrame, params: Params) -> np.ndarray:
 
 def observed_levels(corrected: DataFrame, params: Params) -> list[tuple[int, float, float, float]]:
     """Levels of the corrected ratio by a level search over a histogram's quantiles: id, rc, af, weight. One level stands for a normal sample."""
-    rows = corrected.where("rrc_cor IS NOT NULL").groupBy(F.round("rrc_cor", 3).alias("v")).agg(F.count("*").alias("n")).orderBy("v").collect()
-    if not rows:
+    found = cv.histogram(corrected, "rrc_cor")
+    if not len(found.v):
         return []
-    v, n = np.array([float(r.v) for r in rows]), np.array([r.n for r in rows])
-    x = np.interp((np.arange(400) + 0.5) / 400, np.cumsum(n) / n.sum(), v)
+    x = np.interp((np.arange(400) + 0.5) / 400, found.upto / found.total, found.v)
     model = hmm.discover_levels(x, params.levels, 1e-6)
     states = hmm.viterbi(model, x)
     return [(k, float(p["mean"]), 0.5, float((states == k).sum())) for k, p in enumerate(model.params) if (states == k).any()]
 
 
 def segment(corrected: DataFrame, regions: DataFrame, alpha: float, ploidy: float, params: Params) -> DataFrame:
-    """chr, from, to, state, lev_rrc, lev_cn, delta_cn, nb_mark, ppm_mark, med, mad, z, med_cn."""
+    """chr, from, to, state, lev_rrc, lev_cn, delta_cn, nb_mark, ppm_mark, med, mad, z, p, med_cn."""
     top = corrected.agg(F.max("rrc_cor").alias("m")).first()["m"] or 2.0
     cn = min(params.cnmax, max(2, int(np.ceil(top * ploidy + 2 * alpha * (top - 1) / (1 - min(alpha, 0.999))))))
     means = [(q * (1 - alpha) + 2 * alpha) / (ploidy * (1 - alpha) + 2 * alpha) for q in range(cn + 1)]
@@ -93,7 +92,7 @@ def segment(corrected: DataFrame, regions: DataFrame, alpha: float, ploidy: floa
     lev = F.get(levels, F.col("state").cast("int"))
     return out.select(
         "chr", "from", "to", "state", lev.alias("lev_rrc"), "lev_cn", "delta_cn", F.col("n").alias("nb_mark"), (F.col("n") / (F.col("to") - F.col("from") + 1) * 1e6).alias("ppm_mark"), "med", "mad",
-        tb.z_score(F.col("med"), lev, F.col("mad"), F.col("sd")).alias("z"), pl.absolute_cn(F.col("med"), F.lit(alpha), F.lit(ploidy)).alias("med_cn"),
+        tb.z_score(F.col("med"), lev, F.col("mad"), F.col("sd")).alias("z"), tb.two_sided(tb.z_score(F.col("med"), lev, F.col("mad"), F.col("sd"))).alias("p"), pl.absolute_cn(F.col("med"), F.lit(alpha), F.lit(ploidy)).alias("med_cn"),
     )
 
 

@@ -242,7 +242,3 @@ def bed_coverage(spark, d):
 def depth_profile(spark, d):
     return iv.depth(intervals_a(spark, d)).groupBy(F.col("depth").cast("long").alias("depth")).agg(F.sum(F.col("to") - F.col("from") + 1).alias("positions"))
 
-
-@register("position_sample")
-def position_sample(spark, d):
-    return iv.sample_positions(intervals_a(spark, d), 500)

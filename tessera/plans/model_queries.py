@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tessera.operators import coverage as cv, hmm, intervals as iv, ploidy as pl
@@ -9,6 +11,7 @@ from tessera.plans import copynumber
 from tessera.plans.adapters import P_SQL, points
 from tessera.plans.catalogue import register, table
 from tessera.plans.ordered_queries import _DAILY, _daily, r6
+from tessera.runtime import cut
 
 _L = "(SELECT l_orderkey AS id, l_discount * 5 + l_tax AS gc, l_quantity AS cov FROM lineitem)"
 
@@ -22,12 +25,11 @@ def gc_aggregate(spark, d):
     return cv.aggregate(_lines(spark, d), "gc", "cov").select(F.col("gc").cast("long").alias("gc"), r6("cov"), "n")
 
 
-@register("gc_correct_lookup", f"SELECT count(*) AS n, round(avg(cov / (20 + 0.01 * round_even(gc * 1000, 0))), 6) AS rrc_cor, round(avg(cov / (SELECT median(cov) FROM {_L})), 6) AS rrc_raw FROM {_L} WHERE gc <= 1")
+@register("gc_correct_lookup", f"SELECT count(*) AS n, round(avg(cov / (20 + 0.01 * round_even(gc * 1000, 0))), 6) AS rrc_cor, round(avg(cov / (SELECT median(cov) FROM {_L} WHERE gc <= 1)), 6) AS rrc_raw FROM {_L} WHERE gc <= 1")
 def gc_correct_lookup(spark, d):
     """By a straight model, 20 + 0.01 for each thousandth; as averages, since every row has a ratio of its own."""
     rows = cv.correct(_lines(spark, d).where("gc <= 1"), [20 + 0.01 * k for k in range(cv.LEVELS + 1)], "gc", "cov")
-    med = _lines(spark, d).agg(F.percentile("cov", F.lit(0.5)).alias("m"))
-    return rows.join(F.broadcast(med)).agg(F.count("*").alias("n"), F.round(F.avg("rrc_cor"), 6).alias("rrc_cor"), F.round(F.avg(F.col("cov") / F.col("m")), 6).alias("rrc_raw"))
+    return rows.agg(F.count("*").alias("n"), F.round(F.avg("rrc_cor"), 6).alias("rrc_cor"), F.round(F.avg("rrc_raw"), 6).alias("rrc_raw"))
 
 
 @register("gc_model_fit")
@@ -39,7 +41,7 @@ def gc_model_fit(spark, d):
 
 @register("cover_range", f"SELECT chr, day FROM {_DAILY} WHERE n BETWEEN 12 AND 20")
 def cover_range(spark, d):
-    return _daily(spark, d).where(F.col("n").between(12, 20)).select("chr", "day")
+    return cv.in_band(_daily(spark, d), "n", 12, 20).select("chr", "day")
 
 
 @register("cover_band_median", f"WITH m AS (SELECT median(n) AS med FROM {_DAILY}), s AS (SELECT any_value(med) AS med, 1.4826 * median(abs(n - med)) AS mad FROM {_DAILY}, m) SELECT CAST(floor(greatest(0, med - 2 * mad)) AS DOUBLE) AS lo, CAST(ceil(med + 2 * mad) AS DOUBLE) AS hi FROM s")
@@ -94,7 +96,8 @@ def _observed(spark, d):
 
 
 def _fit(spark, d):
-    return pl.fit(_observed(spark, d), pl.grid_of(spark, (0, 19, 4), (20, 100, 10)))
+    """Kept, as its readers read it more than once; the observed levels likewise, which each model of the grid meets."""
+    return cut(pl.fit(cut(_observed(spark, d)), pl.grid_of(spark, (0, 19, 4), (20, 100, 10))))
 
 
 @register("ploidy_grid", f"SELECT alpha, ploidy, round(fit, 6) AS fit FROM {_FIT}")
@@ -107,9 +110,12 @@ def ploidy_best(spark, d):
     return pl.best(_fit(spark, d)).select("alpha", "ploidy", r6("fit"))
 
 
-@register("ploidy_quality")
+@register("ploidy_quality", f"""WITH f AS {_FIT}, b AS (SELECT alpha AS a0, ploidy AS q0, fit AS f0 FROM f ORDER BY fit DESC, ploidy, alpha LIMIT 1),
+  r AS (SELECT *, abs(alpha - a0) <= 0.1 + 1e-9 AND abs(ploidy - q0) <= 0.25 + 1e-9 AS near FROM f, b), o AS (SELECT alpha AS a1, ploidy AS q1 FROM r WHERE NOT near ORDER BY fit DESC, ploidy, alpha LIMIT 1)
+  SELECT any_value(a0) AS alpha, any_value(q0) AS ploidy, round(any_value(f0), 6) AS fit,
+    round(sum(exp(fit)) FILTER (WHERE near) / (sum(exp(fit)) FILTER (WHERE near) + coalesce(sum(exp(fit)) FILTER (WHERE NOT near AND abs(alpha - a1) <= 0.1 + 1e-9 AND abs(ploidy - q1) <= 0.25 + 1e-9), 0)), 6) AS quality FROM r LEFT JOIN o ON true""")
 def ploidy_quality(spark, d):
-    return pl.quality(_fit(spark, d))
+    return pl.quality(_fit(spark, d)).select("alpha", "ploidy", r6("fit"), r6("quality"))
 
 
 _LEN = f"""(SELECT chr, "from", "to", CAST("to" - "from" + 1 AS BIGINT) % 4 AS lev_cn FROM (SELECT chr, day * 10 AS "from", day * 10 + n AS "to" FROM {_DAILY}))"""
@@ -124,12 +130,30 @@ def reference_copy(spark, d):
 MODEL = hmm.Hmm.new([{"mean": 20.0, "sd": 15.0}, {"mean": 70.0, "sd": 20.0}], 0.2)
 
 
-@register("hmm_loglike")
+# the model's figures, written out: emissions are the normal densities' logarithms
+_EMIT = [f"(-0.5 * pow((value - {p['mean']}) / {p['sd']}, 2) - ln({p['sd']}) - 0.9189385332046727)" for p in MODEL.params]
+_SEEN = f"(SELECT user_id, id, value, row_number() OVER (PARTITION BY user_id ORDER BY id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM {P_SQL})"
+_T = [[float(math.log(x)) for x in row] for row in MODEL.trans]
+_I = [float(math.log(x)) for x in MODEL.init]
+_LSE = "(greatest({0}, {1}) + ln(1 + exp(-abs(({0}) - ({1})))))"
+_FORWARD = f"""WITH RECURSIVE s AS MATERIALIZED {_SEEN}, f AS (SELECT user_id, k, n, {_I[0]} + {_EMIT[0]} AS a, {_I[1]} + {_EMIT[1]} AS b FROM s WHERE k = 1
+  UNION ALL SELECT s.user_id, s.k, s.n, {_LSE.format(f'a + {_T[0][0]}', f'b + {_T[1][0]}')} + {_EMIT[0]}, {_LSE.format(f'a + {_T[0][1]}', f'b + {_T[1][1]}')} + {_EMIT[1]} FROM f JOIN s ON s.user_id = f.user_id AND s.k = f.k + 1)
+  SELECT user_id, round({_LSE.format('a', 'b')}, 4) AS loglike, n FROM f WHERE k = n"""
+# the best way into each state, forward; then from the last state back
+_VITERBI = f"""WITH RECURSIVE s AS MATERIALIZED {_SEEN}, f AS (SELECT user_id, id, k, n, {_I[0]} + {_EMIT[0]} AS a, {_I[1]} + {_EMIT[1]} AS b, 0 AS pa, 0 AS pb FROM s WHERE k = 1
+  UNION ALL SELECT s.user_id, s.id, s.k, s.n, greatest(a + {_T[0][0]}, b + {_T[1][0]}) + {_EMIT[0]}, greatest(a + {_T[0][1]}, b + {_T[1][1]}) + {_EMIT[1]},
+    CASE WHEN a + {_T[0][0]} >= b + {_T[1][0]} THEN 1 ELSE 2 END, CASE WHEN a + {_T[0][1]} >= b + {_T[1][1]} THEN 1 ELSE 2 END FROM f JOIN s ON s.user_id = f.user_id AND s.k = f.k + 1),
+  m AS MATERIALIZED (SELECT * FROM f), w AS (SELECT user_id, id, k, CASE WHEN a >= b THEN 1 ELSE 2 END AS state, pa, pb FROM m WHERE k = n
+  UNION ALL SELECT m.user_id, m.id, m.k, CASE WHEN w.state = 1 THEN w.pa ELSE w.pb END, m.pa, m.pb FROM w JOIN m ON m.user_id = w.user_id AND m.k = w.k - 1)
+  SELECT user_id, id, CAST(state AS BIGINT) AS state FROM w"""
+
+
+@register("hmm_loglike", _FORWARD)
 def hmm_loglike(spark, d):
-    return hmm.log_likelihoods(points(spark, d), ["user_id"], "id", "value", MODEL)
+    return hmm.log_likelihoods(points(spark, d), ["user_id"], "id", "value", MODEL).select("user_id", F.round("loglike", 4).alias("loglike"), "n")
 
 
-@register("hmm_viterbi")
+@register("hmm_viterbi", _VITERBI)
 def hmm_viterbi(spark, d):
     return hmm.decode(points(spark, d), ["user_id"], "id", "value", MODEL)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.draws import draw_sql
 from tessera.operators import regions as rg
 from tessera.plans.adapters import A_SQL, P_SQL, intervals_a, points
 from tessera.plans.catalogue import register
@@ -55,7 +56,7 @@ def bits_inter(spark, d):
     return rg.count_bits(rg.inter_bits(*_sets(spark, d)))
 
 
-@register("spaced_sample")
+@register("spaced_sample", f"SELECT chr, pos FROM (SELECT chr, pos, row_number() OVER (PARTITION BY chr, pos // 3600 ORDER BY {draw_sql(0, 'chr', 'pos')}, pos) AS k FROM (SELECT DISTINCT chr, pos FROM {P_SQL}) WHERE pos % 3600 < 1800) WHERE k = 1")
 def spaced_sample(spark, d):
     return rg.sample_spaced(points(spark, d), 3600)
 

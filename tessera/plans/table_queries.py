@@ -118,7 +118,7 @@ def mean_ploidy(spark, d):
 
 @register("correlation", "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY l_returnflag")
 def correlation(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(tb.objective("pearson", "l_quantity", "l_extendedprice"), 6).alias("r"))
 
 
 _LOW, _COV = 8, 40
@@ -159,7 +159,6 @@ def mincov_quantile(spark, d):
     return al.coverage_quantile(counts4(spark, d), 250).select(r6("mincov"))
 
 
-_DOCS = "(SELECT doc_id, left(text, 3000) AS text FROM documents)"
 _BINS = "(SELECT doc_id, bin, substr(text, CAST(bin * 200 + 1 AS BIGINT), 200) AS part FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 200.0) AS BIGINT))) AS bin FROM documents WHERE length(text) > 0))"
 
 
@@ -190,10 +189,10 @@ def gc_strata(spark, d):
 @register(
     "acgt_runs",
     """SELECT doc_id, CAST("to" - length(run) + 1 AS BIGINT) AS "from", CAST("to" AS BIGINT) AS "to" FROM (SELECT doc_id, run, sum(length(run)) OVER (PARTITION BY doc_id ORDER BY i) AS "to" FROM (
-    SELECT doc_id, unnest(r) AS run, unnest(range(len(r))) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[acgt]+|[^acgt]+') AS r FROM benchmark_or_docs))) WHERE regexp_matches(run, '^[acgt]')""".replace("benchmark_or_docs", "(SELECT item_id AS doc_id, text FROM benchmark)"),
+    SELECT doc_id, unnest(r) AS run, unnest(range(len(r))) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[acgt]+|[^acgt]+') AS r FROM documents))) WHERE regexp_matches(run, '^[acgt]')""",
 )
 def acgt_runs(spark, d):
-    return dna.allowed_runs(table(spark, d, "benchmark").withColumnRenamed("item_id", "doc_id"), "doc_id", "text")
+    return dna.allowed_runs(table(spark, d, "documents"), "doc_id", "text")
 
 
 @register("symbol_counts", f"SELECT doc_id, {_n('text', 'a')} AS a, {_n('text', 'gc')} AS gc, length(text) - {_n('text', 'acgt')} AS other FROM documents")
@@ -207,9 +206,10 @@ def dna_revcompl(spark, d):
     return table(spark, d, "documents").select("doc_id", dna.reverse_complement(dna.only(F.col("text"), "acgt")).alias("seq"))
 
 
-@register("dna_hamming", "SELECT x.item_id AS a, y.item_id AS b, CAST(list_sum(list_transform(range(1, 61), lambda i: CASE WHEN substr(x.text, i, 1) = substr(y.text, i, 1) THEN 0 ELSE 1 END)) AS BIGINT) AS dist FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id + 1 AND length(x.text) >= 60 AND length(y.text) >= 60")
+@register("dna_hamming", "SELECT x.item_id AS a, y.item_id AS b, CAST(list_sum(list_transform(range(1, greatest(length(x.text), length(y.text)) + 1), lambda i: CASE WHEN substr(x.text, i, 1) = substr(y.text, i, 1) THEN 0 ELSE 1 END)) AS BIGINT) AS dist FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id + 1")
 def dna_hamming(spark, d):
-    b = table(spark, d, "benchmark").where(F.length("text") >= 60).select("item_id", F.substring("text", 1, 60).alias("s"))
+    """Each item against the next, over the whole texts."""
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("s"))
     y = b.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("b"), F.col("s").alias("t"))
     return b.join(y, "item_id").select(F.col("item_id").alias("a"), "b", dna.hamming(F.col("s"), F.col("t")).cast("long").alias("dist"))
 
@@ -219,9 +219,9 @@ def subseq(spark, d):
     return table(spark, d, "documents").select("doc_id", dna.subseq(F.col("text"), 5, 24).alias("part"))
 
 
-@register("str_trim", r"SELECT doc_id, regexp_replace(regexp_replace(substr(text, 3, 40), '^[ \t\n\r]+', ''), '[ \t\n\r]+$', '') AS s FROM documents")
+@register("str_trim", r"SELECT doc_id, regexp_replace(regexp_replace(text, '^[ \t\n\r]+', ''), '[ \t\n\r]+$', '') AS s FROM documents")
 def str_trim(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.trim(F.substring("text", 3, 40)).alias("s"))
+    return table(spark, d, "documents").select("doc_id", text.trim(F.col("text")).alias("s"))
 
 
 @register("str_trunc", "SELECT doc_id, CASE WHEN length(text) > 30 THEN substr(text, 1, 27) || '...' ELSE text END AS s FROM documents")
@@ -235,9 +235,9 @@ def str_split(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(parts).cast("long").alias("n"), F.get(parts, F.lit(0)).alias("first"))
 
 
-@register("str_positions", "SELECT item_id, array_to_string(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 1) = '.'), ',') AS at FROM benchmark".replace(" AS at ", ' AS "at" '))
+@register("str_positions", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ''), lambda c, i: CASE WHEN c = '.' THEN i END), lambda i: i IS NOT NULL), ',') AS at FROM documents".replace(" AS at ", ' AS "at" '))
 def str_positions(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.array_join(text.positions(F.col("text"), ".").cast("array<string>"), ",").alias("at"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(text.positions(F.col("text"), ".").cast("array<string>"), ",").alias("at"))
 
 
 @register("record_find", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)password ?[=:]') OR contains(text, 'license')")
@@ -305,13 +305,3 @@ def population_posterior(spark, d):
 def sample_match(spark, d):
     g = _genotypes(spark, d).where(F.length("geno") == 1).select("user_id", al.genotype_probability(*map(F.col, ("geno", "ref", "alt", "f"))).alias("p"), (F.col("user_id") % 7 > 0).alias("same"))
     return al.match_rate(g, "p", "same", 40).select(r6("rate"), "n")
-
-
-@register("flag_counts", "SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, count(*) FILTER (WHERE l_discount > 0.05) AS high FROM lineitem GROUP BY ALL")
-def flag_counts(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") > 0.05).alias("high"))
-
-
-@register("weighted_sample")
-def weighted_sample(spark, d):
-    return tb.weighted_sample(table(spark, d, "orders"), "o_totalprice", 100, 7, "o_orderkey").select("o_orderkey")
