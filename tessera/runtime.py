@@ -76,8 +76,10 @@ class Kept:
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
+        """Deletes tables, and lets the driver's garbage collector find the shuffles that they were made by, whose files go then."""
         for name in names:
             delete(self.spark, f"{self.root}/{name}")
+        self.spark.sparkContext._jvm.System.gc()
 
     def close(self) -> None:
         delete(self.spark, self.root)
