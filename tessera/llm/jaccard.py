@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm import scan, sums
 from tessera.llm.components import contract, directed, labels, settle
-from tessera.runtime import Kept, cut
+from tessera.runtime import Kept, cut, spread
 
 SHINGLE, PERCENT = 4, 85
 #: log2 of the least and largest number of hashed counts, one byte each of which is sent to the executors, and bytes of input for each.
@@ -97,7 +97,7 @@ def count_bits(docs: DataFrame) -> int:
 
 
 def signatures(docs: DataFrame, classes: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, said (a hash of the text), n (the set's size), cid and prefix_key (hashes of the set and of the ordered prefix), prefix (32 bits of each shingle), cold (how many of
+    """doc_id, said (a hash of the text), n (the set's size), set and prefix_key (hashes of the set and of the ordered prefix), prefix (32 bits of each shingle), cold (how many of
     these, the first, are in HOT documents at most, as their hashed counts are no less than their own), and odd: for
     each of ODD values of a hash, whether an odd number of the set's shingles has it. Two sets differ in as many shingles as their odds do in bits, at least."""
     sent = docs.sparkSession.sparkContext.broadcast(classes.tobytes())
@@ -134,7 +134,7 @@ def signatures(docs: DataFrame, classes: np.ndarray, size: int, percent: int) ->
                 )
 
     out = scan.map_batches(docs.select("doc_id", F.xxhash64("text").alias("said"), "text"), run, "doc_id long, said long, n int, set_key binary, prefix_key binary, prefix array<int>, cold int, odd array<long>")
-    return out.select("doc_id", "said", "n", F.xxhash64("set_key").alias("cid"), F.xxhash64("prefix_key", "n").alias("prefix_key"), "prefix", "cold", "odd")
+    return out.select("doc_id", "said", "n", F.xxhash64("set_key").alias("set"), F.xxhash64("prefix_key", "n").alias("prefix_key"), "prefix", "cold", "odd")
 
 
 def _odd(row: np.ndarray, key: np.ndarray, rows: int) -> np.ndarray:
@@ -243,17 +243,22 @@ def verify(docs: DataFrame, named: DataFrame, kept: Kept, name: str, pairs: Data
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bits: int | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs (doc_id, text). bits: log2 of the number of hashed counts, by the input's size if none is given."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     known, kept = docs.filter("doc_id IS NOT NULL"), Kept(docs.sparkSession, "jaccard")
     signed = kept.put("signed", signatures(docs, frequency_classes(docs, size, bits or count_bits(docs)), size, percent))
     some = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    # classes: texts with the same set, for which one row stands, that of the least doc_id; groups: classes with the same prefix and size, known by their least class
-    least = some.groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    classes = kept.put("classes", some.join(least, ["cid", "doc_id"], "left_semi").dropDuplicates(["cid"]))
+    # a document that has several rows may have several sets, and is then known by each set's hash
+    several = kept.put("several", some.groupBy("doc_id").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).filter("lo <> hi"))
+    own_name = F.when(F.col("shared"), F.col("set").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))).otherwise(F.col("doc_id"))
+    with_name = lambda df: df.join(several.select("doc_id", F.lit(True).alias("shared")), "doc_id", "left").withColumn("cid", own_name).drop("shared")
+    # classes: texts with the same set, for which one row stands, that of the least doc_id, whose id is the class's; groups: classes with the same prefix and size, known by their least class
+    least = kept.put("least", some.groupBy("set").agg(F.min("doc_id").alias("doc_id")))
+    copies = some.select("set", "doc_id").join(least, ["set", "doc_id"], "left_anti").distinct()
+    classes = kept.put("classes", with_name(some.join(copies, ["set", "doc_id"], "left_anti").dropDuplicates(["set", "doc_id"])))
     named = classes.select("cid", "doc_id", "said")
-    # a document that has several rows may have several classes, which are linked as it is one document
-    ends = some.groupBy("doc_id").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo <> hi").select("doc_id", "lo")
-    own = kept.put("own", directed(some.select("doc_id", "cid").join(ends, "doc_id").select("cid", "lo")))
+    # as it is one document, its sets' classes are linked
+    sets = some.select("doc_id", "set").join(several.select("doc_id"), "doc_id").distinct().join(with_name(least).select("set", "cid"), "set")
+    own = kept.put("own", directed(sets.join(sets.groupBy("doc_id").agg(F.min("cid").alias("lo")), "doc_id").select("cid", "lo")))
     many = kept.put("many", classes.groupBy("prefix_key").agg(F.count("*").alias("members"), F.min("cid").alias("g")).filter("members > 1"))
     member = kept.put("member", _with(classes.select("cid", "odd", "n", "prefix_key"), many, "prefix_key", "members").select("cid", "g", "odd", "n", "members"))
 
@@ -264,7 +269,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     often = kept.put("often", every.filter("pos >= cold").select("token", "g", "n", "pos"))
     listed = kept.put("listed", often.groupBy("token").agg(F.count("*").alias("listed")).filter("listed > 1"))
     lists = kept.put("lists", few.unionByName(_with(often, listed, "token", "listed")))
-    kept.drop("often", "listed", "many")
+    kept.drop("often", "listed", "many")  # also frees what made the lists
 
     # round 1: a member and its group; a group and the head of its lists, and the one before it in its block there, that it meets most often. A group that shares more of its
     # prefix stands nearer the head, as it differs less from the rest
@@ -290,8 +295,10 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     open_ = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("mixed").alias("mixed"), F.max("listed").alias("listed")).filter("lo <> hi OR mixed").select("token", "listed")
     entries = _with(entries.select("token", "g", "n", "pos"), kept.put("open", open_), "token", "listed").select("token", "g", "n", "pos")
     one = classes.select("cid", "odd").join(member.select("cid"), "cid", "left_anti").select(F.col("cid").alias("g"), "cid", "odd").union(member.select("g", "cid", "odd"))
-    entries = kept.put("met-by", _at(entries.join(one, "g"), found, "cid"))
-    entries = _with(entries, kept.put("filled", entries.groupBy("token").agg(F.count("*").alias("filled"))), "token", "filled")
+    entries = kept.put("open-lists", entries)
+    sizes = one.groupBy("g").agg(F.count("*").alias("classes"))
+    filled = kept.put("filled", entries.join(sizes, "g").groupBy("token").agg(F.sum("classes").alias("filled")))
+    entries = _at(_with(entries, filled, "token", "filled").join(one, "g"), found, "cid")
     # the smaller of a pair meets the other within a shorter prefix: n - ceil(2 percent n / (100 + percent)) + 1
     short = f"{100 + percent} * (y.n - y.pos) >= {2 * percent} * y.n"
     x, y = _cells(entries, "token", "filled")
@@ -302,17 +309,17 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         .agg(F.count("*").alias("both"))
     )
     met = kept.put("met", across.union(within.withColumn("both", F.lit(1 << 40))))
-    kept.drop("lists", "spread", "open", "met-by", "filled", "inside", "mixed", "member")
+    kept.drop("lists", "spread", "open", "open-lists", "filled", "inside", "mixed", "member")
     # first the likeliest partner of each class; what it joins needs no more verifying
     likely = met.unionAll(met.select("b", "a", "both")).groupBy("a").agg(F.max_by("b", F.struct("both", "b")).alias("b"))
     edges = _joined(known, named, kept, "two", likely, edges, None, size, percent)
     edges = _joined(known, named, kept, "three", met.select("a", "b"), edges, None, size, percent)
     found = settle(edges)
-    of_class = named.select("cid", "doc_id").join(labels(found).withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    of_class = classes.select("cid", "doc_id", "set").join(labels(found).withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     firsts = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = kept.put("components", of_class.join(firsts, "component").select("cid", "component_id"))
-    kept.drop("met", "own", "classes", "found")
-    out = signed.select("doc_id", "n", "cid").join(of_class, "cid", "left")
+    of_class = kept.put("components", of_class.join(firsts, "component").select("set", "component_id"))
+    kept.drop("met", "own", "classes", "found", "least", "several")
+    out = signed.select("doc_id", "n", "set").join(of_class, "set", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
