@@ -89,8 +89,8 @@ def match_rate(df: DataFrame, proba: str, same: str, nbest: int) -> DataFrame:
     return best.agg(F.avg(F.col(same).cast("double")).alias("rate"), F.count("*").alias("n"))
 
 
-def pileup(reads: DataFrame, mapq: int = 0, baseq: int = 0) -> DataFrame:
-    """chr, pos and counts of a, c, g, t from reads (chr, pos, cigar, seq, qual, mapq): aligned bases only, with deletions, skips and clipped ends left out.
+def pileup(reads: DataFrame, mapq: int = 0, baseq: int = 0, counted: bool = True) -> DataFrame:
+    """chr, pos and counts of a, c, g, t (or, if not counted, a row chr, pos, base for each) from reads (chr, pos, cigar, seq, qual, mapq): aligned bases only, with deletions, skips and clipped ends left out.
 
     Each CIGAR operation is unrolled with the places it starts at on the reference and in the read, found by running sums over the operations."""
     ops = F.regexp_extract_all("cigar", F.lit("([0-9]+)[MIDNSHP=X]"), 1)
@@ -106,4 +106,7 @@ def pileup(reads: DataFrame, mapq: int = 0, baseq: int = 0) -> DataFrame:
     blocks = reads.where(F.col("mapq") >= mapq).select("chr", "seq", "qual", F.explode(F.aggregate(pairs, start, step, lambda s: s.m)).alias("b"))
     bases = blocks.select("chr", "seq", "qual", "b.*").select("chr", "seq", "qual", "r", "q", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
     bases = bases.select("chr", (F.col("r") + F.col("k")).alias("pos"), F.lower(F.substr("seq", F.col("q") + F.col("k"), F.lit(1))).alias("base"), (F.ascii(F.substr("qual", F.col("q") + F.col("k"), F.lit(1))) - 33).alias("bq"))
-    return bases.where((F.col("bq") >= baseq) | F.col("bq").isNull()).groupBy("chr", "pos").agg(*[F.count_if(F.col("base") == b).cast("int").alias(b) for b in ALLELES])
+    bases = bases.where((F.col("bq") >= baseq) | F.col("bq").isNull())
+    if not counted:
+        return bases.select("chr", "pos", "base")
+    return bases.groupBy("chr", "pos").agg(*[F.count_if(F.col("base") == b).cast("int").alias(b) for b in ALLELES])

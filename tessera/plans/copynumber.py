@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.operators import coverage as cv, hmm, intervals as iv, ordered as od, ploidy as pl, tables as tb
-from tessera.runtime import Kept
+from tessera.runtime import Kept, cut
 
 
 @dataclass
@@ -77,14 +77,14 @@ def segment(corrected: DataFrame, regions: DataFrame, alpha: float, ploidy: floa
     means = [(q * (1 - alpha) + 2 * alpha) / (ploidy * (1 - alpha) + 2 * alpha) for q in range(cn + 1)]
     model = hmm.Hmm.new([{"mean": m, "sd": params.sd} for m in means], params.tau)
     states = hmm.decode(corrected.where("rrc_cor IS NOT NULL"), ["chr"], "from", "rrc_cor", model)
-    marks = states.join(corrected, ["chr", "from"]).select("chr", "from", "to", (F.col("state") - 1).alias("state"), "rrc_cor")
+    marks = cut(states.join(corrected, ["chr", "from"]).select("chr", "from", "to", (F.col("state") - 1).alias("state"), "rrc_cor"))
     runs = od.run_lengths(marks, ["chr"], ["from"], "state", "from").select("chr", "from", F.col("to").alias("last"), "state")
     ends = marks.select("chr", F.col("from").alias("last"), "to")
-    whole = runs.join(ends, ["chr", "last"]).select("chr", "from", "to", "state")
+    whole = cut(runs.join(ends, ["chr", "last"]).select("chr", "from", "to", "state"))
     parts = whole.withColumn("id", F.xxhash64("chr", "from"))
     inside = iv.overlap_pairs(parts, regions.withColumn("id", F.xxhash64("chr", "from", "to"))).join(parts.select(F.col("id").alias("a_id"), "state"), "a_id").select("chr", "from", "to", "state")
-    fused = od.fuse(iv.threshold(inside, params.minsize), ["chr"], params.joinsize).select("chr", "from", "to", "state")
-    fused = fused.withColumn("id", F.xxhash64("chr", "from"))
+    fused = od.fuse(cut(iv.threshold(inside, params.minsize)), ["chr"], params.joinsize).select("chr", "from", "to", "state")
+    fused = cut(fused.withColumn("id", F.xxhash64("chr", "from")))
     met = iv.overlap_pairs(fused, marks.withColumn("id", F.struct("from", "rrc_cor"))).select("a_id", F.col("b_id.rrc_cor").alias("rrc"))
     stats = tb.robust(met, ["a_id"], "rrc")
     levels = F.array(*[F.lit(float(m)) for m in means])

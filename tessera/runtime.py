@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Folders that this process made in the shared folder, by application.
 _made: dict[str, list[str]] = {}
@@ -53,6 +53,18 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """The optimizer's estimate of a table's bytes; None where it has none, as for rows that aren't from files. No job is run."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else None
+
+
+def text_bytes(df: DataFrame, text: str) -> int:
+    """input_bytes, or the bytes of the texts where it isn't known."""
+    size = input_bytes(df)
+    return size if size is not None else df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
 #: Bytes for each core up to which an input is spread.
 SPREAD_BYTES = 8 << 20
 
@@ -61,8 +73,8 @@ def spread(df: DataFrame) -> DataFrame:
     """The same rows, dealt to as many tasks as there are cores if the input is estimated to be small: a small file may be one task's however many there are.
     Larger inputs come as they are. No job is run for the estimate."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+    size = input_bytes(df)
+    return df.repartition(cores) if size is not None and size < cores * SPREAD_BYTES else df
 
 
 class Kept:
