@@ -12,11 +12,11 @@ the ids, little-endian, two bytes each where the vocabulary allows it. Every RES
 their offsets, so an entry is found by binary search over the index, then over the restarts. Keys sort as bytes: a flag for null, the id with its sign
 flipped, big-endian, and a number that tells rows of the same id apart.
 
-Shards are ranges of the ids, written by one task each into the shared folder under names of their own; the list of those that count goes into
+Shards are ranges of the ids, and of their texts' hashes where very many rows have one id, as many as the input's size asks for, written by one task each into the shared folder under names of their own; the list of those that count goes into
 manifest.json when all are there, so that a task that runs twice does no harm. Files are reached with pyarrow.fs by the folder's URI.
 
 Defined results: null and empty texts have the end id alone; a null doc_id sorts first; rows that share a doc_id are all kept, ordered by
-text; a text of any length is one entry, in a block of its own if need be; an empty table gives a manifest without shards; further columns are
+their texts' hashes; a text of any length is one entry, in a block of its own if need be; an empty table gives a manifest without shards; further columns are
 ignored.
 """
 
@@ -35,18 +35,22 @@ import xxhash
 import zstandard
 from pyarrow import fs
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.llm import bpe, scan, vocab
+from tessera.runtime import text_bytes
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 BLOCK, RESTART = 64 << 10, 16
 BITS_PER_KEY, PROBES = 10, 7
+#: Bytes of input for a shard, and for one of a small input.
+SHARD, SMALL = 128 << 20, 8 << 20
 #: filter's offset and length, index's offset and length, documents, ids, bytes of an id, version, magic
 FOOTER = struct.Struct("<QQQQQQHH8s")
 MAGIC, VERSION = b"TSRSSTBL", 1
-FIELDS = "path string, first_id long, last_id long, n_docs long, n_ids long, n_bytes long"
+FIELDS = "path string, part long, first_id long, last_id long, n_docs long, n_ids long, n_bytes long"
 
 
 def key_of(doc_id: int | None, copy: int = 0) -> bytes:
@@ -200,9 +204,17 @@ class Reader:
         return None
 
 
+def shard_count(docs: DataFrame, text: str) -> int:
+    """By the input's bytes, as estimated or counted: a shard for each SHARD of them, and for small inputs as many as there are shuffle partitions, of SMALL each at least."""
+    size = text_bytes(docs, text)
+    return max(1, -(-size // SHARD), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SMALL)))
+
+
 def write_shards(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, end_id: int | None = END_ID) -> list[dict]:
     """Encodes the texts and writes the shards; one record for each shard (as many as tasks), in order, with start, the ids before it."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("said"), F.col(text).alias("text"))
+    order = ["doc_id", "said", "text"]
+    rows = rows.repartitionByRange(shard_count(docs, text), "doc_id", "said").sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = vocab.once("encoder", vocabulary, lambda _: bpe.encoder(vocabulary))
@@ -225,11 +237,11 @@ def write_shards(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str
             n = writer.finish()
             out.close()
             where.move(held, path)
-            cols = [path.rpartition("/")[2], first, last, len(writer.hashed), writer.n_ids, n]
+            cols = [path.rpartition("/")[2], TaskContext.get().partitionId(), first, last, len(writer.hashed), writer.n_ids, n]
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.string() if k == 0 else pa.int64()) for k, c in enumerate(cols)], [f.split()[0] for f in FIELDS.split(", ")])
 
     shards = [r.asDict() for r in scan.map_batches(rows, run, FIELDS).collect()]
-    shards.sort(key=lambda s: (s["first_id"] is not None, s["first_id"] or 0))
+    shards.sort(key=lambda s: s["part"])
     start = 0
     for s in shards:
         s["start"] = start
