@@ -9,8 +9,9 @@ equal shares of the bytes. So the sample decides only how the work is spread, an
 Law `bytes`: a shard's size is the total divided by the number of shards, to within the size of one record. A record goes to the shard in
 which its middle falls.
 
-Defined results: a null text has size 1 and the checksum of no bytes; rows with a null doc_id come first among their text's copies;
-rows that repeat stand together, and which of two equal rows comes first makes no difference; an empty table gives no rows; further columns are
+Defined results: a null text has size 1 and the checksum of no bytes; rows with a null doc_id come first among their text's copies
+(ids being -2**62 or more); rows that repeat stand together, in one range, and which of two equal rows comes first makes no difference; a group of equal
+texts is cut where a shard ends, as the law is of bytes; an empty table gives no rows; further columns are
 ignored.
 """
 
@@ -31,6 +32,8 @@ RANGES, SAMPLED = 16, 16
 #: Rows of a range at most, on average: what one task sorts. The sample grows with it, by SAMPLED records for so many rows.
 ROWS = 1 << 20
 SEED = 97
+#: How often overfull ranges are subdivided, at most.
+SUBDIVIDED = 4
 
 
 def _splitters(sample: list[tuple[int, int, float]], ranges: int) -> list[tuple[int, int]]:
@@ -85,7 +88,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
         (F.octet_length(said) + 1).cast("long").alias("size"),
         F.crc32(said.cast("binary")).alias("text_crc32"),
         F.xxhash64(said).alias("key"),
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("tie"),
+        # rows without an id are told apart by their number, which is written with them, so that very many of one text can be subdivided
+        F.coalesce(F.col(doc_id).cast("long"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(-(1 << 63))).alias("tie"),
         *[F.col(c).alias(f"__c{k}") for k, c in enumerate(carry)],
     )
     rows = cut(rows)
@@ -93,13 +97,19 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
     total, ranges = whole["size"] or 0, max(shards * RANGES, whole["n"] // ROWS)
     splitters = _splitters(_draw(rows, total, ranges * SAMPLED), ranges)
     placed = rows.withColumn("range", _range_of(splitters)("key", "tie"))
-    sizes = {r["range"]: r["size"] for r in placed.groupBy("range").agg(F.sum("size").alias("size")).collect()}  # as many rows as ranges
-    if over := [k for k, size in sizes.items() if size > 2 * total / ranges]:
+    for _ in range(SUBDIVIDED):
+        sizes = {r["range"]: r["size"] for r in placed.groupBy("range").agg(F.sum("size").alias("size")).collect()}  # as many rows as ranges
+        over = [k for k, size in sizes.items() if size > 2 * total / ranges]
+        if not over:
+            break
         more = _draw(placed.filter(F.col("range").isin(over)), sum(sizes[k] for k in over), len(over) * SAMPLED * 4)
         inside = {k: [] for k in over}
         for key, tie, w in more:
             inside[bisect_left(splitters, (key, tie))].append((key, tie, w))
-        splitters = sorted({*splitters, *(s for k in over for s in _splitters(inside[k], int(sizes[k] * ranges / total) + 1))})
+        finer = sorted({*splitters, *(s for k in over for s in _splitters(inside[k], int(sizes[k] * ranges / total) + 1))})
+        if len(finer) == len(splitters):
+            break
+        splitters = finer
         placed = rows.withColumn("range", _range_of(splitters)("key", "tie"))
     spans = placed.groupBy("range").agg(F.sum("size").alias("size"), F.count("*").alias("n")).orderBy("range").collect()
     before, starts = (0, 0), []
