@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tessera.llm import scan, units, vocab
-from tessera.runtime import Kept
+from tessera.runtime import Kept, spread, text_bytes
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Characters of a stretch, one text at least, and of what is handled at once within it.
@@ -162,9 +162,9 @@ def encode_words(words: DataFrame, vocabulary: str, classes: int, encode: Callab
     return scan.map_batches(dealt, run, ENCODED).unionByName(names)
 
 
-def class_count(docs: DataFrame) -> int:
-    """By the optimizer's estimate of the input's bytes."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def class_count(docs: DataFrame, text: str) -> int:
+    """By the input's bytes, as estimated or counted."""
+    size = text_bytes(docs, text)
     return min(max(-(-size // CLASS_BYTES), CLASSES[0]), CLASSES[1])
 
 
@@ -214,10 +214,10 @@ def map_ids(docs: DataFrame, f: Made, schema: str, keep: tuple[str, ...] = ("doc
     """The columns of keep, and f(ids, cuts, pieces) as a list of columns of schema: ids of some texts one after the other, and where each text's begin and the last's end."""
     if clash := [c for c in keep if c in T._parse_datatype_string(schema).names]:
         raise ValueError(f"columns {clash} would be hidden by the result's own")
-    rows = docs.select(*[F.col(c).alias(f"__k{k}") for k, c in enumerate(keep)], docs[text].alias("__text"))
+    rows = spread(docs.select(*[F.col(c).alias(f"__k{k}") for k, c in enumerate(keep)], docs[text].alias("__text")))
     kept = Kept(docs.sparkSession, "bpe")
     folder = f"{kept.root}/texts"
-    classes = class_count(docs)
+    classes = class_count(docs, text)
     words = kept.put("words", split_words(rows, folder, vocabulary, classes, stretch))
     encoded = encode_words(words, vocabulary, classes)
     n = max(1, words.where("class < 0").count())

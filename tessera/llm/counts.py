@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm import scan, units, vocab
+from tessera.runtime import spread
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
@@ -97,4 +98,4 @@ def count_tokens(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str
                 names=[*keep, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return scan.map_batches(docs.select(*keep, docs[text].alias("__text")), run, f"{kept}, n_bytes long, n_tokens long, over_limit boolean")
+    return scan.map_batches(spread(docs.select(*keep, docs[text].alias("__text"))), run, f"{kept}, n_bytes long, n_tokens long, over_limit boolean")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm import scan, sums
 from tessera.llm.components import contract, directed, labels, settle
-from tessera.runtime import Kept, cut, spread
+from tessera.runtime import Kept, cut, spread, text_bytes
 
 SHINGLE, PERCENT = 4, 85
 #: log2 of the least and largest number of hashed counts, one byte each of which is sent to the executors, and bytes of input for each.
@@ -91,8 +91,8 @@ def frequency_classes(docs: DataFrame, size: int, bits: int) -> np.ndarray:
 
 
 def count_bits(docs: DataFrame) -> int:
-    """By the optimizer's estimate of the input's bytes."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """By the input's bytes, as estimated or counted."""
+    size = text_bytes(docs, "text")
     return min(max(int(np.ceil(np.log2(max(1, size / COUNT_BYTES)))), COUNT_BITS[0]), COUNT_BITS[1])
 
 

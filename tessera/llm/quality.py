@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm import scan
+from tessera.runtime import spread
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_REPEATED = 10, 5, 20
@@ -149,7 +150,7 @@ def quality(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "t
             own = [batch.column(k) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays(own + figures(batch.column(len(keep)), min_repeat, max_covered, max_repeat), [*keep, *names])
 
-    return scan.map_batches(docs.select(*keep, docs[text].alias("__text")), run, f"{schema}, {FIGURES}")
+    return scan.map_batches(spread(docs.select(*keep, docs[text].alias("__text"))), run, f"{schema}, {FIGURES}")
 
 
 def keep_good(docs: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> DataFrame:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm import scan, vocab
+from tessera.runtime import spread
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 KINDS = ("assign", "access", "hex", "random")
@@ -127,7 +128,7 @@ def find_secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str
             own = [batch.column(k) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*own, *counts, digest, pa.array(map(written, found), pa.string())], [*keep, *names])
 
-    return scan.map_batches(docs.select(*keep, docs[text].alias("__text")), run, f"{schema}, {COUNTS}")
+    return scan.map_batches(spread(docs.select(*keep, docs[text].alias("__text"))), run, f"{schema}, {COUNTS}")
 
 
 def mask_secrets(docs: DataFrame, text: str = "text", mark: str = "[secret]", vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm import scan
+from tessera.runtime import input_bytes
 
 SLICE = 1 << 15
 #: Groups of tasks whose arrays meet first: the root of the number of tasks as estimated by the input's size, within these.
@@ -24,8 +25,8 @@ SCHEMA = "slice int, part int, counts binary"
 
 def groups_of(df: DataFrame) -> int:
     """From the optimizer's estimate of the input's bytes; no job is run."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(max((size / TASK_BYTES) ** 0.5, GROUPS[0]), GROUPS[1]))
+    size = input_bytes(df)
+    return GROUPS[0] * 8 if size is None else int(min(max((size / TASK_BYTES) ** 0.5, GROUPS[0]), GROUPS[1]))
 
 
 def add_up(df: DataFrame, size: int, fill: Callable[[pa.RecordBatch, np.ndarray], None]) -> np.ndarray:
