@@ -50,9 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over `documents`. A stage's table goes as soon as the next one's is written; tessera.runtime.close(spark) takes the rest when the result has been read.
+    A document that isn't there, an empty table, and nulls in any column are as the stages have them."""
     kept, docs = Kept(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = kept.put(name, docs)
+            if k:
+                kept.drop(STAGES[k - 1][0])
     return docs
