@@ -77,8 +77,6 @@ def _unplaned(blob: bytes) -> np.ndarray:
 def split_words(docs: DataFrame, folder: str, vocabulary: str, classes: int, stretch: int = STRETCH) -> DataFrame:
     """docs: columns to keep, and the text last. WORDS of each stretch. Its file in folder has batches of the kept
     columns, the number of words of each row, and, in the first row, all words' numbers."""
-    kinds = pa.schema([*list(_kinds(docs))[:-1], pa.field("__n", pa.int32()), pa.field("__numbers", pa.binary())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, where = units.tokenizer(vocabulary), fs.FileSystem.from_uri(folder)
         part, k = TaskContext.get().partitionId(), 0
@@ -87,6 +85,7 @@ def split_words(docs: DataFrame, folder: str, vocabulary: str, classes: int, str
         while step is not None:
             numbers, size, name = Numbers(own), 0, uuid.uuid4().hex
             where[0].create_dir(where[1])
+            kinds = pa.schema([*list(step[0].schema)[:-1], pa.field("__n", pa.int32()), pa.field("__numbers", pa.binary())])
             with where[0].open_output_stream(f"{where[1]}/{name}") as out, pa.ipc.new_stream(out, kinds) as writer:
                 while step is not None and (size == 0 or size + step[1] <= stretch):
                     rows, size = step[0], size + step[1]
@@ -111,12 +110,6 @@ def _steps(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.RecordBatch, i
         i = j
 
 
-def _kinds(df: DataFrame) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(df.schema)
-
-
 def _by_class(words: pa.Array, stretch: int, name: str, classes: int) -> pa.RecordBatch:
     data, offs = scan.buffers(words)
     of = (scan.hashes(data, offs[:-1], offs[1:]) % np.uint64(classes)).astype(np.int64)
