@@ -6,14 +6,11 @@ documents, which grows with the root of their number of words, and buckets of th
 are words equally likely, whatever their context. Node biases start at the counts' odds, so training begins at the words' shares. A
 document's score is the sum of the logarithms of the chances of all its words, and the chances of all counted words sum to 1 in any context.
 
-Counts and training cover all documents. As is usual where few words make up most of a text, frequent words are learnt from by a draw, each
-with a chance falling with the root of its count and weighted by that chance's inverse: a share of all places that grows with the input, rare words
-nearly always among them. The draw is a hash of the text and the place. What is drawn, a word with its contexts, is dealt to slices by the text's hash and
-stands there in the order of hash and place, places of equal texts as one of so much weight: how the input is split changes nothing, and copies meet
-before they are sent. A first round trains on one slice; from there, each slice trains a copy of its own, in minibatches, and what the copies changed
-is averaged row by row, by how often each used the row. Slices grow with the root of the number of words, as the vocabulary does, so that what
-they send is in proportion to the input. It is added up in blocks of rows by as many tasks. Sums are of whole numbers, so they don't depend on the
-order of tasks. Scores are over all words of all texts, whatever was drawn.
+Counts, training and scores are over all words of all texts; none are left out. A text's words, as numbers of leaves, are dealt to slices by the text's
+hash and stand there in the order of hash and place, equal texts as one of so much weight: how the input is split changes nothing. A first round trains
+on one slice; from there, each slice trains a copy of its own, in minibatches, and what the copies changed is averaged row by row, by how often each used
+the row. Slices grow with the root of the number of words, as the vocabulary does, so that what they send is in proportion to the input. It is added up
+in blocks of rows by as many tasks. Sums are of whole numbers, so they don't depend on the order of tasks.
 
 Defined results: null and empty texts have no words, a log_likelihood of 0 and a null mean; a text of any length is scored as a whole; repeated rows
 give repeated results; words are compared by 64-bit hashes; further columns are ignored.
@@ -37,14 +34,14 @@ from tessera.runtime import Kept, spread
 GROWTH, PER_BUCKET = 6, 2
 PLACES = (-2, -1, 1, 2)
 WIDTH, BATCH, RATE, SEED = 16, 4096, 0.1, 11
-#: Share of all words that training draws, and how many at least.
-DRAWN, LEAST_DRAWN = 1 / 8, 2_500_000
-#: Drawn words that a task gathers before it hands them on, and those of a part of a slice, which is what a training task holds.
-GATHERED, PART_WORDS = 1 << 20, 1 << 19
+#: Words of a part of a slice, and those whose contexts a training task has at once.
+PART_WORDS = 1 << 19
 #: Words that are scored at once.
 SCORED = 1 << 14
-#: Drawn words of a slice: so many at least, and so many for each root of the number of all words.
-SLICE_WORDS, SLICE_GROWTH = 1_250_000, 50
+#: Words of a slice: so many at least, and so many for each root of the number of all words.
+SLICE_WORDS, SLICE_GROWTH = 5_000_000, 200
+#: Rows of one key that are added up at once.
+RUN = 16
 #: Words that are put in random order together.
 SHUFFLED = 1 << 18
 #: Rounds over all slices, after the one on the first slice.
@@ -65,6 +62,15 @@ class Vocabulary:
 
     def __post_init__(self) -> None:
         self.first, self.steps, self.bias = tree(self.counts)
+        self.share = np.concatenate([np.zeros(len(self.words)), -np.log(np.maximum(self.distinct, 1))])
+        # a path's first steps, `deep` of them, are below the heaviest nodes; entry: which of the ways through these, on and turns by node, the others are
+        self.low = max(0, len(self.counts) - 1 - TOP)
+        self.deep = np.add.reduceat((self.steps >> 1 < self.low).astype(np.int64), self.first[:-1])
+        _, one, self.entry = np.unique(self.steps[self.first[:-1] + self.deep], return_index=True, return_inverse=True)
+        self.on, self.turns = np.zeros((2, len(one), len(self.counts) - 1 - self.low), np.float32)
+        for k, leaf in enumerate(one.tolist()):
+            way = self.steps[self.first[leaf] + self.deep[leaf] : self.first[leaf + 1]]
+            self.on[k, (way >> 1) - self.low], self.turns[k, (way >> 1) - self.low] = 1, way & 1
 
     def sum(self) -> int:
         return int(self.counts.sum())
@@ -74,17 +80,8 @@ class Vocabulary:
         n = len(self.words)
         at = np.searchsorted(self.words, hashed)
         other = self.words[np.minimum(at, n - 1)] != hashed if n else np.ones(len(hashed), bool)
-        bucket = (hashed[other] % np.uint64(len(self.distinct))).astype(np.int64)
-        at[other] = n + bucket
-        share = np.zeros(len(hashed))
-        share[other] = -np.log(np.maximum(self.distinct[bucket], 1))
-        return at, share
-
-    def paths(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For all steps of the leaves' paths: which leaf's it is, the node and the turn."""
-        size = self.first[leaf + 1] - self.first[leaf]
-        step = self.steps[np.repeat(self.first[leaf] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        return np.repeat(np.arange(len(leaf)), size), step >> 1, step & 1
+        at[other] = n + (hashed[other] % np.uint64(len(self.distinct))).astype(np.int64)
+        return at, self.share[at]
 
 
 def tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,33 +143,22 @@ class Network:
 
     def hidden(self, context: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """The hidden layer for each row of contexts, and the embeddings by place."""
-        seen = [self.embed[context[:, k]] for k in range(len(PLACES))]
+        seen = [self.embed.take(context[:, k], axis=0) for k in range(len(PLACES))]
         return np.tanh(sum(x * self.layer[k] for k, x in enumerate(seen)) + self.layer[-1]), seen
 
-    def odds(self, h: np.ndarray, row: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Logarithm of the odds of turn 1 at nodes for rows of h; which of them aren't among the heaviest, and for these the rows of h and the nodes' weights."""
-        low = max(0, len(self.node) - TOP)
-        top = self.node[low:]
-        place = np.maximum(node - low, 0)
-        out = (h @ top[:, :-1].T + top[:, -1]).ravel()[row * len(top) + place]
-        rest = np.flatnonzero(node < low)
-        wide, weight = h[row[rest]], self.node[node[rest]]
-        out[rest] = np.einsum("ij,ij->i", wide, weight[:, :-1]) + weight[:, -1]
-        return out, rest, wide, weight
-
     def log_chances(self, context: np.ndarray, leaf: np.ndarray, words: Vocabulary, apart: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """Logarithm of each leaf's chance in its context. Longest paths first, so that the words with a k-th step are the first ones for every k. apart: the nodes' weights, and
         their biases, as apart() has them, where many calls share them."""
         weights, bias = apart or self.apart()
         size = words.first[leaf + 1] - words.first[leaf]
         order = np.argsort(-size, kind="stable")
-        h, first = self.hidden(context[order])[0], words.first[leaf[order]]
+        h, first = self.hidden(context.take(order, axis=0))[0], words.first[leaf[order]]
         many = np.searchsorted(-size[order], -np.arange(size.max(initial=0)), "left")  # words whose path has more than k steps
         chance = np.ones(len(leaf))
         for k, n in enumerate(many.tolist()):
-            step = words.steps[first[:n] + k]
+            step = words.steps.take(first[:n] + k)
             node = step >> 1
-            odds = np.einsum("ij,ij->i", h[:n], weights[node]) + bias[node]
+            odds = np.einsum("ij,ij->i", h[:n], weights.take(node, axis=0)) + bias.take(node)
             chance[:n] /= 1 + np.exp(np.where(step & 1, -odds, odds))
         out = np.empty(len(leaf))
         out[order] = np.log(np.maximum(chance, np.finfo(float).tiny))
@@ -182,31 +168,33 @@ class Network:
         return np.ascontiguousarray(self.node[:, :-1]), np.ascontiguousarray(self.node[:, -1])
 
 
-def _add_rows(at: np.ndarray, size: int, values: np.ndarray) -> np.ndarray:
-    """Row k: the sum of the rows of values whose at is k."""
-    width = values.shape[1]
-    return np.bincount((at[:, None] * width + np.arange(width)).ravel(), values.ravel(), size * width).reshape(size, width).astype(np.float32)
-
-
 def _by_key(key: np.ndarray, weight: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct keys in order, the weight of each, and the sums of their rows of values."""
-    used, local = np.unique(key, return_inverse=True)
-    return used, np.bincount(local, weight, len(used)), _add_rows(local, len(used), values)
+    bits = len(key).bit_length()
+    held = np.sort((key.astype(np.int64) << bits) | np.arange(len(key)))
+    order, key = held & ((1 << bits) - 1), held >> bits
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    used, weight, at, size = key[start], np.add.reduceat(weight[order], start), order, np.diff(start, append=len(key))
+    while True:  # runs of up to RUN rows as one row each
+        runs = -(-size // RUN)
+        first = np.cumsum(runs) - runs
+        place = (np.arange(runs.sum()) - np.repeat(first, runs)) * RUN
+        begin, many = np.repeat(start, runs) + place, np.minimum(RUN, np.repeat(size, runs) - place)
+        by = np.argsort((RUN - many).astype(np.uint8), kind="stable")
+        begin, left = begin[by], np.searchsorted(-many[by], -np.arange(1, many.max()), "left")
+        total = values.take(at[begin], axis=0)
+        for k, n in enumerate(left.tolist(), 1):
+            total[:n] += values.take(at[begin[:n] + k], axis=0)
+        values = np.empty_like(total)
+        values[by] = total
+        if len(values) == len(used):
+            return used, weight, values
+        at, start, size = np.arange(len(values)), first, runs
 
 
 EMBED, NODE, LAYER = range(3)
 
 
-def chances(counts: np.ndarray) -> np.ndarray:
-    """Chance of each leaf's words to be drawn: min(1, (t / count) ** 0.5), t such that DRAWN of all words are, LEAST_DRAWN at least."""
-    want, lo, hi = max(DRAWN * counts.sum(), LEAST_DRAWN), 0.0, float(counts.max(initial=1))
-    chance = lambda t: np.minimum(1.0, (t / np.maximum(counts, 1)) ** 0.5)
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if (counts * chance(mid)).sum() < want else (lo, mid)
-    return chance(hi)
-
-
 class Trainer:
     """Adagrad on minibatches; uses counts how often each row of the parameters was used."""
 
@@ -217,20 +205,36 @@ class Trainer:
 
     def gradients(self, context: np.ndarray, leaf: np.ndarray, weight: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Part, rows, weight of their uses and gradient of the weighted mean of -log chance."""
-        n, net, low = len(leaf), self.net, max(0, len(self.net.node) - TOP)
-        row, node, turn = self.words.paths(leaf)
+        net, words = self.net, self.words
+        # longest ways below the heaviest nodes first, so that the words with a k-th step there are the first ones for every k
+        order = np.argsort((255 - np.minimum(words.deep[leaf], 255)).astype(np.uint8) if words.deep.max() < 256 else -words.deep[leaf], kind="stable")
+        context, leaf, weight = context.take(order, axis=0), leaf[order], weight[order]
         h, seen = net.hidden(context)
-        odds, rest, wide, some = net.odds(h, row, node)
+        kind, one = h.dtype, np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)
         share = (weight / weight.sum()).astype(np.float32)
-        d = (1 / (1 + np.exp(-odds)) - turn.astype(np.float32)) * share[row]
-        at, top = np.flatnonzero(node >= low), np.zeros((n, len(net.node) - low), np.float32)
-        top.ravel()[row[at] * top.shape[1] + node[at] - low] = d[at]
-        dh = top @ net.node[low:, :-1]
-        out = [(NODE, np.arange(low, len(net.node)), np.bincount(node[at] - low, weight[row[at]], top.shape[1]), np.concatenate([top.T @ h, top.sum(0)[:, None]], axis=1))]
-        if len(rest):
-            own = d[rest, None]
-            dh += _add_rows(row[rest], n, own * some[:, :-1])
-            out.append((NODE, *_by_key(node[rest], weight[row[rest]], np.concatenate([own * wide, own], axis=1))))
+        top, entry = net.node[words.low :], words.entry[leaf]
+        d = one @ -top.T
+        np.exp(d, out=d)
+        d += 1
+        np.divide(words.on.take(entry, axis=0), d, out=d)
+        d -= words.turns.take(entry, axis=0)
+        d *= share[:, None]
+        dh = d @ top[:, :-1]
+        uses = np.bincount(entry, weight, len(words.on)) @ words.on
+        out = [(NODE, np.arange(words.low, len(net.node)), uses, d.T @ one)]
+        deep, first = words.deep[leaf], words.first[leaf]
+        nodes, values, weights = [], [], []
+        for k, n in enumerate(np.searchsorted(-deep, -np.arange(deep.max(initial=0)), "left").tolist()):
+            step = words.steps.take(first[:n] + k)
+            node = step >> 1
+            some = net.node.take(node, axis=0)
+            own = ((1 / (1 + np.exp(-np.einsum("ij,ij->i", one[:n], some))) - (step & 1)).astype(kind) * share[:n])[:, None]
+            dh[:n] += own * some[:, :-1]
+            nodes.append(node)
+            values.append(own * one[:n])
+            weights.append(weight[:n])
+        if nodes:
+            out.append((NODE, *_by_key(np.concatenate(nodes), np.concatenate(weights), np.concatenate(values))))
         dh *= 1 - h * h
         out.append((LAYER, np.arange(len(net.layer)), np.full(len(net.layer), weight.sum()), np.stack([*((dh * x).sum(0) for x in seen), dh.sum(0)])))
         out.append((EMBED, *_by_key(context.T.ravel(), np.tile(weight, len(PLACES)), np.concatenate([dh * net.layer[k] for k in range(len(PLACES))]))))
@@ -238,9 +242,12 @@ class Trainer:
 
     def step(self, context: np.ndarray, leaf: np.ndarray, weight: np.ndarray) -> None:
         for part, at, uses, g in self.gradients(context, leaf, weight):
-            s = self.seen[part][at] + g * g
-            self.seen[part][at] = s
-            self.net.parts[part][at] -= RATE * g / np.sqrt(s)
+            seen, net = self.seen[part], self.net.parts[part]
+            s = seen.take(at, axis=0) + g * g
+            seen[at] = s
+            g *= RATE
+            g /= np.sqrt(s, out=s)
+            net[at] = np.subtract(net.take(at, axis=0), g, out=g)
             self.uses[part][at] += np.ceil(uses).astype(np.int64)
 
     def learn(self, parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
@@ -260,19 +267,19 @@ class Trainer:
         order = draw.permutation(len(leaf))
         for k in range(0, len(order), BATCH):
             at = order[k : k + BATCH]
-            self.step(context[at], leaf[at], weight[at])
+            self.step(context.take(at, axis=0), leaf[at], weight[at])
 
 
-def windows(column: pa.Array, words: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of texts: the number of words of each, each word's leaf and the logarithm of its share, and its contexts as rows of the embedding."""
-    for count, hashed in _hashed(column):
-        row = np.repeat(np.arange(len(count)), count)
-        leaf, share = words.leaves(hashed)
-        context = np.zeros((len(row), len(PLACES)), np.int64)
-        for k, by in enumerate(PLACES):
-            a, b = (slice(-by, None), slice(None, by)) if by < 0 else (slice(None, -by), slice(by, None))
-            context[a, k] = np.where(row[a] == row[b], leaf[b] + 1, 0)
-        yield count, leaf, share, context
+def contexts(count: np.ndarray, leaf: np.ndarray, most: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """For runs of up to `most` words of texts of so many words: which they are, the text of each, and their contexts as rows of the embedding."""
+    edge = max(map(abs, PLACES))
+    row = np.pad(np.repeat(np.arange(len(count), dtype=np.int32), count), edge, constant_values=-1)
+    for lo in range(0, len(leaf), most):
+        hi = min(lo + most, len(leaf))
+        near, own = np.zeros(hi - lo + 2 * edge, np.int64), row[lo + edge : hi + edge]
+        a, b = max(lo - edge, 0), min(hi + edge, len(leaf))
+        near[a - lo + edge : b - lo + edge] = leaf[a:b] + 1
+        yield slice(lo, hi), own, np.stack([np.where(row[lo + edge + by : hi + edge + by] == own, near[edge + by : edge + by + hi - lo], 0) for by in PLACES], axis=1)
 
 
 def _hashed(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -333,93 +340,89 @@ def _unpacked(blob: bytes, kind: type) -> np.ndarray:
 
 
 CHANGES = "block int, changes binary, uses binary"
-#: Of some drawn words in the order of text and place: the text's hash, the place, copies, leaf, and the contexts.
-PLACES_DRAWN = "slice int, part int, hash binary, place binary, copies binary, leaf binary, context binary"
-
-
-def _unit(text: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """A number from 0 to 1 for each place of a text, by its hash."""
-    return (scan.mix(text + place.astype(np.uint64) * scan._ODD + np.uint64(SEED)) >> np.uint64(11)) / float(1 << 53)
-
-
-def _merged(cols: list[np.ndarray]) -> list[np.ndarray]:
-    """Columns text, place, copies, leaf, context in the order of text and place, equal ones as one of all their copies."""
-    text, place, copies, leaf, context = cols
-    order = np.lexsort((place, text))
-    text, place, copies, leaf, context = (x[order] for x in (text, place, copies, leaf, context))
-    new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (place[1:] != place[:-1])])) if len(text) else np.zeros(0, np.int64)
-    return [text[new], place[new], np.add.reduceat(copies, new) if len(new) else copies, leaf[new], context[new]]
+ENCODED = "h long, leaves binary"
+#: Texts in the order of part and hash: the text's hash, copies, and its words' leaves.
+DEALT = "slice int, part int, h long, copies int, leaves binary"
 
 
-def draw_words(texts: DataFrame, words: Vocabulary, slices: int, parts: int) -> DataFrame:
-    """PLACES_DRAWN of texts (h, text): a slice is a rest of the hash, a part of a slice a range of hashes."""
-    sent = texts.sparkSession.sparkContext.broadcast(words)
+def encode(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """docs' columns, of which the last is text, with h, a hash of the text, and leaves, the leaf of each of its words in 32 bits, instead of it."""
+    sent, names = docs.sparkSession.sparkContext.broadcast(words), docs.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = sent.value
-        chance, held, n = chances(words.counts), [], 0
         for batch in batches:
-            hashed, at, copies = np.unique(batch.column(0).to_numpy().view(np.uint64), return_index=True, return_counts=True)
-            first = 0
-            for count, leaf, _, context in windows(batch.column(1).take(pa.array(at)), words):
-                text = np.repeat(np.arange(first, first + len(count)), count)
-                place = np.arange(len(leaf)) - np.repeat(np.cumsum(count) - count, count)
-                got = np.flatnonzero(_unit(hashed[text], place) < chance[leaf])
-                held.append((hashed[text[got]], place[got], copies[text[got]], leaf[got], context[got]))
-                first, n = first + len(count), n + len(got)
-                if n >= GATHERED:
-                    yield _dealt([np.concatenate(x) for x in zip(*held, strict=True)], slices, parts)
-                    held, n = [], 0
-        if n:
-            yield _dealt([np.concatenate(x) for x in zip(*held, strict=True)], slices, parts)
+            i = 0
+            for count, hashed in _hashed(batch.column(len(names) + 1)):
+                leaf, offs = words.leaves(hashed)[0].astype(np.int32), np.concatenate([[0], 4 * np.cumsum(count)]).astype(np.int32)
+                leaves = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(offs), pa.py_buffer(leaf)])
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, len(count)) for c in batch.columns[:-1]), leaves], [*names, "h", "leaves"])
+                i += len(count)
 
-    return scan.map_batches(texts, run, PLACES_DRAWN)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema[:-1]), ENCODED])
+    return scan.map_batches(docs.select(*names, F.xxhash64("text").alias("h"), "text"), run, schema)
 
 
-def _dealt(cols: list[np.ndarray], slices: int, parts: int) -> pa.RecordBatch:
-    cols = _merged(cols)
-    mixed = scan.mix(cols[0])
-    key = (mixed % np.uint64(slices)).astype(np.int64) * parts + ((cols[0] >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
-    order = np.argsort(key, kind="stable")
-    cuts = np.flatnonzero(np.diff(key[order], prepend=-1))
-    rows = []
-    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
-        at = order[lo:hi]
-        text, place, copies, leaf, context = (x[at] for x in cols)
-        rows.append((key[at[0]] // parts, key[at[0]] % parts, _packed(text), *(_packed(x.astype(np.int32)) for x in (place, copies, leaf, context))))
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in PLACES_DRAWN.split(", ")])
+def _leaves(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words of each text, and the leaves of all."""
+    if len(column) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    _, offsets, data = column.buffers()
+    offs = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.diff(offs) // 4, np.frombuffer(data.slice(int(offs[0]), int(offs[-1] - offs[0])).to_pybytes(), np.int32) if data is not None else np.zeros(0, np.int32)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], chance: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Leaves, contexts and weights of each part of a slice; rows come by part."""
-    held: list[dict] = []
+def deal(leaves: DataFrame, slices: int, parts: int) -> DataFrame:
+    """DEALT of all texts that have words: a slice is a rest of the hash, a part of a slice a range of hashes. Copies that a batch has go as one."""
 
-    def whole() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cols = [np.concatenate([_unpacked(r[c], k) for r in held]) for c, k in (("hash", np.uint64), ("place", np.int32), ("copies", np.int32), ("leaf", np.int32))]
-        context = np.concatenate([_unpacked(r["context"], np.int32).reshape(-1, len(PLACES)) for r in held])
-        _, _, copies, leaf, context = _merged([*cols[:2], cols[2].astype(np.int64), cols[3].astype(np.int64), context.astype(np.int64)])
-        return leaf, context, copies / chance[leaf]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, at, copies = np.unique(batch.column(2).to_numpy(), return_index=True, return_counts=True)
+            some = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(copies, pa.int32()), some.column(3)], ["slice", "part", "h", "copies", "leaves"])
+
+    # parts by other bits of the hash than slices
+    part = F.shiftright(F.shiftrightunsigned(F.xxhash64("h"), 40) * parts, 24).cast("int")
+    rows = leaves.where("length(leaves) > 0").select(F.pmod("h", F.lit(slices)).cast("int").alias("slice"), part.alias("part"), "h", "leaves")
+    return scan.map_batches(rows, run, DEALT)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Leaves, contexts and weights of each part of a slice; rows (DEALT) come by part."""
+    held: list[pa.RecordBatch] = []
+    at = -1
+
+    def whole() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        hashed, copies = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (2, 3))
+        count, leaf = (np.concatenate(x) for x in zip(*(_leaves(x.column(4)) for x in held), strict=True))
+        _, one, of = np.unique(hashed, return_index=True, return_inverse=True)
+        copies, begin, count = np.bincount(of, copies), (np.cumsum(count) - count)[one], count[one]
+        leaf = leaf[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())].astype(np.int64)
+        for run, text, context in contexts(count, leaf, PART_WORDS):
+            yield leaf[run], context, copies[text]
 
     for batch in batches:
-        for row in batch.to_pylist():
-            if held and held[0]["part"] != row["part"]:
-                yield whole()
+        part = batch.column(1).to_numpy()
+        cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+        for lo, hi in zip(cuts, [*cuts[1:], len(part)]):
+            if held and part[lo] != at:
+                yield from whole()
                 held = []
-            held.append(row)
+            held.append(batch.slice(lo, hi - lo))
+            at = part[lo]
     if held:
-        yield whole()
+        yield from whole()
 
 
-def _round(drawn: DataFrame, net: Network, words: Vocabulary, slices: int) -> None:
-    """Each slice of drawn (PLACES_DRAWN) trains a copy of net; net takes over the mean of what they changed."""
-    sent = drawn.sparkSession.sparkContext.broadcast((net, words))
+def _round(dealt: DataFrame, net: Network, words: Vocabulary, slices: int) -> None:
+    """Each slice of dealt (DEALT) trains a copy of net; net takes over the mean of what they changed."""
+    sent = dealt.sparkSession.sparkContext.broadcast((net, words))
     blocks = _blocks(net)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun, words = sent.value
         trainer = Trainer(begun.copy(), words)
-        trainer.learn(_parts(batches, chances(words.counts)))
+        trainer.learn(_parts(batches))
         for k, (p, lo, hi) in enumerate(blocks):
             uses = trainer.uses[p][lo:hi]
             if uses.any():
@@ -437,7 +440,7 @@ def _round(drawn: DataFrame, net: Network, words: Vocabulary, slices: int) -> No
             moved = np.rint(weighted / np.maximum(uses, 1)[:, None]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_packed(moved)], pa.binary()), pa.array([b""], pa.binary())], ["block", "changes", "uses"])
 
-    dealt = drawn.repartitionById(slices, "slice").sortWithinPartitions("part")
+    dealt = dealt.repartitionById(slices, "slice").sortWithinPartitions("part")
     parts = scan.map_batches(dealt, learn, CHANGES).repartitionById(min(len(blocks), 1 << 10), "block")
     for r in scan.map_batches(parts, mean, CHANGES).toLocalIterator():  # one row a block
         p, lo, hi = blocks[r.block]
@@ -446,44 +449,60 @@ def _round(drawn: DataFrame, net: Network, words: Vocabulary, slices: int) -> No
 
 
 def train(texts: DataFrame, words: Vocabulary, rounds: int = ROUNDS, slice_words: int | None = None) -> Network:
-    """texts: one string column. slice_words: drawn words of a slice, by SLICE_WORDS and SLICE_GROWTH if none are given."""
+    """texts: one string column. slice_words: words of a slice, by SLICE_WORDS and SLICE_GROWTH if none are given."""
+    kept = Kept(texts.sparkSession, "lm-train")
+    net = train_encoded(kept.put("leaves", encode(texts.toDF("text"), words), "zstd"), words, rounds, slice_words)
+    kept.close()
+    return net
+
+
+def train_encoded(leaves: DataFrame, words: Vocabulary, rounds: int = ROUNDS, slice_words: int | None = None) -> Network:
+    """train() on a table of ENCODED."""
     net, total = Network.new(words), words.sum()
-    want = (words.counts * chances(words.counts)).sum()
-    slices = max(1, round(want / (slice_words or max(SLICE_WORDS, SLICE_GROWTH * total**0.5))))
-    texts = texts.toDF("text").where("text IS NOT NULL").select(F.xxhash64("text").alias("h"), "text")
-    kept = Kept(texts.sparkSession, "lm-drawn")
-    drawn = kept.put("drawn", draw_words(texts, words, slices, max(1, round(want / slices / PART_WORDS))))
-    _round(drawn.where("slice = 0"), net, words, 1)
+    slices = max(1, round(total / (slice_words or max(SLICE_WORDS, SLICE_GROWTH * total**0.5))))
+    parts = max(1, round(total / slices / PART_WORDS))
+    _round(deal(leaves.where(F.pmod("h", F.lit(slices)) == 0), slices, parts), net, words, 1)
     for _ in range(rounds):
-        _round(drawn, net, words, slices)
-    kept.close()
+        _round(deal(leaves, slices, parts), net, words, slices)
     return net
 
 
+def score_leaves(count: np.ndarray, leaf: np.ndarray, net: Network, words: Vocabulary, apart: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Summed log-chances of texts of so many words."""
+    out = np.zeros(len(count))
+    for run, text, context in contexts(count, leaf, SCORED):
+        logs = net.log_chances(context, leaf[run], words, apart) + words.share[leaf[run]]
+        lo = text[0]
+        sums = np.bincount(text - lo, logs)
+        out[lo : lo + len(sums)] += sums
+    return out
+
+
 def score_texts(column: pa.Array, net: Network, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Number of words and summed log-chances of each text."""
     n, out, apart = [np.zeros(0, np.int64)], [np.zeros(0)], net.apart()
-    for count, leaf, logs, context in windows(column, words):
-        for k in range(0, len(leaf), SCORED):
-            logs[k : k + SCORED] += net.log_chances(context[k : k + SCORED], leaf[k : k + SCORED], words, apart)
+    for count, hashed in _hashed(column):
         n.append(count)
-        out.append(np.bincount(np.repeat(np.arange(len(count)), count), logs, len(count)))
+        out.append(score_leaves(count, words.leaves(hashed)[0], net, words, apart))
     return np.concatenate(n), np.concatenate(out)
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, log_likelihood and mean_log_likelihood of each row, by a network trained on all rows."""
-    docs = spread(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")))
-    texts = docs.select("text")
-    words = count_words(texts)
-    sent = docs.sparkSession.sparkContext.broadcast((train(texts, words, rounds), words))
+    docs, kept = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")), Kept(docs.sparkSession, "lm-score")
+    docs = spread(docs)
+    words = count_words(docs.select("text"))
+    leaves = kept.put("leaves", encode(docs, words), "zstd")
+    sent = docs.sparkSession.sparkContext.broadcast((train_encoded(leaves.select("h", "leaves"), words, rounds), words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, words = sent.value
+        apart = net.apart()
         for batch in batches:
-            n, logs = score_texts(batch.column(1), net, words)
+            n, leaf = _leaves(batch.column(1))
+            logs = score_leaves(n, leaf, net, words, apart)
             mean = pa.array(logs / np.maximum(n, 1), mask=n == 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(logs), mean], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return scan.map_batches(docs, run, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_likelihood double")
+    return scan.map_batches(leaves.select("doc_id", "leaves"), run, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_likelihood double")

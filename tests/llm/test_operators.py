@@ -566,6 +566,18 @@ def test_lm_predicts_words_beyond_the_most_frequent(spark):
     assert good - bad > 0.3
 
 
+def test_lm_learns_from_every_place_of_the_corpus(spark):
+    rows_ = spark.range(1600).selectExpr("array_join(transform(sequence(1, 2000), k -> concat('w', pmod(xxhash64(id, k), 5000))), ' ') AS text")
+    texts = rows_.union(rows_.limit(3)).union(spark.sql("SELECT '' AS text UNION ALL SELECT CAST(NULL AS STRING)"))
+    words = lm.count_words(texts)
+    assert words.sum() == 1603 * 2000
+    dealt = lm.deal(lm.encode(texts, words), 3, 2).sort("slice", "part").toArrow().to_batches()
+    parts = list(lm._parts(dealt))
+    assert sum(len(leaf) for leaf, _, _ in parts) == 1600 * 2000 and sum(weight.sum() for _, _, weight in parts) == words.sum()
+    seen = sum(np.bincount(leaf, weight, len(words.counts)) for leaf, _, weight in parts)
+    assert (seen == words.counts).all()
+
+
 # pipeline
 
 
