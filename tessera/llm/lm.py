@@ -487,12 +487,19 @@ def score_texts(column: pa.Array, net: Network, words: Vocabulary) -> tuple[np.n
     return np.concatenate(n), np.concatenate(out)
 
 
+def spread_once(docs: DataFrame, kept: Kept) -> DataFrame:
+    """docs, or if spread() deals them out, a table of what it dealt, so that it does so once however often they are read."""
+    dealt = spread(docs)
+    return docs if dealt is docs else kept.put("docs", dealt)
+
+
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, log_likelihood and mean_log_likelihood of each row, by a network trained on all rows."""
     docs, kept = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")), Kept(docs.sparkSession, "lm-score")
-    docs = spread(docs)
+    docs = spread_once(docs, kept)
     words = count_words(docs.select("text"))
     leaves = kept.put("leaves", encode(docs, words), "zstd")
+    kept.drop("docs")
     sent = docs.sparkSession.sparkContext.broadcast((train_encoded(leaves.select("h", "leaves"), words, rounds), words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

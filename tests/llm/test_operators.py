@@ -578,6 +578,15 @@ def test_lm_learns_from_every_place_of_the_corpus(spark):
     assert (seen == words.counts).all()
 
 
+def test_lm_deals_a_small_input_out_once(spark, docs, tmp_path, monkeypatch):
+    read, count, encode = [], lm.count_words, lm.encode
+    docs.coalesce(1).write.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(lm, "count_words", lambda df: read.append(df) or count(df))
+    monkeypatch.setattr(lm, "encode", lambda df, words: read.append(df) or encode(df, words))
+    assert lm.score(spark.read.parquet(f"{tmp_path}/docs")).count() == docs.count()
+    assert len(read) == 2 and not any("Repartition" in df._jdf.queryExecution().optimizedPlan().toString() for df in read)
+
+
 # pipeline
 
 
