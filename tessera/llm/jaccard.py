@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm import scan, sums
 from tessera.llm.components import contract, directed, labels, settle
-from tessera.runtime import Kept, spread, text_bytes
+from tessera.runtime import Kept, small_batches, spread, text_bytes
 
 SHINGLE, PERCENT = 4, 85
 #: log2 of the least and largest number of hashed counts, one byte each of which is sent to the executors, and bytes of input for each.
@@ -243,6 +243,11 @@ def verify(docs: DataFrame, named: DataFrame, kept: Kept, name: str, pairs: Data
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bits: int | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs (doc_id, text). bits: log2 of the number of hashed counts, by the input's size if none is given."""
+    with small_batches(docs.sparkSession):  # what is returned has no Python in it
+        return _jaccard_components(docs, size, percent, bits)
+
+
+def _jaccard_components(docs: DataFrame, size: int, percent: int, bits: int | None) -> DataFrame:
     docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     known, kept = docs.filter("doc_id IS NOT NULL"), Kept(docs.sparkSession, "jaccard")
     signed = kept.put("signed", signatures(docs, frequency_classes(docs, size, bits or count_bits(docs)), size, percent))

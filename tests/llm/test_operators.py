@@ -590,6 +590,30 @@ def test_lm_deals_a_small_input_out_once(spark, docs, tmp_path, monkeypatch):
 # pipeline
 
 
+def test_near_duplicates_go_to_python_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tessera.llm import scan
+    from tessera.runtime import BATCH_ROWS
+
+    key, seen, plain = "spark.sql.execution.arrow.maxRecordsPerBatch", [], scan.map_batches
+    was = spark.conf.get(key)
+
+    def spied(df, f, schema):
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+        seen.append(df.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0] or 0)
+        return plain(df, f, schema)
+
+    monkeypatch.setattr(scan, "map_batches", spied)
+    docs = spark.range(0, 6000, 1, 2).selectExpr("id AS doc_id", "concat_ws(' ', id, id DIV 2, 'same words in all of them') AS text")
+    out = jaccard.one_of_each(docs, size=5, percent=80)
+    assert 0 < max(seen) <= BATCH_ROWS < 3000 and spark.conf.get(key) == was
+    assert out.count() == 6000
+
+
 def test_pipeline_drops_near_copies_from_80_percent_on(spark):
     import corpus_pipeline
 
