@@ -144,7 +144,11 @@ class Network:
     def hidden(self, context: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """The hidden layer for each row of contexts, and the embeddings by place."""
         seen = [self.embed.take(context[:, k], axis=0) for k in range(len(PLACES))]
-        return np.tanh(sum(x * self.layer[k] for k, x in enumerate(seen)) + self.layer[-1]), seen
+        h = seen[0] * self.layer[0]
+        for k in range(1, len(PLACES)):
+            h += seen[k] * self.layer[k]
+        h += self.layer[-1]
+        return np.tanh(h, out=h), seen
 
     def log_chances(self, context: np.ndarray, leaf: np.ndarray, words: Vocabulary, apart: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """Logarithm of each leaf's chance in its context. Longest paths first, so that the words with a k-th step are the first ones for every k. apart: the nodes' weights, and
@@ -158,8 +162,12 @@ class Network:
         for k, n in enumerate(many.tolist()):
             step = words.steps.take(first[:n] + k)
             node = step >> 1
-            odds = np.einsum("ij,ij->i", h[:n], weights.take(node, axis=0)) + bias.take(node)
-            chance[:n] /= 1 + np.exp(np.where(step & 1, -odds, odds))
+            odds = np.einsum("ij,ij->i", h[:n], weights.take(node, axis=0))
+            odds += bias.take(node)
+            odds *= 1 - 2 * (step & 1).astype(odds.dtype)
+            np.exp(odds, out=odds)
+            odds += 1
+            chance[:n] /= odds
         out = np.empty(len(leaf))
         out[order] = np.log(np.maximum(chance, np.finfo(float).tiny))
         return out
@@ -169,26 +177,41 @@ class Network:
 
 
 def _by_key(key: np.ndarray, weight: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys in order, the weight of each, and the sums of their rows of values."""
+    """The distinct keys, the weight of each, and the sums of their rows of values; keys of up to RUN rows come first."""
     bits = len(key).bit_length()
     held = np.sort((key.astype(np.int64) << bits) | np.arange(len(key)))
-    order, key = held & ((1 << bits) - 1), held >> bits
+    at, key = held & ((1 << bits) - 1), held >> bits
     start = np.flatnonzero(np.diff(key, prepend=-1))
-    used, weight, at, size = key[start], np.add.reduceat(weight[order], start), order, np.diff(start, append=len(key))
-    while True:  # runs of up to RUN rows as one row each
+    size = np.diff(start, append=len(key))
+    by = np.argsort(np.where(size > RUN, RUN, RUN - size).astype(np.uint8), kind="stable")
+    light = len(by) - int(np.count_nonzero(size > RUN))
+    sums = [_by_size(values, at, start[by[:light]], size[by[:light]])]
+    if light < len(by):
+        sums.append(_by_runs(values, at, start[by[light:]], size[by[light:]]))
+    return key[start][by], np.add.reduceat(weight[at], start)[by], np.concatenate(sums)
+
+
+def _by_size(values: np.ndarray, at: np.ndarray, begin: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """For each begin, the sum of the values at so many places of at from there on; the largest many come first."""
+    total = values.take(at[begin], axis=0)
+    for k, n in enumerate(np.searchsorted(-many, -np.arange(1, many.max(initial=0)), "left").tolist(), 1):
+        total[:n] += values.take(at[begin[:n] + k], axis=0)
+    return total
+
+
+def _by_runs(values: np.ndarray, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """_by_size() for any sizes in any order: runs of up to RUN rows are summed, then runs of their sums."""
+    while True:
         runs = -(-size // RUN)
         first = np.cumsum(runs) - runs
         place = (np.arange(runs.sum()) - np.repeat(first, runs)) * RUN
         begin, many = np.repeat(start, runs) + place, np.minimum(RUN, np.repeat(size, runs) - place)
         by = np.argsort((RUN - many).astype(np.uint8), kind="stable")
-        begin, left = begin[by], np.searchsorted(-many[by], -np.arange(1, many.max()), "left")
-        total = values.take(at[begin], axis=0)
-        for k, n in enumerate(left.tolist(), 1):
-            total[:n] += values.take(at[begin[:n] + k], axis=0)
+        total = _by_size(values, at, begin[by], many[by])
         values = np.empty_like(total)
         values[by] = total
-        if len(values) == len(used):
-            return used, weight, values
+        if len(values) == len(size):
+            return values
         at, start, size = np.arange(len(values)), first, runs
 
 
@@ -219,35 +242,41 @@ class Trainer:
         np.divide(words.on.take(entry, axis=0), d, out=d)
         d -= words.turns.take(entry, axis=0)
         d *= share[:, None]
-        dh = d @ top[:, :-1]
+        dh = np.empty_like(one)  # its last column, the bias's, isn't used
+        dh[:, :-1], dh[:, -1] = d @ top[:, :-1], 0
         uses = np.bincount(entry, weight, len(words.on)) @ words.on
         out = [(NODE, np.arange(words.low, len(net.node)), uses, d.T @ one)]
         deep, first = words.deep[leaf], words.first[leaf]
-        nodes, values, weights = [], [], []
-        for k, n in enumerate(np.searchsorted(-deep, -np.arange(deep.max(initial=0)), "left").tolist()):
+        many = np.searchsorted(-deep, -np.arange(deep.max(initial=0)), "left").tolist()
+        nodes, weights, values, lo = [], [], np.empty((sum(many), one.shape[1]), kind), 0
+        for k, n in enumerate(many):
             step = words.steps.take(first[:n] + k)
             node = step >> 1
             some = net.node.take(node, axis=0)
-            own = ((1 / (1 + np.exp(-np.einsum("ij,ij->i", one[:n], some))) - (step & 1)).astype(kind) * share[:n])[:, None]
-            dh[:n] += own * some[:, :-1]
+            own = ((1 / (1 + np.exp(-np.einsum("ij,ij->i", one[:n], some))) - (step & 1).astype(kind)) * share[:n])[:, None]
+            some *= own
+            dh[:n] += some
             nodes.append(node)
-            values.append(own * one[:n])
             weights.append(weight[:n])
+            np.multiply(own, one[:n], out=values[lo : lo + n])
+            lo += n
         if nodes:
-            out.append((NODE, *_by_key(np.concatenate(nodes), np.concatenate(weights), np.concatenate(values))))
-        dh *= 1 - h * h
-        out.append((LAYER, np.arange(len(net.layer)), np.full(len(net.layer), weight.sum()), np.stack([*((dh * x).sum(0) for x in seen), dh.sum(0)])))
-        out.append((EMBED, *_by_key(context.T.ravel(), np.tile(weight, len(PLACES)), np.concatenate([dh * net.layer[k] for k in range(len(PLACES))]))))
+            out.append((NODE, *_by_key(np.concatenate(nodes), np.concatenate(weights), values)))
+        dh = dh[:, :-1] * (1 - h * h)
+        out.append((LAYER, np.arange(len(net.layer)), np.full(len(net.layer), weight.sum()), np.stack([*(np.einsum("ij,ij->j", dh, x) for x in seen), dh.sum(0)])))
+        values = (dh * net.layer[: len(PLACES), None]).reshape(-1, WIDTH)
+        out.append((EMBED, *_by_key(context.T.ravel(), np.tile(weight, len(PLACES)), values)))
         return out
 
     def step(self, context: np.ndarray, leaf: np.ndarray, weight: np.ndarray) -> None:
         for part, at, uses, g in self.gradients(context, leaf, weight):
             seen, net = self.seen[part], self.net.parts[part]
-            s = seen.take(at, axis=0) + g * g
+            s = seen.take(at, axis=0)
+            s += g * g
             seen[at] = s
             g *= RATE
             g /= np.sqrt(s, out=s)
-            net[at] = np.subtract(net.take(at, axis=0), g, out=g)
+            net[at] = np.subtract(net.take(at, axis=0, out=s, mode="clip"), g, out=g)  # rows of at are there; clip takes without a buffer
             self.uses[part][at] += np.ceil(uses).astype(np.int64)
 
     def learn(self, parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:

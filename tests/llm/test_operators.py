@@ -500,6 +500,25 @@ def test_lm_gradients_are_as_by_differences(spark):
             assert abs((two[0] - two[1]) / 2e-5 - whole[part][i, j]) < 1e-5, (part, i, j)
 
 
+def test_lm_sums_by_key_read_each_row_once():
+    taken = []
+
+    class Rows(np.ndarray):
+        def take(self, at, **options):
+            taken.append(len(at))
+            return super().take(at, **options)
+
+    draw = np.random.Generator(np.random.PCG64(3))
+    key = np.concatenate([np.arange(2000), draw.integers(0, 300, 900), np.full(700, 7)])
+    weight, values = draw.integers(1, 5, len(key)), draw.normal(size=(len(key), 16))
+    used, weights, sums = lm._by_key(key, weight, values.view(Rows))
+    assert sorted(used.tolist()) == list(range(2000))
+    want = np.zeros((2000, 16))
+    np.add.at(want, key, values)
+    assert np.allclose(sums, want[used]) and weights.tolist() == np.bincount(key, weight)[used].tolist()
+    assert sum(taken) < len(key) + 100  # beyond the rows themselves, the sums of runs of the few keys that have several
+
+
 def test_lm_scores_are_as_by_walking_the_tree_from_both_sides(spark):
     import pyarrow as pa
 
