@@ -34,6 +34,8 @@ from tessera.runtime import Kept, spread
 GROWTH, PER_BUCKET = 6, 2
 PLACES = (-2, -1, 1, 2)
 WIDTH, BATCH, RATE, SEED = 16, 4096, 0.1, 11
+#: Bytes of text whose distinct words are counted at once; fewer would make more rows of counts.
+COUNTED = 2 << 20
 #: Words of a part of a slice, and those whose contexts a training task has at once.
 PART_WORDS = 1 << 19
 #: Words that are scored at once.
@@ -313,7 +315,7 @@ def contexts(count: np.ndarray, leaf: np.ndarray, most: int) -> Iterator[tuple[s
 
 def _hashed(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     data_all, offs_all = scan.buffers(column)
-    for i, j in scan.steps(offs_all):
+    for i, j in scan.steps(offs_all, COUNTED):
         data, offs = scan.LOWER[data_all[offs_all[i] : offs_all[j]]], offs_all[i : j + 1] - offs_all[i]
         starts, ends, count = scan.words(data, offs)
         yield count, scan.hashes(data, starts, ends)

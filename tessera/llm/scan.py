@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 
 from tessera.runtime import ship
 
-#: Bytes of text that are handled at once; a longer text is cut between words.
-STEP = 2 << 20
+#: Bytes of text that are handled at once; a longer text is cut between words. Kernels take 50 to 60 bytes for each, most of which a worker then keeps.
+STEP = 256 << 10
 
 #: [\x20\x09-\x0D]
 BLANKS = np.zeros(256, bool)
@@ -61,11 +61,11 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return bytes_, offs - offs[0]
 
 
-def steps(offs: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of rows of up to STEP bytes, one row at least."""
+def steps(offs: np.ndarray, size: int | None = None) -> Iterator[tuple[int, int]]:
+    """Runs of rows of up to size bytes, STEP if none is given, one row at least."""
     i, n = 0, len(offs) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + STEP, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + (size or STEP), "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
 

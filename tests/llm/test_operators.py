@@ -633,6 +633,22 @@ def test_near_duplicates_go_to_python_in_small_batches(spark, monkeypatch):
     assert out.count() == 6000
 
 
+def test_text_kernels_work_in_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    column = pa.array([f"{k} {brute.prose(k % 20, 2000)}" for k in range(400)])
+    assert column.nbytes > 4 << 20
+    for kernel in (lambda: sum(len(jaccard.sets(data, offs, 5)[0]) for _, _, data, offs in jaccard._each(column)), lambda: quality.figures(column, 8, 0.1, 60)):
+        kernel()
+        tracemalloc.start()
+        kernel()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 24 << 20
+
+
 def test_pipeline_drops_near_copies_from_80_percent_on(spark):
     import corpus_pipeline
 
