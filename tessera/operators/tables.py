@@ -103,39 +103,47 @@ def z_score(med: Column, ref: Column, mad: Column, sd: Column) -> Column:
     return F.when(med == ref, F.lit(0.0)).otherwise(F.try_divide(med - ref, F.when(mad == 0, sd).otherwise(mad)))
 
 
-#: Classes into which a quantile's search cuts the range of values, and how often it does.
-CLASSES, ROUNDS = 4096, 2
+#: Classes into which a quantile's search cuts the range of values.
+CLASSES = 1 << 20
 
 
-def quantile(df: DataFrame, by: Sequence[str], value: str, q: float, name: str = "quantile") -> DataFrame:
-    """by and the exact quantile (between the two values about it, linear) of the values that aren't null; null without any. No task holds the values of a group.
+def _counted(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """by, _v and _n of each value that isn't null: a value that many rows have is one row from here on."""
+    return df.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL").groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+
+
+def _at_ranks(counted: DataFrame, by: Sequence[str], figures: dict[str, float]) -> DataFrame:
+    """by and the exact quantiles of counted values, by name.
 
-    The range from least to largest value is cut into CLASSES, which are counted; only rows of the class that holds the rank go on, and are cut once more."""
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-    ranks = rows.groupBy(*by).agg(F.count("*").alias("_n")).select(*by, ((F.col("_n") - 1) * F.lit(q)).alias("_rank"))
-    find = ranks.select(*by, F.floor("_rank").alias("_lo"), F.ceil("_rank").alias("_hi"), (F.col("_rank") - F.floor("_rank")).alias("_part"))
-    on = list(by)
+    The range from least to largest value is cut into CLASSES, which are counted; the values of the classes that hold the ranks go on, and are counted through."""
+    on, share = list(by), list(figures.items())
     met = lambda a, b: a.join(b, on) if on else a.join(F.broadcast(b))
-    for _ in range(ROUNDS):
-        ends = rows.groupBy(*by).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
-        width = F.col("_b") - F.col("_a")
-        cut = met(rows, ends).withColumn("_c", F.when(width > 0, F.floor((F.col("_v") - F.col("_a")) / width * (CLASSES - 1))).otherwise(0)).drop("_a", "_b")
-        counts = cut.groupBy(*by, "_c").agg(F.count("*").alias("_n"))
-        counts = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-        holds = met(counts, find).where((F.col("_before") <= F.col("_hi")) & (F.col("_lo") < F.col("_before") + F.col("_n")))
-        kept = holds.groupBy(*by).agg(F.min("_c").alias("_c0"), F.max("_c").alias("_c1"), F.min("_before").alias("_skip"))
-        rows = met(cut, kept.drop("_skip")).where((F.col("_c") == F.col("_c0")) | (F.col("_c") == F.col("_c1"))).select(*by, "_v")
-        find = met(find, kept).select(*by, (F.col("_lo") - F.col("_skip")).alias("_lo"), (F.col("_hi") - F.col("_skip")).alias("_hi"), "_part")
-    order = Window.partitionBy(*by).orderBy("_v")
-    numbered = met(rows.withColumn("_k", F.row_number().over(order) - 1), find)
-    two = numbered.groupBy(*by, "_part").agg(F.max(F.when(F.col("_k") == F.col("_lo"), F.col("_v"))).alias("_x"), F.max(F.when(F.col("_k") == F.col("_hi"), F.col("_v"))).alias("_y"))
-    return two.select(*by, (F.col("_x") + (F.col("_y") - F.col("_x")) * F.col("_part")).alias(name))
+    ends = counted.groupBy(*by).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.sum("_n").alias("_all"))
+    width = F.col("_b") - F.col("_a")
+    classed = met(counted, ends).withColumn("_c", F.when(width > 0, F.floor((F.col("_v") - F.col("_a")) / width * (CLASSES - 1))).otherwise(0)).drop("_a", "_b")
+    counts = classed.groupBy(*by, "_c", "_all").agg(F.sum("_n").alias("_m"))
+    counts = counts.withColumn("_before", F.sum("_m").over(Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m"))
+    rank = lambda q: (F.col("_all") - 1) * F.lit(q)
+    ranks = F.array(*[F.struct(F.lit(k).alias("_k"), F.floor(rank(q)).alias("_lo"), F.ceil(rank(q)).alias("_hi"), (rank(q) - F.floor(rank(q))).alias("_part")) for k, (_, q) in enumerate(share)])
+    holds = counts.select(*by, "_c", "_m", "_before", F.explode(ranks).alias("_r")).select(*by, "_c", "_m", "_before", "_r.*").where((F.col("_before") <= F.col("_hi")) & (F.col("_lo") < F.col("_before") + F.col("_m")))
+    rows = classed.join(F.broadcast(holds.drop("_m")) if not on else holds.drop("_m"), [*by, "_c"])
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_c", "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_upto", upto)
+    found = lambda k, r: F.max(F.when((F.col("_k") == k) & (F.col("_upto") - F.col("_n") <= F.col(r)) & (F.col(r) < F.col("_upto")), F.col("_v")))
+    two = rows.groupBy(*by, "_all").agg(*[c for k in range(len(share)) for c in (found(k, "_lo").alias(f"_x{k}"), found(k, "_hi").alias(f"_y{k}"), F.max(F.when(F.col("_k") == k, F.col("_part"))).alias(f"_p{k}"))])
+    return two.select(*by, *[(F.col(f"_x{k}") + (F.col(f"_y{k}") - F.col(f"_x{k}")) * F.col(f"_p{k}")).alias(name) for k, (name, _) in enumerate(share)])
+
+
+def quantile(df: DataFrame, by: Sequence[str], value: str, q: float, name: str = "quantile") -> DataFrame:
+    """by and the exact quantile (between the two values about it, linear) of the values that aren't null; no row without any. No task holds the values of a group."""
+    return _at_ranks(_counted(df, by, value), by, {name: q})
 
 
 def trimmed_mean(df: DataFrame, by: Sequence[str], value: str, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     """Mean of the values between two quantiles of their group."""
-    q = quantile(df, by, value, lo, "_lo").join(quantile(df, by, value, hi, "_hi"), list(by))
-    return df.join(q, list(by)).where(F.col(value).between(F.col("_lo"), F.col("_hi"))).groupBy(*by).agg(F.avg(value).alias("mean"))
+    counted = _counted(df, by, value)
+    rows = counted.join(_at_ranks(counted, by, {"_lo": lo, "_hi": hi}), list(by)).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    return rows.groupBy(*by).agg((F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"))
 
 
 def two_sided(z: Column) -> Column:
