@@ -14,8 +14,8 @@ from tessera.functions.draws import draw
 from tessera.operators.tiles import TILE, running, tiled
 
 KEYS = ("chr", "from", "to")
-#: Overlap joins take rows of up to 2**LEAST places as one size class.
-LEAST = 5
+#: Overlap joins take rows of up to 2**LEAST places as one size class, and those of up to 2**STEP times as many as the next.
+LEAST, STEP = 8, 3
 
 
 def _clean(df: DataFrame) -> DataFrame:
@@ -105,15 +105,19 @@ def trim(df: DataFrame, margin: int) -> DataFrame:
     return df.withColumn("from", F.col("from") + margin).withColumn("to", F.col("to") - margin).where(F.col("from") <= F.col("to"))
 
 
+def _class(start: str, end: str) -> Column:
+    over = F.ceil((F.log2(F.col(end) - F.col(start) + 1) - LEAST) / STEP).cast("int")
+    return LEAST + STEP * F.greatest(F.lit(0), over)
+
+
 def _levels(df: DataFrame, other: DataFrame, bits: int | None) -> DataFrame:
-    """Adds _class, _level and _bin. A row's class is the power of two that its width comes to; it stands in bins of its own class's width, two at most, and in
-    those of the other side's larger classes."""
-    size = lambda: F.greatest(F.lit(LEAST), F.ceil(F.log2(F.col("to") - F.col("from") + 1)).cast("int"))
+    """Adds _level and _bin. A row's class is the power of two, of LEAST and every STEP on, that its width comes to; it stands in bins of its own class's width, two at
+    most, and in those of the other side's larger classes. Most rows are much narrower than their class, and so stand in one bin."""
     if bits is not None:
-        return df.withColumn("_class", F.lit(bits)).withColumn("_level", F.lit(bits)).withColumn("_bin", F.explode(F.sequence(F.shiftright("from", bits), F.shiftright("to", bits))))
-    present = other.select(size().alias("c")).agg(F.collect_set("c").alias("_present"))  # 64 classes at most
-    rows = df.withColumn("_class", size()).join(F.broadcast(present))
-    rows = rows.withColumn("_level", F.explode(F.array_union(F.array("_class"), F.filter("_present", lambda c: c > F.col("_class"))))).drop("_present")
+        return df.withColumn("_level", F.lit(bits)).withColumn("_bin", F.explode(F.sequence(F.shiftright("from", bits), F.shiftright("to", bits))))
+    present = other.select(_class("from", "to").alias("c")).agg(F.collect_set("c").alias("_present"))  # 20 classes at most
+    rows = df.withColumn("_class", _class("from", "to")).join(F.broadcast(present))
+    rows = rows.withColumn("_level", F.explode(F.array_union(F.array("_class"), F.filter("_present", lambda c: c > F.col("_class"))))).drop("_present", "_class")
     step = F.pow(F.lit(2.0), F.col("_level"))
     return rows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("from") / step), F.floor(F.col("to") / step))))
 
@@ -122,10 +126,11 @@ def overlap_pairs(a: DataFrame, b: DataFrame, a_id: str = "id", b_id: str = "id"
     """a_id, b_id, from and to (the common stretch) of each pair of rows that overlap. bits: one bin width of 2**bits for all, instead of size classes."""
     x0 = _valid(a).select("chr", F.col("from").cast("long").alias("from"), F.col("to").cast("long").alias("to"), F.col(a_id).alias("a_id"))
     y0 = _valid(b).select("chr", F.col("from").cast("long").alias("from"), F.col("to").cast("long").alias("to"), F.col(b_id).alias("b_id"))
-    x = _levels(x0, y0, bits).withColumnsRenamed({"from": "af", "to": "at", "_class": "_ac"})
-    y = _levels(y0, x0, bits).withColumnsRenamed({"from": "bf", "to": "bt", "_class": "_bc"})
+    x = _levels(x0, y0, bits).withColumnsRenamed({"from": "af", "to": "at"})
+    y = _levels(y0, x0, bits).withColumnsRenamed({"from": "bf", "to": "bt"})
     later = F.floor(F.greatest("af", "bf") / F.pow(F.lit(2.0), F.col("_level")))
-    met = x.join(y, ["chr", "_level", "_bin"]).where((F.col("af") <= F.col("bt")) & (F.col("bf") <= F.col("at")) & (F.col("_level") == F.greatest("_ac", "_bc")) & (F.col("_bin") == later))
+    own = F.lit(True) if bits is not None else F.col("_level") == F.greatest(_class("af", "at"), _class("bf", "bt"))
+    met = x.join(y, ["chr", "_level", "_bin"]).where((F.col("af") <= F.col("bt")) & (F.col("bf") <= F.col("at")) & (F.col("_bin") == later) & own)
     return met.select("chr", "a_id", "b_id", F.greatest("af", "bf").alias("from"), F.least("at", "bt").alias("to"))
 
 
@@ -136,24 +141,29 @@ def overlap(a: DataFrame, b: DataFrame, a_id: str = "id", b_id: str = "id") -> D
     return out.withColumn("b_ids", F.coalesce("b_ids", F.array().cast(pairs.schema["b_ids"].dataType)))
 
 
+def _ends_at(b: DataFrame, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """chr, p, n, and more of each place at which rows begin, and at which they end."""
+    return tuple(b.groupBy("chr", F.col(c).cast("long").alias("p")).agg(F.count("*").alias("n"), *more) for c in ("from", "to"))
+
+
+def _sown(rows: DataFrame, marks: DataFrame, place: str, plain: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows at a place of theirs (o = 1) and marks, tiled by p, together; and the marks with one row for each tile of the rows, of which plain has the places too."""
+    at, marks = tiled(rows.withColumn("p", F.col(place)).withColumn("o", F.lit(1)), "p"), tiled(marks, "p")
+    return at.unionByName(marks, allowMissingColumns=True), marks.unionByName(tiled(plain, place).select("chr", TILE).distinct(), allowMissingColumns=True)
+
+
 def _beside(a: DataFrame, b: DataFrame, a_id: str) -> DataFrame:
-    """a_id, chr, af, at, below (p, n: the nearest end of b below the row, and how many rows end there), above (likewise), hits (rows of b that overlap)."""
+    """a_id, chr, af, at, below (p, n: the nearest end of b below the row, and how many rows end there), above (likewise), hits (rows of b that overlap). A row looks
+    below from its start, and with what it found there above from its end."""
     rows = _clean(a).select("chr", F.col("from").cast("long").alias("af"), F.col("to").cast("long").alias("at"), F.col(a_id).alias("a_id"))
-    b = _valid(b)
-    ends = b.groupBy("chr", F.col("to").cast("long").alias("p")).agg(F.count("*").alias("ends"))
-    starts = b.groupBy("chr", F.col("from").cast("long").alias("p")).agg(F.count("*").alias("starts"))
-    # at a place: starts, the rows that look below, ends, the rows that look how many began
-    marks = starts.withColumn("o", F.lit(0)).unionByName(ends.withColumn("o", F.lit(2)), allowMissingColumns=True)
-    marks = marks.unionByName(rows.select("*", F.col("af").alias("p"), F.lit(1).alias("o")), allowMissingColumns=True).unionByName(rows.select("*", F.col("at").alias("p"), F.lit(3).alias("o")), allowMissingColumns=True)
-    up = running(
-        tiled(marks, "p"), ["chr"], ["p"],
-        {"below": ("max", F.when(F.col("ends").isNotNull(), F.struct("p", F.col("ends").alias("n")))), "ended": ("sum", F.col("ends")), "begun": ("sum", F.col("starts"))}, then=["o"],
-    )
-    back = starts.withColumn("o", F.lit(1)).unionByName(rows.select("*", F.col("at").alias("p"), F.lit(0).alias("o")), allowMissingColumns=True)
-    down = running(tiled(back, "p"), ["chr"], ["p"], {"above": ("min", F.when(F.col("starts").isNotNull(), F.struct("p", F.col("starts").alias("n"))))}, reverse=True, then=["o"])
-    own = ["a_id", "chr", "af", "at"]
-    seen = up.where("o = 1").select(*own, "below", "ended").unionByName(up.where("o = 3").select(*own, "begun"), allowMissingColumns=True).unionByName(down.where("o = 0").select(*own, "above"), allowMissingColumns=True)
-    return seen.groupBy(*own).agg(F.max("below").alias("below"), F.max("above").alias("above"), (F.max("begun") - F.max("ended")).alias("hits"))
+    starts, ends = _ends_at(_valid(b))
+    ends, starts = ends.withColumnRenamed("n", "ends").withColumn("o", F.lit(2)), starts.withColumnRenamed("n", "starts").withColumn("o", F.lit(0))
+    both, marks = _sown(rows, ends, "af", rows)
+    up = running(both, ["chr"], ["p"], {"below": ("max", F.when(F.col("ends").isNotNull(), F.struct("p", F.col("ends").alias("n")))), "ended": ("sum", F.col("ends"))}, then=["o"], marks=marks)
+    both, marks = _sown(up.where("o = 1").select("chr", "af", "at", "a_id", "below", "ended"), starts, "at", rows)
+    above = {"above": ("min", F.when(F.col("starts").isNotNull(), F.struct("p", F.col("starts").alias("n"))))}
+    seen = running(both, ["chr"], ["p"], {"begun": ("sum", F.col("starts"))}, then=["o"], after=above, marks=marks).where("o = 1")
+    return seen.select("a_id", "chr", "af", "at", "below", "above", (F.col("begun") - F.col("ended")).alias("hits"))
 
 
 def _distance() -> Column:
@@ -171,13 +181,26 @@ def nearest(a: DataFrame, b: DataFrame, a_id: str = "id") -> DataFrame:
 
 
 def neighbours(a: DataFrame, b: DataFrame, a_id: str = "id", b_id: str = "id") -> DataFrame:
-    """a_id, b_id and distance of each row of b that is nearest to a row of a: all that overlap it at distance 0, or else all at the least distance. Ids are of any type."""
-    alone = _beside(a, b, a_id).withColumn("distance", _distance()).where("hits = 0 AND distance IS NOT NULL")
-    rows = _valid(b).select("chr", F.col("from").cast("long").alias("bf"), F.col("to").cast("long").alias("bt"), F.col(b_id).alias("b_id"))
-    before = alone.where(F.col("af") - F.col("below.p") == F.col("distance")).select("chr", F.col("below.p").alias("bt"), "a_id", "distance").join(rows, ["chr", "bt"])
-    after = alone.where(F.col("above.p") - F.col("at") == F.col("distance")).select("chr", F.col("above.p").alias("bf"), "a_id", "distance").join(rows, ["chr", "bf"])
+    """a_id, b_id and distance of each row of b that is nearest to a row of a: all that overlap it at distance 0, or else all at the least distance. Ids are of any type.
+
+    A row that none overlaps sees the nearest end below and the nearest start above from its own start. Where one row of b ends or begins, its id comes along; where
+    several do, they are joined by the place."""
+    rows = _clean(a).select("chr", F.col("from").cast("long").alias("af"), F.col("to").cast("long").alias("at"), F.col(a_id).alias("a_id"))
+    b_rows = _valid(b).select("chr", "from", "to", F.col(b_id).alias("b_id"))
+    starts, ends = _ends_at(b_rows, F.any_value("b_id").alias("b_id"))
+    marks = starts.withColumn("o", F.lit(0)).unionByName(ends.withColumn("o", F.lit(2)))
+    both, marks = _sown(rows, marks, "af", rows)
+    side = lambda o: F.when(F.col("o") == o, F.struct("p", "n", "b_id"))
+    counts = {"open": ("sum", F.when(F.col("o") == 0, F.col("n")).when(F.col("o") == 2, -F.col("n")))}
+    seen = running(both, ["chr"], ["p"], {"below": ("max", side(2)), **counts}, then=["o"], after={"above": ("min", side(0))}, marks=marks)
+    alone = seen.where("o = 1 AND open = 0 AND (above IS NULL OR above.p > at)").withColumn("distance", F.least(F.col("af") - F.col("below.p"), F.col("above.p") - F.col("at")))
+    one = lambda name, end, far: F.struct(F.lit(end).alias("end"), far.alias("far"), *[F.col(f"{name}.{c}").alias(c) for c in ("p", "n", "b_id")])
+    sides = F.array(one("below", "to", F.col("af") - F.col("below.p")), one("above", "from", F.col("above.p") - F.col("at")))
+    near = alone.select("chr", "a_id", F.col("distance").cast("long").alias("distance"), F.explode(sides).alias("s")).where("s.far = distance").select("chr", "a_id", "distance", "s.*")
+    several = b_rows.select("chr", F.explode(F.array(*[F.struct(F.lit(c).alias("end"), F.col(c).cast("long").alias("p")) for c in ("to", "from")])).alias("s"), "b_id").select("chr", "s.*", "b_id")
+    tied = near.where("n > 1").drop("b_id").join(several, ["chr", "end", "p"])
     hits = overlap_pairs(a, b, a_id, b_id).select("a_id", "b_id", F.lit(0).cast("long").alias("distance"))
-    return hits.unionByName(before.select("a_id", "b_id", "distance")).unionByName(after.select("a_id", "b_id", "distance"))
+    return hits.unionByName(near.where("n = 1").select("a_id", "b_id", "distance")).unionByName(tied.select("a_id", "b_id", "distance"))
 
 
 def included(a: DataFrame, b: DataFrame, a_id: str = "id") -> DataFrame:

@@ -37,29 +37,23 @@ def _total(kind: str, value: Column, order: Sequence[str]) -> Column:
     return F.max_by(value, F.when(value.isNotNull(), F.struct(*order)))
 
 
-def running(df: DataFrame, by: Sequence[str], order: Sequence[str], figures: dict[str, tuple[str, Column]], inclusive: bool = True, reverse: bool = False, then: Sequence[str] = ()) -> DataFrame:
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], figures: dict[str, tuple[str, Column]], inclusive: bool = True, reverse: bool = False, then: Sequence[str] = (), after: dict[str, tuple[str, Column]] | None = None, marks: DataFrame | None = None) -> DataFrame:
     """Adds figures to tiled rows: name -> (max, min, sum or last that isn't null; value) over the rows of the sequence before a row in the order, and the row itself if inclusive.
 
-    reverse: the rows of `order` from the last back; `then` orders equal ones, forward in either case. `last` takes forward orders only."""
-    back = F.desc if reverse else F.asc
+    reverse: the rows of `order` from the last back; `then` orders equal ones, forward in either case. `last` takes forward orders only. after: further figures, over the rows
+    after a row, in the whole order turned round. marks: tiled rows that make the same totals as df, with every tile of df, if there are fewer of them.
+    What came before a tile is the first row of its window, so that rows are shuffled once, by tile, for all figures."""
+    back, after = F.desc if reverse else F.asc, after or {}
     sort = [*(back(c) for c in order), *then]
-    here = Window.partitionBy(*by, TILE).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    rows = df.select("*", *[_OVER[kind](value).over(here).alias(f"_r_{name}") for name, (kind, value) in figures.items()])
+    turned = [*((F.asc if reverse else F.desc)(c) for c in order), *(F.desc(c) for c in then)]
+    every = [(n, k, v, sort, back) for n, (k, v) in figures.items()] + [(n, k, v, turned, F.asc if reverse else F.desc) for n, (k, v) in after.items()]
     # of each tile, one row
-    totals = df.groupBy(*by, TILE).agg(*[_total(kind, value, [*order, *then]).alias(name) for name, (kind, value) in figures.items()])
-    past = Window.partitionBy(*by).orderBy(back(TILE)).rowsBetween(Window.unboundedPreceding, -1)
-    keys = [*by, TILE]
-    carried = totals.select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(keys)], *[_OVER[kind](name).over(past).alias(f"_c_{name}") for name, (kind, _) in figures.items()])
-    same = None
-    for k, c in enumerate(keys):
-        one = F.col(c).eqNullSafe(F.col(f"_k{k}"))
-        same = one if same is None else same & one
-    joined = rows.join(carried, same, "left")
-
-    def whole(name: str, kind: str) -> Column:
-        own, before = F.col(f"_r_{name}"), F.col(f"_c_{name}")
-        if kind == "sum":
-            return F.coalesce(own, F.lit(0)) + F.coalesce(before, F.lit(0))
-        return F.coalesce(own, before) if kind == "last" else (F.greatest if kind == "max" else F.least)(own, before)
-
-    return joined.select(*[F.col(c) for c in df.columns if c not in figures], *[whole(name, kind).alias(name) for name, (kind, _) in figures.items()])
+    totals = (df if marks is None else marks).groupBy(*by, TILE).agg(*[_total(kind, value, [*order, *then]).alias(name) for name, kind, value, _, _ in every])
+    past = lambda to: Window.partitionBy(*by).orderBy(to(TILE)).rowsBetween(Window.unboundedPreceding, -1)
+    carried = lambda name, kind, to: F.coalesce(_OVER[kind](name).over(past(to)), F.lit(0)) if kind == "sum" else _OVER[kind](name).over(past(to))
+    heads = totals.select(*by, TILE, F.lit(0).alias("_h"), *[carried(name, kind, to).alias(f"_v_{name}") for name, kind, _, _, to in every])
+    rows = df.select("*", F.lit(1).alias("_h"), *[value.alias(f"_v_{name}") for name, _, value, _, _ in every]).unionByName(heads, allowMissingColumns=True)
+    here = lambda by_: Window.partitionBy(*by, TILE).orderBy("_h", *by_).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    names = {name for name, *_ in every}
+    out = rows.select("_h", *[F.col(c) for c in df.columns if c not in names], *[_OVER[kind](F.col(f"_v_{name}")).over(here(by_)).alias(name) for name, kind, _, by_, _ in every])
+    return out.where("_h = 1").drop("_h")
