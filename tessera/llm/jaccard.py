@@ -11,6 +11,8 @@ Only components are asked for, so a pair whose ends are already connected needs
 partner for each class, and then every candidate pair that still joins two components is verified. Large groups of near copies thus cost
 as many pairs as they have members, and no link between different components is passed over.
 
+Each step that joins or counts is written before the next reads it, so that the driver never holds the plans, stages and tasks of several at once.
+
 A shingle or group that very many classes share is dealt out: its list is cut into blocks, and pairs are formed by a task for each pair of blocks; a text that
 very many others are compared with is sent to as many tasks as its pairs are dealt to. What is dealt so is found by counting first, and is a
 bounded list.
@@ -191,8 +193,10 @@ def _hot(counted: DataFrame, n: str, total: int) -> DataFrame:
 
 
 def _with(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """Inner join of rows with a table of one row for each key, of which n is how many of `total` rows have it. Rows of hot keys aren't shuffled."""
+    """Inner join of rows with a written table of one row for each key, of which n is how many of `total` rows have it. Rows of hot keys aren't shuffled; where there are none, the driver has one join to plan."""
     hot = _hot(table, n, total)
+    if hot.isEmpty():
+        return rows.join(table, key)
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(table, key))
 
 
@@ -204,11 +208,14 @@ def _cells(rows: DataFrame, key: str, n: str) -> tuple[DataFrame, DataFrame]:
     return rows.withColumn("_i", own).withColumn("_j", each), rows.withColumn("_j", own).withColumn("_i", each)
 
 
-def _texts_of(pairs: DataFrame, texts: DataFrame, side: str, total: int) -> DataFrame:
-    """Adds the text of one side of the pairs, `total` of them; a text of very many pairs goes to several tasks, among which its pairs are dealt."""
-    parts = _hot(pairs.groupBy(side).agg(F.count("*").alias("n")), "n", total).select(side, F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+def _texts_of(pairs: DataFrame, texts: DataFrame, side: str, parts: DataFrame) -> DataFrame:
+    """Adds the text of one side of the pairs. parts, of a written table: the texts of very many pairs, each of which goes to so many tasks, among which its pairs are dealt."""
+    texts = texts.toDF(side, f"text_{side}")
+    if parts.isEmpty():
+        return pairs.join(texts, side)
+    parts = F.broadcast(parts)
     pairs = pairs.join(parts, side, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("a", "b"), "parts").cast("int"), F.lit(0))).drop("parts")
-    texts = texts.toDF(side, f"text_{side}").join(parts, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    texts = texts.join(parts, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     return pairs.join(texts, [side, "part"]).drop("part")
 
 
@@ -216,8 +223,12 @@ def verify(docs: DataFrame, named: DataFrame, kept: Kept, name: str, pairs: Data
     """Those of pairs (a, b) of classes that link, by their whole sets. named: cid, and the doc_id and said of the row that stands for it."""
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     texts = kept.put(f"{name}-texts", _some_texts(docs, kept.put(f"{name}-ids", named.join(ids, "cid"))))
-    total = pairs.count()
-    both = _texts_of(_texts_of(pairs, texts, "a", total), texts, "b", total).select("a", "b", "text_a", "text_b")
+    each = pairs.select(F.lit("a").alias("side"), F.col("a").alias("cid")).union(pairs.select(F.lit("b"), "b")).groupBy("side", "cid").agg(F.count("*").alias("n"))
+    parts = kept.put(f"{name}-parts", _hot(each, "n", pairs.count()).select("side", "cid", F.ceil(F.col("n") / HOT).cast("int").alias("parts")))
+    both = pairs
+    for side in "ab":
+        both = _texts_of(both, texts, side, parts.where(F.col("side") == side).select(F.col("cid").alias(side), "parts"))
+    both = both.select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(side: int, batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -237,7 +248,7 @@ def verify(docs: DataFrame, named: DataFrame, kept: Kept, name: str, pairs: Data
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok))], ["a", "b"])
 
     links = kept.put(f"{name}-links", scan.map_batches(both, run, "a long, b long"))
-    kept.drop(f"{name}-texts", f"{name}-ids")
+    kept.drop(f"{name}-texts", f"{name}-ids", f"{name}-parts")
     return links
 
 
@@ -264,7 +275,7 @@ def _jaccard_components(docs: DataFrame, size: int, percent: int, bits: int | No
     # as it is one document, its sets' classes are linked
     sets = some.select("doc_id", "set").join(several.select("doc_id"), "doc_id").distinct().join(with_name(least).select("set", "cid"), "set")
     own = kept.put("own", directed(sets.join(sets.groupBy("doc_id").agg(F.min("cid").alias("lo")), "doc_id").select("cid", "lo")))
-    many = classes.groupBy("prefix_key").agg(F.count("*").alias("members"), F.min("cid").alias("g")).filter("members > 1")
+    many = kept.put("many", classes.groupBy("prefix_key").agg(F.count("*").alias("members"), F.min("cid").alias("g")).filter("members > 1"))
     member = kept.put("member", _with(classes.select("cid", "odd", "n", "prefix_key"), many, "prefix_key", "members", classes.count()).select("cid", "g", "odd", "n", "members"))
 
     leads = classes.join(member.filter("cid <> g").select("cid"), "cid", "left_anti").select(F.col("cid").alias("g"), "n", "cold", "prefix")
@@ -272,22 +283,23 @@ def _jaccard_components(docs: DataFrame, size: int, percent: int, bits: int | No
     # the lists of few are counted as they meet; those that may be of many are counted first
     few = every.filter("pos < cold").select("token", "g", "n", "pos", F.expr("count(*) OVER (PARTITION BY token)").alias("listed")).filter("listed > 1")
     often = kept.put("often", every.filter("pos >= cold").select("token", "g", "n", "pos"))
-    listed = often.groupBy("token").agg(F.count("*").alias("listed")).filter("listed > 1")
+    listed = kept.put("listed", often.groupBy("token").agg(F.count("*").alias("listed")).filter("listed > 1"))
     lists = kept.put("lists", few.unionByName(_with(often, listed, "token", "listed", often.count())))
-    kept.drop("often")  # also frees what made the lists
+    kept.drop("often", "listed", "many")  # also frees what made the lists
 
     # round 1: a member and its group; a group and the head of its lists, and the one before it in its block there, that it meets most often. A group that shares more of its
     # prefix stands nearer the head, as it differs less from the rest
     shared = lists.groupBy("g").agg(F.count("*").alias("shared"))
     placed = kept.put("placed", lists.join(shared, "g").select("token", "listed", "shared", F.struct("g", "n").alias("of"), F.pmod(F.xxhash64("g"), F.ceil(F.col("listed") / HOT)).alias("block")))
-    heads = placed.groupBy("token").agg(F.max("listed").alias("listed"), F.min(F.struct((-F.col("shared")).alias("s"), "of.n", "of.g")).alias("head"))
+    heads = kept.put("heads", placed.groupBy("token").agg(F.max("listed").alias("listed"), F.min(F.struct((-F.col("shared")).alias("s"), "of.n", "of.g")).alias("head")))
     to_head = _with(placed.select("token", "of"), heads, "token", "listed", placed.count()).select("of", F.struct("head.g", "head.n").alias("other"), F.lit(1).alias("place"))
     prev = F.expr("lag(of) OVER (PARTITION BY token, block ORDER BY shared DESC, of.n, of.g)")
     votes = to_head.unionByName(placed.select("of", prev.alias("other"), F.lit(0).alias("place"))).filter(f"other IS NOT NULL AND other.g <> of.g AND 100 * least(of.n, other.n) >= {percent} * greatest(of.n, other.n)")
     best = votes.groupBy(F.col("of.g").alias("g"), "place", F.col("other.g").alias("h")).agg(F.count("*").alias("votes")).groupBy("g", "place").agg(F.max_by("h", F.struct("votes", "h")).alias("h")).select("g", "h")
+    best = kept.put("best", best)
+    kept.drop("placed", "heads")
     sketches = classes.select("cid", "n", "odd")
     edges = _joined(known, named, kept, "one", best.union(member.filter("cid <> g").select("cid", "g")), own, sketches, size, percent)
-    kept.drop("placed")
     found = kept.put("found", labels(edges))
 
     # round 2: pairs of groups, or of members of one group, that are in different components and near enough by size, place and odds
@@ -295,15 +307,18 @@ def _jaccard_components(docs: DataFrame, size: int, percent: int, bits: int | No
     mixed = kept.put("mixed", inside.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("members").alias("members")).filter("lo <> hi").select("g", "members"))
     x, y = _cells(_with(inside.drop("members"), mixed, "g", "members", inside.count()), "g", "members")
     within = x.alias("x").join(y.alias("y"), F.expr(f"x.g = y.g AND x._i = y._i AND x._j = y._j AND x.cid > y.cid AND x.component <> y.component AND {_near(percent)}")).selectExpr("x.cid AS a", "y.cid AS b")
+    within = kept.put("within", within)
     # every class of a group stands in the group's lists; a list whose classes are all of one component is done with
     entries = kept.put("spread", _at(lists.select("token", "g", "n", "pos", "listed"), found, "g").join(mixed.select("g", F.lit(True).alias("mixed")), "g", "left"))
     open_ = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("mixed").alias("mixed"), F.max("listed").alias("listed")).filter("lo <> hi OR mixed").select("token", "listed")
+    open_ = kept.put("open", open_)
     entries = _with(entries.select("token", "g", "n", "pos"), open_, "token", "listed", entries.count()).select("token", "g", "n", "pos")
     one = classes.select("cid", "odd").join(member.select("cid"), "cid", "left_anti").select(F.col("cid").alias("g"), "cid", "odd").union(member.select("g", "cid", "odd"))
     entries = kept.put("open-lists", entries)
     sizes = one.groupBy("g").agg(F.count("*").alias("classes"))
     filled = kept.put("filled", entries.join(sizes, "g").groupBy("token").agg(F.sum("classes").alias("filled")))
-    entries = _at(_with(entries, filled, "token", "filled", entries.count()).join(one, "g"), found, "cid")
+    entries = kept.put("entries", _at(_with(entries, filled, "token", "filled", entries.count()).join(one, "g"), found, "cid"))
+    kept.drop("lists", "spread", "open", "open-lists", "filled", "inside", "mixed", "member")
     # the smaller of a pair meets the other within a shorter prefix: n - ceil(2 percent n / (100 + percent)) + 1
     short = f"{100 + percent} * (y.n - y.pos) >= {2 * percent} * y.n"
     x, y = _cells(entries, "token", "filled")
@@ -314,7 +329,7 @@ def _jaccard_components(docs: DataFrame, size: int, percent: int, bits: int | No
         .agg(F.count("*").alias("both"))
     )
     met = kept.put("met", across.union(within.withColumn("both", F.lit(1 << 40))))
-    kept.drop("lists", "spread", "open-lists", "filled", "inside", "mixed", "member")
+    kept.drop("entries", "within", "best")
     # first the likeliest partner of each class; what it joins needs no more verifying
     likely = met.unionAll(met.select("b", "a", "both")).groupBy("a").agg(F.max_by("b", F.struct("both", "b")).alias("b"))
     edges = _joined(known, named, kept, "two", likely, edges, None, size, percent)
@@ -352,8 +367,8 @@ def _joined(docs: DataFrame, named: DataFrame, kept: Kept, name: str, pairs: Dat
     if sketches is None and pairs.isEmpty():
         return edges
     links = directed(verify(docs, named, kept, name, pairs, size, percent))
-    out = contract(links.union(edges).distinct(), ROUNDS)
-    kept.drop(f"{name}-pairs", f"{name}-links")
+    out = contract(kept.put(f"{name}-edges", links.union(edges).distinct()), ROUNDS)
+    kept.drop(f"{name}-pairs", f"{name}-links", f"{name}-edges")
     return out
 
 
